@@ -6,17 +6,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import mixing, quality, simhash, url_filter
 from ._common import read
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    return url_filter.filter_urls(url_filter.page_captures(pages), url_filter.page_entries(pages))
+
+
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.mix_plan(read(spark, sf_dir, "documents"))
+    return plan.select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents")).drop("t_hash")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op10_quality_rules,)}
+    return {f.__name__: f for f in (op4_url_filter, op5_source_mix, op8_simhash, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_quality_rules": quality.ORACLE}
+    return {"op4_url_filter": url_filter.ORACLE, "op5_source_mix": mixing.ORACLE, "op10_quality_rules": quality.ORACLE}

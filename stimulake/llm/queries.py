@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, lm_scoring, mixing, quality, secret_scan, simhash, url_filter
+from . import bpe, fingerprints, language_id, lm_scoring, mixing, quality, secret_scan, simhash, url_filter
 from ._common import read
 
 
@@ -17,6 +17,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(read(spark, sf_dir, "documents"))
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(read(spark, sf_dir, "documents"))
 
@@ -52,7 +56,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_fingerprints, op4_url_filter, op5_source_mix, op6_secret_scan, op7_bpe, op8_simhash, op9_lm_scoring, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_language_id, op2_fingerprints, op4_url_filter, op5_source_mix, op6_secret_scan, op7_bpe, op8_simhash, op9_lm_scoring, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

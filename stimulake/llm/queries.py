@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, language_id, lm_scoring, mixing, quality, secret_scan, simhash, url_filter
+from . import bpe, fingerprints, language_id, lm_scoring, mixing, quality, secret_scan, simhash, substring_dedup, url_filter
 from ._common import read
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_units(read(spark, sf_dir, "documents"))
+
+
 def vocabulary() -> str:
     """The public word-level BPE file; another path may be given to the operator."""
     import public_tokenizers
@@ -56,7 +60,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_fingerprints, op4_url_filter, op5_source_mix, op6_secret_scan, op7_bpe, op8_simhash, op9_lm_scoring, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_language_id, op2_fingerprints, op3_substring_dedup, op4_url_filter, op5_source_mix, op6_secret_scan, op7_bpe, op8_simhash, op9_lm_scoring, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

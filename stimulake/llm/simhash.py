@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import materialize
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
 # ---- vantage-point trees over arrays of unsigned 64-bit fingerprints ----
 
 
-def split(points: np.ndarray) -> tuple[np.uint64, int] | None:
+def split(points: np.ndarray, radius: int = RADIUS) -> tuple[np.uint64, int] | None:
     """A vantage point and a distance such that points at most so far are one side; None if no distance parts them.
 
     Candidates are spread through the (sorted) points; the pair that leaves the fewest points within the radius of the cut,
@@ -72,21 +72,21 @@ def split(points: np.ndarray) -> tuple[np.uint64, int] | None:
         cum = np.cumsum(np.bincount(np.bitwise_count(points ^ v), minlength=65)) / len(points)
         for cut in range(64):
             if (least := min(cum[cut], 1 - cum[cut])) > 0:
-                near = cum[min(64, cut + RADIUS)] - (cum[cut - RADIUS] if cut >= RADIUS else 0)
+                near = cum[min(64, cut + radius)] - (cum[cut - radius] if cut >= radius else 0)
                 if (cost := near + 2 * (0.5 - least) ** 2 + (least < 0.1)) < best:
                     best, found = cost, (v, cut)
     return found
 
 
-def grow(points: np.ndarray, depth: int) -> list:
+def grow(points: np.ndarray, depth: int, radius: int = RADIUS) -> list:
     """The tree of shards: nested [vantage, cut, inside, outside]; a leaf is []."""
-    if depth == 0 or len(points) < 16 or (s := split(points)) is None:
+    if depth == 0 or len(points) < 16 or (s := split(points, radius)) is None:
         return []
     inside = np.bitwise_count(points ^ s[0]) <= s[1]
-    return [int(s[0]), s[1], grow(points[inside], depth - 1), grow(points[~inside], depth - 1)]
+    return [int(s[0]), s[1], grow(points[inside], depth - 1, radius), grow(points[~inside], depth - 1, radius)]
 
 
-def route(tree: list, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def route(tree: list, points: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each point each shard that its ball of the link radius touches: index of the point, shard, whether it is the point's own."""
     out, leaf = [], 0
 
@@ -97,7 +97,7 @@ def route(tree: list, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
             leaf += 1
             return
         d = np.bitwise_count(points[at] ^ np.uint64(node[0])).astype(np.int64)
-        a, b = d <= node[1] + RADIUS, d > node[1] - RADIUS
+        a, b = d <= node[1] + radius, d > node[1] - radius
         walk(node[2], at[a], own[a] & (d[a] <= node[1]))
         walk(node[3], at[b], own[b] & (d[b] > node[1]))
 
@@ -125,7 +125,7 @@ class Forest:
                 self.up[max(x, y)] = min(x, y)
 
 
-def link_all(points: np.ndarray) -> Forest:
+def link_all(points: np.ndarray, radius: int = RADIUS) -> Forest:
     """Links all pairs of distinct points within the radius, by walking a vantage-point tree with blocks of queries."""
     forest = Forest(len(points))
 
@@ -133,44 +133,44 @@ def link_all(points: np.ndarray) -> Forest:
         step = max(1, 2_000_000 // max(1, len(members)))
         for at in range(0, len(queries), step):
             q = queries[at : at + step]
-            i, j = np.nonzero(np.bitwise_count(points[q][:, None] ^ points[members][None, :]) <= RADIUS)
+            i, j = np.nonzero(np.bitwise_count(points[q][:, None] ^ points[members][None, :]) <= radius)
             keep = q[i] < members[j]
             forest.link(q[i][keep], members[j][keep])
 
     def walk(members: np.ndarray, queries: np.ndarray) -> None:
         if not len(queries) or not len(members):
             return
-        if len(members) <= LEAF or (s := split(points[members])) is None:
+        if len(members) <= LEAF or (s := split(points[members], radius)) is None:
             compare(members, queries)
             return
         v, cut = s
         d, q = np.bitwise_count(points[members] ^ v), np.bitwise_count(points[queries] ^ v).astype(np.int64)
-        walk(members[d <= cut], queries[q <= cut + RADIUS])
-        walk(members[d > cut], queries[q > cut - RADIUS])
+        walk(members[d <= cut], queries[q <= cut + radius])
+        walk(members[d > cut], queries[q > cut - radius])
 
     everything = np.arange(len(points))
     walk(everything, everything)
     return forest
 
 
-def link_forest(fps: DataFrame) -> DataFrame:
+def link_forest(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Distinct fingerprints (fp) to links (a, b) that connect exactly those within the radius, directly or through others."""
     n = fps.count()
     depth = max(0, int(np.ceil(np.log2(max(1, n) / SHARD))))
     tree: list = []
     if depth:
         sample = fps.orderBy(F.xxhash64("fp")).limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64)
-        tree = grow(np.sort(sample.view(np.uint64)), depth)
+        tree = grow(np.sort(sample.view(np.uint64)), depth, radius)
 
     def routed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fp = b["fp"].to_numpy(np.int64)
-            at, shard, _ = route(tree, fp.view(np.uint64))
+            at, shard, _ = route(tree, fp.view(np.uint64), radius)
             yield pd.DataFrame({"shard": shard, "fp": fp[at]})
 
     def linked(group: pd.DataFrame) -> pd.DataFrame:
         fp = np.sort(group["fp"].to_numpy(np.int64).view(np.uint64))
-        forest = link_all(fp)
+        forest = link_all(fp, radius)
         root = np.fromiter((forest.find(i) for i in range(len(fp))), np.int64, len(fp))
         own = np.arange(len(fp)) != root
         return pd.DataFrame({"a": fp[own].view(np.int64), "b": fp[root[own]].view(np.int64)})
@@ -178,17 +178,31 @@ def link_forest(fps: DataFrame) -> DataFrame:
     return fps.mapInPandas(routed, "shard int, fp long").groupBy("shard").applyInPandas(linked, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", radius: int = RADIUS) -> DataFrame:
     """One row per document: doc_id, t_hash, fingerprint (16 hex digits), component_id.
 
-    Fingerprints of 2 or fewer differing bits link; component_id is the smallest doc_id reachable. Null and blank texts have
+    Fingerprints of ``radius`` or fewer differing bits link; component_id is the smallest doc_id reachable. Null and blank texts have
     fingerprint zero and link like others. Null ids stay and count for a component only if it has no other. Repeated rows are
     returned as often as they come. Other columns are not read; an empty table gives an empty result.
     """
     prints = materialize(fingerprints(docs, text_col, id_col), "simhash")
     least = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    nodes = materialize(components(link_forest(least.select("fp"))), "simhash-components")
+    nodes = materialize(components(link_forest(least.select("fp"), radius)), "simhash-components")
     of = least.join(nodes, least["fp"] == nodes["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     top = of.groupBy("root").agg(F.min("least").alias("component_id"))
     of = of.join(top, "root").select("fp", "component_id")
     return prints.join(of, "fp").select("doc_id", "t_hash", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", radius: int = RADIUS) -> DataFrame:
+    """The documents without near duplicates: of each component the row of the smallest id, then text hash, stays.
+
+    Of components whose ids are all null one row per fingerprint stays. Columns stay as they are.
+    """
+    marks = near_duplicates(docs, text_col, id_col, radius)
+    group = F.coalesce(F.col("component_id").cast("string"), F.col("fingerprint"))
+    best = marks.groupBy(group.alias("g")).agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("o"), "t_hash", "doc_id")).alias("b"))
+    best = best.select(F.struct(F.col("b.doc_id").alias("i")).alias("__id"), F.col("b.t_hash").alias("__hash")).distinct()
+    keyed = docs.withColumns({"__id": F.struct(F.col(id_col).cast("long").alias("i")), "__hash": F.xxhash64(F.col(text_col).cast("string"))})
+    same = Window.partitionBy("__id", "__hash").orderBy(F.lit(1))  # rows repeated in full
+    return keyed.join(best, ["__id", "__hash"]).withColumn("__n", F.row_number().over(same)).where("__n = 1").select(*docs.columns)

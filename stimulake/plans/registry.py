@@ -1,5 +1,5 @@
 """All registered queries with their SQL."""
 
-from . import responses
+from . import models, responses
 
-QUERIES = {**responses.QUERIES}
+QUERIES = {**responses.QUERIES, **models.QUERIES}

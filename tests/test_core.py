@@ -1,0 +1,163 @@
+"""Registered queries against DuckDB, and the operators' edge cases."""
+
+import math
+import os
+
+import duckdb
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from stimulake.errors import InvalidParameterError, ModelNotFoundError
+from stimulake.functions import columns as C
+from stimulake.operators import epochs, fields, joins, linalg, select, splits, stats
+from stimulake.plans.registry import QUERIES
+from stimulake.sources.catalog import Card, Catalog
+
+SF = "/root/testdata/sf0.001"
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@pytest.fixture(scope="module")
+def db():
+    c = duckdb.connect()
+    for t in TABLES:
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    return c
+
+
+def plain(v):
+    if isinstance(v, float):
+        return f"{v + 0.0:.6g}"
+    return str(v)
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query(spark, db, name):
+    f, sql = QUERIES[name]
+    df = f(spark, SF)
+    if sql is None:
+        assert df.count() > 0
+        return
+    expect = db.sql(sql)
+    columns = sorted(df.columns)
+    assert columns == sorted(expect.columns)
+    at = [expect.columns.index(c) for c in columns]
+    assert sorted([plain(r[c]) for c in columns] for r in df.collect()) == sorted([plain(r[i]) for i in at] for r in expect.fetchall())
+
+
+def test_zscore_of_constant_and_missing(spark):
+    df = spark.createDataFrame([(1, 5.0), (1, 5.0), (2, 1.0), (2, 3.0), (2, None)], "k int, x double")
+    got = sorted((r["k"], r["x"] or 0, r["z"]) for r in stats.zscore(df, "x", ["k"]).collect())
+    assert got == [(1, 5.0, 0.0), (1, 5.0, 0.0), (2, 0, 0.0), (2, 1.0, -1.0), (2, 3.0, 1.0)]
+
+
+def test_correlation_edges(spark):
+    df = spark.createDataFrame([(1, 1.0, 2.0), (1, 2.0, 4.0), (2, 1.0, 1.0), (3, 1.0, 1.0), (3, 1.0, 2.0), (1, None, 9.0)], "k int, x double, y double")
+    got = {r["k"]: r["r"] for r in df.groupBy("k").agg(stats.correlation(F.col("x"), F.col("y")).alias("r")).collect()}
+    assert math.isclose(got[1], 1.0) and got[2] is None and got[3] is None
+
+
+def test_noise_ceiling_and_variance(spark):
+    df = spark.createDataFrame([(0.0, 0.0), (0.0, 0.5), (1.0, 0.9), (1.0, 0.3), (1.0, None)], "q double, r2 double")
+    nc = C.noise_ceiling(F.col("q"))
+    got = [(r[0], r[1]) for r in df.select(nc, C.explained_variance(F.col("r2"), nc)).collect()]
+    assert got[0] == (1e-14, 0.0) and got[1] == (1e-14, 100.0) and got[2] == (0.75, 100.0) and math.isclose(got[3][1], 40.0) and got[4][1] is None
+
+
+def test_masks_and_channels():
+    for mask, length in (("101", 3), ([1, 0], 3), ([0, 2, 1], 3), ([0, 0], 2)):
+        with pytest.raises(InvalidParameterError):
+            select.mask_indices(mask, length)
+    assert select.mask_indices([0, 1, 1], 3) == [1, 2]
+    assert select.check_channels(["b", "a", "b"], ["a", "b"]) == ["b", "a", "b"]
+    with pytest.raises(InvalidParameterError, match="'x', 'y'"):
+        select.check_channels(["x", "a", "y"], ["a"])
+    with pytest.raises(InvalidParameterError):
+        select.check_keys({"roi": 1, "z": 2}, ["roi"])
+
+
+def test_zip_strict_raises(spark):
+    a, b = spark.createDataFrame([(1, 2)], "k int, a int"), spark.createDataFrame([(1, 2), (2, 3)], "k int, b int")
+    with pytest.raises(InvalidParameterError):
+        joins.zip_strict(a, b, ["k"])
+    assert joins.zip_strict(a, b.where("k = 1"), ["k"]).count() == 1
+
+
+def test_global_position(spark):
+    df = spark.createDataFrame([(x,) for x in np.random.default_rng(0).permutation(500).tolist()], "id long").repartition(7)
+    assert sorted((r["id"], r["pos"]) for r in splits.global_position(df, ["id"]).collect()) == [(i, i + 1) for i in range(500)]
+
+
+def test_around_and_baseline(spark):
+    events = spark.createDataFrame([(1, "a", 10), (2, "a", 11)], "trial int, channel string, at long")
+    samples = spark.createDataFrame([("a", t, float(t)) for t in range(20)] + [("b", 10, 1.0)], "channel string, at long, value double")
+    e = epochs.epochs(events, samples, -2, 3, ["channel"])
+    assert sorted((r["trial"], r["offset"], r["value"]) for r in e.collect()) == [(k, o, float(t + o)) for k, t in ((1, 10), (2, 11)) for o in range(-2, 4)]
+    z = epochs.baseline(e, ["trial"], "value", F.col("offset") <= 0, "zscore").where("offset = 0").first()
+    assert math.isclose(z["corrected"], 1 / math.sqrt(2 / 3))
+
+
+def test_area_and_linear_weights(spark):
+    area = fields.area_matrix(spark, 8, 3).groupBy("dst").agg(F.sum("w").alias("w"), F.max("src").alias("top")).collect()
+    assert all(math.isclose(r["w"], 1) for r in area) and max(r["top"] for r in area) == 7
+    raw = fields.area_matrix(spark, 8, 3, normalise=False).agg(F.sum("w")).first()[0]
+    assert math.isclose(raw, 8)
+    assert all(math.isclose(r["w"], 1) for r in fields.linear_matrix(spark, 8, 12).groupBy("dst").agg(F.sum("w").alias("w")).collect())
+
+
+def test_ols_ridge_pca_against_numpy(spark):
+    rng = np.random.default_rng(1)
+    x, noise = rng.normal(size=(200, 4)), rng.normal(size=(200, 2)) * 0.1
+    y = x @ rng.normal(size=(4, 2)) + 3 + noise
+    df = spark.createDataFrame(pd.DataFrame({"x": x.tolist(), "y": y.tolist(), "held": [i % 5 == 0 for i in range(200)]})).repartition(3)
+    design = np.column_stack([np.ones(200), x])
+    assert np.allclose(linalg.ols(df, "x", "y"), np.linalg.lstsq(design, y, rcond=None)[0])
+    mean, loadings, share = linalg.pca(df, "x", 2)
+    u, s, vt = np.linalg.svd(x - x.mean(axis=0))
+    assert np.allclose(np.abs(loadings), np.abs(vt[:2])) and np.allclose(share, (s**2 / (s**2).sum())[:2])
+    scores = np.array([r["scores"] for r in linalg.project(df, "x", mean, loadings).collect()])
+    assert np.allclose(np.sort(scores[:, 0]), np.sort((x - mean) @ loadings[0]))
+    best = linalg.ridge_grid(df, "x", "y", "held", [0.0, 1.0, 1e4])
+    assert set(best["penalty"]) <= {0.0, 1.0}
+    train = np.array([i % 5 != 0 for i in range(200)])
+    w = np.linalg.lstsq(design[train], y[train], rcond=None)[0]
+    zero = best[best["penalty"] == 0.0]
+    for r in zero.itertuples():
+        assert math.isclose(r.loss, float(((y[~train] - design[~train] @ w) ** 2).sum(axis=0)[r.output]), rel_tol=1e-9)
+
+
+def test_scalars(spark):
+    row = spark.createDataFrame([(3.0, -3.0, "ab", [3.0, 4.0])], "a double, b double, s string, v array<double>").select(
+        C.angle_delta(F.col("a"), F.col("b")).alias("d"), C.string_seed(F.lit(2), F.col("s")).alias("seed"), C.unit_norm(F.col("v")).alias("v"), C.clip(F.lit(None).cast("double"), high=100.0).alias("n"), C.one_hot(F.lit(1), 3).alias("o")
+    ).first()
+    assert math.isclose(row["d"], 6 - 2 * math.pi) and row["seed"] == 200 + 97 + 98 and row["v"] == [0.6, 0.8] and row["n"] is None and row["o"] == [0, 1, 0]
+
+
+def test_catalog_and_plug_in(spark):
+    c = Catalog()
+
+    def encoder(subject, selection):
+        def run(batches):
+            for b in batches:
+                yield pd.DataFrame({"stim_id": b["stim_id"], "value": b["x"] * subject})
+
+        return run, "stim_id long, value double"
+
+    c.register(Card("m1", "fmri", "nsd", {"subject": {"valid_values": [1, 2], "example": None}, "roi": {"default": "V1"}}, ("roi",), encoder))
+    stimuli = spark.createDataFrame([(1, 2.0), (2, 3.0)], "stim_id long, x double")
+    assert sorted(tuple(r) for r in c.encode("m1", stimuli, 2, {"roi": "V1"}).collect()) == [(1, 4.0), (2, 6.0)]
+    assert c.describe("m1")["example"] == {"subject": 1, "roi": "V1"} and c.ids() == ["m1"] and c.models(spark).count() == 1
+    with pytest.raises(InvalidParameterError):
+        c.encode("m1", stimuli, 3)
+    with pytest.raises(ModelNotFoundError):
+        c.card("m2")
+
+
+def test_entry_point(spark):
+    import __spark_entry__ as e
+
+    assert e.entry(spark).count() > 0
+    assert set(e.oracle_sql()) <= set(e.queries())
+    assert os.path.exists(SF)

@@ -145,7 +145,7 @@ def test_catalog_and_plug_in(spark):
 
         return run, "stim_id long, value double"
 
-    c.register(Card("m1", "fmri", "nsd", {"subject": {"valid_values": [1, 2], "example": None}, "roi": {"default": "V1"}}, ("roi",), encoder))
+    c.register(Card("m1", "fmri", "set1", {"subject": {"valid_values": [1, 2], "example": None}, "roi": {"default": "V1"}}, ("roi",), encoder))
     stimuli = spark.createDataFrame([(1, 2.0), (2, 3.0)], "stim_id long, x double")
     assert sorted(tuple(r) for r in c.encode("m1", stimuli, 2, {"roi": "V1"}).collect()) == [(1, 4.0), (2, 6.0)]
     assert c.describe("m1")["example"] == {"subject": 1, "roi": "V1"} and c.ids() == ["m1"] and c.models(spark).count() == 1

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,8 +24,10 @@ from pyspark.sql import functions as F
 WORD_END = "</w>"
 #: The file's own pattern; its white space is the Unicode property.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
-CACHE_WORDS = 250_000
+CACHE_WORDS = 150_000
 CACHE_CHARS = 48
+#: Tokens after which a batch of rows is handed on.
+OUT_TOKENS = 200_000
 
 
 def byte_symbols() -> list[str]:
@@ -135,27 +138,41 @@ def encode_documents(docs: DataFrame, path: str, outputs: tuple[str, ...] = ("n_
     with open(path, encoding="utf-8") as f:
         shipped = docs.sparkSession.sparkContext.broadcast(f.read())
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kept = docs.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).cast("string").alias("__text"))
+    names = kept.columns[:-1]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = None
-        for b in batches:
+        for batch in batches:
             bpe = bpe or _worker_bpe(shipped.value)
-            done: dict[str, list] = {c: [] for c in outputs}
-            for text in b.pop("__text"):
-                n, ids, decoded = bpe.encode(text or "")
-                for c in outputs:
-                    if c == "n_tokens":
-                        done[c].append(n)
-                    elif c == "ids":
-                        done[c].append(np.frombuffer(ids, "<u4").astype(np.int32))
-                    elif c == "decoded":
-                        done[c].append(decoded)
-                    else:
-                        done[c].append(hashlib.sha256(ids if c == "ids_sha256" else decoded.encode()).hexdigest())
-            yield b.assign(**done)
+            begin, tokens = 0, 0
+            done: list[tuple[int, bytes, str, str]] = []
+            texts = batch.column(batch.num_columns - 1)
+            for i in range(batch.num_rows):
+                n, ids, decoded = bpe.encode(texts[i].as_py() or "")
+                digest = hashlib.sha256(decoded.encode()).hexdigest() if "decoded_sha256" in outputs else ""
+                done.append((n, ids, decoded if "decoded" in outputs else "", digest))
+                tokens += n
+                if tokens >= OUT_TOKENS or i == batch.num_rows - 1:  # small batches, whatever the rows' length
+                    own = [batch.column(c).slice(begin, len(done)) for c in range(batch.num_columns - 1)]
+                    yield pa.record_batch(own + [_column(c, done) for c in outputs], [*names, *outputs])
+                    begin, tokens, done = i + 1, 0, []
 
-    kept = docs.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).cast("string").alias("__text"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]] + [f"`{c}` {COLUMNS[c]}" for c in outputs])
-    return kept.mapInPandas(rows, schema)
+    return kept.mapInArrow(rows, schema)
+
+
+def _column(name: str, done: list[tuple[int, bytes, str, str]]) -> pa.Array:
+    if name == "n_tokens":
+        return pa.array([x[0] for x in done], pa.int64())
+    if name == "ids":
+        ends = np.cumsum([0] + [x[0] for x in done]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join([x[1] for x in done]), "<i4")))
+    if name == "ids_sha256":
+        return pa.array([hashlib.sha256(x[1]).hexdigest() for x in done], pa.string())
+    if name == "decoded_sha256":
+        return pa.array([x[3] for x in done], pa.string())
+    return pa.array([x[2] for x in done], pa.string())
 
 
 def decode_documents(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BINS = 1 << 14
-BLOCK = 1 << 20
+BLOCK = 1 << 17
 MAX_LABELLED = 400
 UNKNOWN = "und"
 

@@ -24,7 +24,7 @@ from .components import components
 SHINGLE = 3
 SEED = 42
 RADIUS = 2
-#: Fingerprints that the tree of shards is fitted on, at most, and that a shard holds, about.
+#: Fingerprints that the tree of shards is fitted on, and that a shard holds, about.
 SAMPLE, SHARD = 20_000, 20_000
 LEAF = 64
 
@@ -159,7 +159,9 @@ def link_forest(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     depth = max(0, int(np.ceil(np.log2(max(1, n) / SHARD))))
     tree: list = []
     if depth:
-        sample = fps.orderBy(F.xxhash64("fp")).limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64)
+        # By hash, so that the driver gets about SAMPLE rows however many tasks there are.
+        taken = F.pmod(F.xxhash64("fp"), F.lit(1 << 40)) < int((1 << 40) * min(1.0, SAMPLE / n))
+        sample = fps.where(taken).limit(2 * SAMPLE).toPandas()["fp"].to_numpy(np.int64)
         tree = grow(np.sort(sample.view(np.uint64)), depth, radius)
 
     def routed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip, explained_variance, finite_or_zero, noise_ceiling
@@ -16,10 +18,17 @@ def correlation(x: Column, y: Column) -> Column:
 
 
 def zscore(df: DataFrame, value: str, keys: list[str], out: str = "z", fill: float | None = 0.0) -> DataFrame:
-    """Population z-score inside each group; a constant group and missing values give ``fill``."""
-    w = Window.partitionBy(*keys)
-    z = F.try_divide(F.col(value) - F.avg(value).over(w), F.stddev_pop(value).over(w))
-    return df.withColumn(out, z if fill is None else F.coalesce(finite_or_zero(z), F.lit(fill)))
+    """Population z-score inside each group; a constant group and missing values give ``fill``.
+
+    The moments are summed map-side and joined back, so trials aren't shuffled or sorted by group as a window would: the moments are
+    one row a group, which Spark broadcasts if they are small, and a group with a large share of all trials is no hot task.
+    """
+    names = [f"__key{i}" for i in range(len(keys))]
+    moments = df.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)]).agg(F.avg(value).alias("__mean"), F.stddev_pop(value).alias("__sd"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)])
+    z = F.try_divide(F.col(value) - F.col("__mean"), F.col("__sd"))
+    joined = df.join(moments, same)
+    return joined.withColumn(out, z if fill is None else F.coalesce(finite_or_zero(z), F.lit(fill))).drop(*names, "__mean", "__sd")
 
 
 def repeat_mean(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
@@ -38,7 +47,7 @@ def encoding_accuracy(trials: DataFrame, session: str = "session", measured: str
     """Noise-normalised encoding accuracy per unit: r, r2, noise_ceiling, explained_variance.
 
     Responses are z-scored per (session, unit), averaged over repeats, correlated with the predictions over stimuli; negative r
-    counts as 0. One shuffle by (session, unit), one by (unit, stim) that all of the rest is derived from.
+    counts as 0. Only partial sums are shuffled: moments by (session, unit), then means by (unit, stim), then sums by unit.
     """
     z = zscore(trials, measured, [session, "unit"])
     means = z.groupBy("unit", "stim").agg(F.avg("z").alias("z"), F.avg(predicted).alias("p"), F.count("z").alias("n"), F.var_samp("z").alias("var"))

@@ -4,8 +4,8 @@ Texts become 64-bit fingerprints; equal ones collapse before anything is compare
 Hamming distance to vantage points: a small tree, fitted on a bounded sample, cuts them into shards, and a fingerprint within
 the link radius of a cut also goes to the shard beyond it, so every pair within the radius meets in a shard. There a local
 tree is walked with whole blocks of queries, branches that the triangle inequality excludes are skipped, and leaves compare
-exactly. A shard returns a spanning forest of its links rather than all pairs; forests joined over all shards connect exactly
-what the links connect.
+exactly. A shard's queries are its own fingerprints only; those from beyond its cuts are there to be found. A shard returns a
+spanning forest of its links rather than all pairs; forests joined over all shards connect exactly what the links connect.
 """
 
 from __future__ import annotations
@@ -125,16 +125,20 @@ class Forest:
                 self.up[max(x, y)] = min(x, y)
 
 
-def link_all(points: np.ndarray, radius: int = RADIUS) -> Forest:
-    """Links all pairs of distinct points within the radius, by walking a vantage-point tree with blocks of queries."""
+def link_all(points: np.ndarray, radius: int = RADIUS, own: np.ndarray | None = None) -> Forest:
+    """Links all pairs of distinct points within the radius, by walking a vantage-point tree with blocks of queries.
+
+    With ``own`` only the points it marks are queries: pairs of two others are left to the shards that own one of them.
+    """
     forest = Forest(len(points))
+    own = np.ones(len(points), bool) if own is None else own
 
     def compare(members: np.ndarray, queries: np.ndarray) -> None:
         step = max(1, 2_000_000 // max(1, len(members)))
         for at in range(0, len(queries), step):
             q = queries[at : at + step]
             i, j = np.nonzero(np.bitwise_count(points[q][:, None] ^ points[members][None, :]) <= radius)
-            keep = q[i] < members[j]
+            keep = (q[i] < members[j]) | ~own[members[j]]
             forest.link(q[i][keep], members[j][keep])
 
     def walk(members: np.ndarray, queries: np.ndarray) -> None:
@@ -148,8 +152,7 @@ def link_all(points: np.ndarray, radius: int = RADIUS) -> Forest:
         walk(members[d <= cut], queries[q <= cut + radius])
         walk(members[d > cut], queries[q > cut - radius])
 
-    everything = np.arange(len(points))
-    walk(everything, everything)
+    walk(np.arange(len(points)), np.flatnonzero(own))
     return forest
 
 
@@ -167,17 +170,19 @@ def link_forest(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     def routed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fp = b["fp"].to_numpy(np.int64)
-            at, shard, _ = route(tree, fp.view(np.uint64), radius)
-            yield pd.DataFrame({"shard": shard, "fp": fp[at]})
+            at, shard, own = route(tree, fp.view(np.uint64), radius)
+            yield pd.DataFrame({"shard": shard, "fp": fp[at], "own": own})
 
     def linked(group: pd.DataFrame) -> pd.DataFrame:
-        fp = np.sort(group["fp"].to_numpy(np.int64).view(np.uint64))
-        forest = link_all(fp, radius)
+        fp = group["fp"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(fp)
+        fp = fp[order]
+        forest = link_all(fp, radius, group["own"].to_numpy(bool)[order])
         root = np.fromiter((forest.find(i) for i in range(len(fp))), np.int64, len(fp))
-        own = np.arange(len(fp)) != root
-        return pd.DataFrame({"a": fp[own].view(np.int64), "b": fp[root[own]].view(np.int64)})
+        child = np.arange(len(fp)) != root
+        return pd.DataFrame({"a": fp[child].view(np.int64), "b": fp[root[child]].view(np.int64)})
 
-    return fps.mapInPandas(routed, "shard int, fp long").groupBy("shard").applyInPandas(linked, "a long, b long")
+    return fps.mapInPandas(routed, "shard int, fp long, own boolean").groupBy("shard").applyInPandas(linked, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", radius: int = RADIUS) -> DataFrame:

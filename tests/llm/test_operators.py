@@ -313,16 +313,17 @@ def test_simhash_against_brute_force(spark, radius):
     assert by_key(got) == expect
 
 
-def test_simhash_shards_lose_no_pair(spark, monkeypatch):
+@pytest.mark.parametrize("radius", [2, 4])
+def test_simhash_shards_lose_no_pair(spark, monkeypatch, radius):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 1500, dtype=np.uint64)
     flip = lambda x: x ^ (np.uint64(1) << rng.integers(0, 64, len(x)).astype(np.uint64))
     points = np.unique(np.concatenate([base, flip(base[:600]), flip(flip(base[200:700])), flip(flip(flip(base[:300])))]))
     monkeypatch.setattr(simhash, "SHARD", 200)
     fps = spark.createDataFrame([(int(x),) for x in points.view(np.int64)], "fp long").repartition(3)
-    links = components.components(simhash.link_forest(fps)).collect()
+    links = components.components(simhash.link_forest(fps, radius)).collect()
     root = {r["node"]: r["root"] for r in links}
-    near = np.bitwise_count(points[:, None] ^ points[None, :]) <= 2
+    near = np.bitwise_count(points[:, None] ^ points[None, :]) <= radius
     signed = points.view(np.int64)
     comp = signed.copy()
     while True:

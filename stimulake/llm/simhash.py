@@ -25,7 +25,7 @@ SHINGLE = 3
 SEED = 42
 RADIUS = 2
 #: Fingerprints that the tree of shards is fitted on, and that a shard holds, about.
-SAMPLE, SHARD = 20_000, 20_000
+SAMPLE, SHARD = 20_000, 1 << 16
 LEAF = 64
 
 

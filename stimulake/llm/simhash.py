@@ -206,7 +206,11 @@ def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", ra
 
     Of components whose ids are all null one row per fingerprint stays. Columns stay as they are.
     """
-    marks = near_duplicates(docs, text_col, id_col, radius)
+    return keep_marked(docs, near_duplicates(docs, text_col, id_col, radius), text_col, id_col)
+
+
+def keep_marked(docs: DataFrame, marks: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """keep_one() of components that ``marks`` gives in the columns of near_duplicates()."""
     group = F.coalesce(F.col("component_id").cast("string"), F.col("fingerprint"))
     best = marks.groupBy(group.alias("g")).agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("o"), "t_hash", "doc_id")).alias("b"))
     best = best.select(F.struct(F.col("b.doc_id").alias("i")).alias("__id"), F.col("b.t_hash").alias("__hash")).distinct()

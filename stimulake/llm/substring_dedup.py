@@ -2,7 +2,8 @@
 
 Texts are cut into units: lines, and inside a line stretches of words that end where a hash of two neighbouring words says so, so
 that a passage repeated in the middle of a line gives the same units wherever it stands. Units are normalised and hashed; a short
-unit is hashed together with the one before it. Digests are grouped globally, the occurrence that ranks first (smallest id, then
+unit is hashed together with the one before it, and a short head of a line also with the one after it. A line is a unit as a whole
+too, however short. Digests are grouped globally, the occurrence that ranks first (smallest id, then
 position) stays, and the others are cut out of their texts; the original offsets of what was removed are kept.
 
 A unit is a row of 28 bytes or so, written once and shuffled twice, the second time only if Spark can't broadcast the repeated
@@ -29,7 +30,8 @@ EVERY, SHORT = 12, 6
 
 
 def units(text: str) -> Iterator[tuple[int, int, int]]:
-    """(digest, start, end) of the units of a text that may be removed: of SHORT words or more, alone or with the one before.
+    """(digest, start, end) of the units of a text that may be removed: whole lines, and stretches of SHORT words or more, alone or
+    with the one before; those at a line's head that are shorter go with the next one.
 
     Offsets are code points. Case and white space don't count. A unit begins where the one before it on the line ends, white space
     included, so that what is cut out leaves single gaps.
@@ -42,6 +44,7 @@ def units(text: str) -> Iterator[tuple[int, int, int]]:
             low = [m[0].lower() for m in found]
         raw = [w.encode() for w in low]
         begin = start = before = previous = 0
+        head = True  # no unit of this line has been given yet
         last = len(raw) - 1
         for i, w in enumerate(raw):
             now = crc32(w, previous & 0xFFFF)
@@ -49,10 +52,18 @@ def units(text: str) -> Iterator[tuple[int, int, int]]:
             if i == last or now % EVERY == 0:
                 n = i + 1 - begin
                 first = begin if n >= SHORT else before
+                end = len(line) if i == last else found[i + 1].start()
                 if i + 1 - first >= SHORT:
                     h = xxhash.xxh64_intdigest(b" ".join(raw[first : i + 1]), n < SHORT)
-                    end = len(line) if i == last else found[i + 1].start()
-                    yield (h - (1 << 64) if h >> 63 else h), at + start, at + end
+                    alone = n < SHORT and head and not first
+                    yield (h - (1 << 64) if h >> 63 else h), at + (0 if alone else start), at + end
+                    if head and begin and not alone and i < last:
+                        h = xxhash.xxh64_intdigest(b" ".join(raw[: i + 1]), 3)
+                        yield (h - (1 << 64) if h >> 63 else h), at, at + end
+                    head = False
+                if i == last and (begin or n < SHORT):  # else the line is the unit just given
+                    h = xxhash.xxh64_intdigest(b" ".join(raw), 2)
+                    yield (h - (1 << 64) if h >> 63 else h), at, at + len(line)
                 before, begin = begin, i + 1
                 start = len(line) if i == last else found[i + 1].start()
         at += len(line) + 1

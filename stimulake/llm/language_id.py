@@ -89,8 +89,8 @@ class Machines:
     weights: np.ndarray
     bias: np.ndarray
 
-    def shares(self, margins: np.ndarray) -> np.ndarray:
-        """A share per class from the pairs' margins: the mean chance of winning, summing to 1."""
+    def chances(self, margins: np.ndarray) -> np.ndarray:
+        """Per class its mean chance of winning over its own machines: 1 for a sure winner, however many classes there are."""
         won = np.zeros((len(margins), len(self.classes)))
         if not self.pairs:
             return won + 1
@@ -98,7 +98,7 @@ class Machines:
             p = 1 / (1 + np.exp(-np.clip(3 * margins[:, k], -30, 30)))
             won[:, i] += p
             won[:, j] += 1 - p
-        return won / won.sum(axis=1, keepdims=True)
+        return won / (len(self.classes) - 1)
 
 
 def fit_machines(x: np.ndarray, labels: np.ndarray, classes: list[str], steps: int = 150, penalty: float = 1e-3) -> Machines:
@@ -147,14 +147,14 @@ class LanguageModel:
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         margins, count = self._margins(self.families, texts)
-        shares = self.families.shares(margins)
-        family, score = shares.argmax(axis=1), shares.max(axis=1)
+        chances = self.families.chances(margins)
+        family, score = chances.argmax(axis=1), chances.max(axis=1)
         said = np.full(len(texts), UNKNOWN, object)
         for f, name in enumerate(self.families.classes):
             rows = np.flatnonzero((family == f) & (count > 0))
             m = self.languages[name]
             if len(rows):
-                inner = m.shares(self._margins(m, [texts[i] for i in rows])[0] if m.pairs else np.zeros((len(rows), 0)))
+                inner = m.chances(self._margins(m, [texts[i] for i in rows])[0] if m.pairs else np.zeros((len(rows), 0)))
                 said[rows] = np.array(m.classes, object)[inner.argmax(axis=1)]
                 score[rows] *= inner.max(axis=1)
         score[count == 0] = 0.0
@@ -210,7 +210,7 @@ def identify(docs: DataFrame, model: LanguageModel | None = None, text_col: str
     """One row per document: doc_id, held_out, lang_pred, score.
 
     The model is fitted on ``docs`` unless given. A text that is null or has no letter is ``und`` with score 0, as is every text if
-    there is nothing to learn from. score is the family's share times the language's within it. Null ids and repeated rows come
+    there is nothing to learn from. score is the family's mean chance of winning times the language's within it. Null ids and repeated rows come
     back as they are; other columns are not read. An empty table gives an empty result.
     """
     model = model or fit(docs, text_col, id_col, lang_col)

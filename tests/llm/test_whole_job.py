@@ -2,7 +2,24 @@
 
 import random
 
-from stimulake.llm import substring_dedup
+import pytest
+
+from stimulake.llm import language_id, substring_dedup
+
+# ---- language identification with many families ----
+
+ALPHABETS = {"en": "etaoinshrdlu", "fr": "éàèçùêîôûœ", "ru": "оеаинтсрвлкм", "zh": "的一是不了人我在有他", "ja": "のにはをたがでてとし", "ar": "المنيتربعده"}
+GERMANIC = {"en": "etaoinshrdlu", "de": "enisratdhuäö", "nl": "jkvzgpbwmcqx", "sv": "åfyþðøæéáíóú"}
+
+
+@pytest.mark.parametrize("alphabets", [ALPHABETS, GERMANIC | {"fr": "çùêîôû", "ru": ALPHABETS["ru"]}])
+def test_clean_documents_of_many_families_stay(spark, alphabets):
+    rnd = random.Random(4)
+    text = lambda a: " ".join("".join(rnd.choice(a) for _ in range(rnd.randrange(2, 8))) for _ in range(60))
+    rows = [(k, text(a), lang) for k, (lang, a) in enumerate([x for x in alphabets.items() for _ in range(40)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language_id.keep_identified(docs).count() == len(rows)
+
 
 # ---- repeated short lines and heads of lines ----
 

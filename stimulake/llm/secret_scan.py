@@ -2,8 +2,8 @@
 
 Plain patterns label credentials of three kinds. From a bounded sample of distinct labelled values per kind a prefix tree over
 character classes is built, and states whose futures are statistically compatible (Hoeffding bound on the share of every
-class and of stopping, down both subtrees) are merged into a probabilistic automaton. Every other long run of credential
-characters is then a candidate: if an automaton gives its format a likelihood well above that of the corpus' ordinary runs
+class and of stopping, down both subtrees) are merged into a probabilistic automaton. Every other run of LEAST or more credential
+characters, and what labelled spans leave of a run, is then a candidate: if an automaton gives its format a likelihood well above that of the corpus' ordinary runs
 (a Markov chain over all of them), it is a span too.
 
 Texts are scanned where they are; only labelled values and class-pair counts are shuffled, summed before.
@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""((?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
-RUN = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}")
+#: The shortest labelled value, and so the shortest run that is scored.
+LEAST = 8
+RUN = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{%d,}" % LEAST)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -53,11 +55,11 @@ END = "$"
 
 
 def base_spans(text: str) -> tuple[list[tuple[int, int, int, str]], list[tuple[int, int]]]:
-    """Labelled spans (start, kind, end, value) in order, and the runs (start, end) they don't touch."""
+    """Labelled spans (start, kind, end, value) in order, and the runs (start, end), without what spans cover."""
     spans = []
     low = text.lower()
     if any(h in low for h in HINTS):
-        spans += [(m.start(), 0, m.end(), m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
+        spans += [(m.start(), 0, m.end(), m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST]
     runs = []
     for r in RUN.finditer(text):
         run, at = r[0], r.start()
@@ -68,15 +70,26 @@ def base_spans(text: str) -> tuple[list[tuple[int, int, int, str]], list[tuple[i
         runs.append((at, r.end()))
     spans.sort()
     if spans:
-        runs = [(a, b) for a, b in runs if not any(s < b and a < e for s, _, e, _ in spans)]
+        runs = [piece for a, b in runs for piece in uncovered(a, b, spans)]
     return spans, runs
 
 
+def uncovered(start: int, end: int, spans: list[tuple[int, int, int, str]]) -> Iterator[tuple[int, int]]:
+    """The pieces of a run that spans, in order, leave: of LEAST characters or more."""
+    for s, _, e, _ in spans:
+        if s < end and start < e:
+            if s - start >= LEAST:
+                yield start, s
+            start = max(start, e)
+    if end - start >= LEAST:
+        yield start, end
+
+
 def candidate(text: str, start: int, end: int) -> tuple[int, int]:
-    """A run without the punctuation at its ends."""
+    """A run without the punctuation at its ends; = may close a value but not begin it."""
     while end > start and text[end - 1] in ".-_/":
         end -= 1
-    while start < end and text[start] in ".-_/":
+    while start < end and text[start] in ".-_/=":
         start += 1
     return start, end
 
@@ -231,7 +244,7 @@ def scan_text(text: str, formats: Formats) -> tuple[list[tuple[int, int, int, st
     extra = []
     for run in runs:
         a, b = candidate(text, *run)
-        if b - a >= 16 and (kind := formats.kind(text[a:b])):
+        if b - a >= LEAST and (kind := formats.kind(text[a:b])):
             extra.append((a, 3 + KINDS.index(kind), b))
     every = sorted([(s, k, e) for s, k, e, _ in spans] + extra)
     names = (*KINDS, *(f"like_{k}" for k in KINDS))

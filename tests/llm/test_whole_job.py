@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from stimulake.llm import language_id, substring_dedup
+from stimulake.llm import language_id, secret_scan, substring_dedup
 
 # ---- language identification with many families ----
 
@@ -21,6 +21,23 @@ def test_clean_documents_of_many_families_stay(spark, alphabets):
     assert language_id.keep_identified(docs).count() == len(rows)
 
 
+# ---- secrets that are short or stand beside labelled ones ----
+
+
+def test_short_values_and_neighbours_of_labelled_ones_are_found(spark):
+    rnd = random.Random(6)
+    hexes = lambda n: "".join(rnd.choice("0123456789abcdef") for _ in range(n))
+    access = lambda: "AKIA" + "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16))
+    texts = [f"some ordinary documents and sentences about gardening follow token={hexes(rnd.randrange(8, 16))} or {access()} afterwards everything continues" for _ in range(200)]
+    formats = secret_scan.learn_formats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    for sep in "/=-":
+        key, other = access(), "4f0a9c3e7b1d82"
+        text = f"documents {key}{sep}{other} everything"
+        assert secret_scan.redact(text, secret_scan.scan_text(text, formats)[1]) == f"documents <SECRET>{sep}<SECRET> everything"
+    text = "sentences 9d2c41b7e0 gardening"
+    assert secret_scan.redact(text, secret_scan.scan_text(text, formats)[1]) == "sentences <SECRET> gardening"
+
+
 # ---- repeated short lines and heads of lines ----
 
 

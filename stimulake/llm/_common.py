@@ -15,12 +15,15 @@ WS = " \t\n\x0b\x0c\r"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, a laptop) a temporary folder is made and set.
+    Only where that is unset and all runs in one process (tests, a laptop) a temporary folder is made and set; on a cluster an
+    unset folder is an error, as a temporary one would not be shared.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context = spark.sparkContext
         if not context.getCheckpointDir():
+            if not context.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="stimulake-checkpoint-"))
         found = context.getCheckpointDir()
     return found.rstrip("/")
@@ -34,6 +37,18 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_names(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores in front until no column has them (case doesn't count)."""
+    taken = {c.lower() for c in columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def word_array(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text; an empty array for null or blank texts.
 

@@ -1,70 +1,61 @@
 """Language-model scoring with a weighted backoff automaton.
 
 The model is a byte n-gram model of the lower-cased words, joined by single spaces and closed by a newline. Contexts are states;
-a seen continuation is an arc with its smoothed log-probability (interpolated Witten-Bell), and a failure arc leads to the
-next shorter context with the backoff weight. A left-to-right traversal carries the state and adds the weights; contexts are kept
-closed under prefixes and suffixes, so the state before a byte is its longest known context, and blocks of positions walk their
-failure arcs together in numpy, to the same sums.
-
-Counts cover every training document: tasks count words and n-grams, Spark adds them up. What is broadcast is bounded: the most
-frequent n-grams of each order and the most frequent words. The base score needs the count of every word: the frequent words
-are looked up in the task, all others go as rows of (word, document) through a join with the full word table.
+a seen continuation is an arc with its smoothed log-probability (interpolated Witten-Bell), and a failure arc leads to the next
+shorter context with the backoff weight. Every n-gram of the training documents is in the model, however rare.
+
+Counting, smoothing and hand-out are Spark jobs, and nothing of the model passes the driver or is broadcast. Tasks count words and
+n-grams of the greatest order; shorter ones, contexts and smoothed probabilities follow by groupings and joins, one order after
+the other. Documents lie in blocks of bounded size. A block asks for the n-grams and words it holds, a join answers from the model,
+and the block builds the part of the automaton that its texts can reach: that part is closed under prefixes and suffixes, so a
+traversal in it equals one in the whole automaton. Pieces of texts walk it side by side from left to right, each carrying its state.
 """
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import materialize
 
-ORDER = 6
-#: Bounds of what is broadcast: n-grams of each order, words, and bytes of such a word.
-MAX_GRAMS, MAX_WORDS, MAX_WORD_BYTES = 150_000, 200_000, 64
+ORDER = 5
+#: Bytes of text of a block, and of a piece of a text that walks the automaton beside others.
+BLOCK, PIECE = 1 << 25, 2048
 #: Distinct words, bytes of text and distinct n-grams that a task gathers before it hands counts on.
-FLUSH_WORDS, FLUSH_BYTES, FLUSH_GRAMS = 200_000, 4_000_000, 2_000_000
-#: Positions that are scored together.
-BLOCK = 1 << 19
+FLUSH_WORDS, FLUSH_BYTES, FLUSH_GRAMS = 400_000, 4_000_000, 2_000_000
+#: The order under which words are kept beside n-grams; their keys are 64-bit hashes. LINES counts documents.
+WORD, LINES = 0, -1
 
 
 def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def _counted(counts: Counter) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["key", "n"])
+class WordKeys(dict):
+    """Signed 64-bit hashes of words, remembered."""
 
-
-def count_words(texts: DataFrame) -> DataFrame:
-    """(text binary) to (key, n): how often each word stands in the texts."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter = Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                words.update(words_of(text or b""))
-                if len(words) >= FLUSH_WORDS:
-                    yield _counted(words)
-                    words = Counter()
-        if words:
-            yield _counted(words)
-
-    return texts.mapInArrow(rows, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= FLUSH_WORDS:
+            self.clear()
+        h = xxhash.xxh64_intdigest(word, 9)
+        self[word] = h = h - (1 << 64) if h >> 63 else h
+        return h
 
 
 def gram_keys(lines: list[bytes]) -> np.ndarray:
     """The ORDER-grams that end at each byte of each line and at its closing newline, as integers; newlines stand before."""
-    x = np.frombuffer(b"".join(b"\n" * (ORDER - 1) + s + b"\n" for s in lines), np.uint8).astype(np.uint64)
-    key = np.zeros(len(x) - ORDER + 1, np.uint64)
+    x = np.frombuffer(b"".join(b"\n" * (ORDER - 1) + s + b"\n" for s in lines), np.uint8).astype(np.int64)
+    key = np.zeros(len(x) - ORDER + 1, np.int64)
     for k in range(ORDER):
-        key = key << np.uint64(8) | x[k : len(x) - ORDER + 1 + k]
+        key = key << 8 | x[k : len(x) - ORDER + 1 + k]
     keep = np.ones(len(x), bool)
     ends = np.cumsum([len(s) + ORDER for s in lines])
     for k in range(1, ORDER):  # windows that reach into the next line
@@ -72,204 +63,222 @@ def gram_keys(lines: list[bytes]) -> np.ndarray:
     return key[keep[: len(key)]]
 
 
+def _mask(k: int) -> int:
+    return (1 << 8 * k) - 1
+
+
 def _sum_keys(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     keys, where = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
     return keys, np.bincount(where, np.concatenate([n for _, n in parts])).astype(np.int64)
 
 
-def count_grams(texts: DataFrame) -> DataFrame:
-    """(text binary) to (key, n): how often each ORDER-gram stands in the texts; key holds its bytes, the first one highest."""
+class Gathered:
+    """Words and ORDER-grams of texts with their counts, in bounded memory."""
+
+    def __init__(self) -> None:
+        self.words: Counter = Counter()
+        self.keys = WordKeys()
+        self.lines: list[bytes] = []
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = self.n_lines = 0
+
+    def add(self, text: bytes) -> None:
+        w = words_of(text)
+        self.words.update(map(self.keys.__getitem__, w))
+        self.lines.append(b" ".join(w))
+        self.n_lines += 1
+        self.size += len(self.lines[-1]) + ORDER
+        if self.size >= FLUSH_BYTES:
+            self._pack()
+
+    def _pack(self) -> None:
+        if self.lines:
+            self.parts.append(np.unique(gram_keys(self.lines), return_counts=True))
+            self.lines, self.size = [], 0
+        if len(self.parts) > 1 and sum(len(k) for k, _ in self.parts) >= FLUSH_GRAMS:
+            self.parts = [_sum_keys(self.parts)]
+
+    def full(self) -> bool:
+        return len(self.words) >= FLUSH_WORDS or sum(len(k) for k, _ in self.parts) >= FLUSH_GRAMS
+
+    def take(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+        """Words, their counts, ORDER-grams, their counts, number of texts; starts afresh."""
+        self._pack()
+        grams, n = _sum_keys(self.parts) if self.parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        words = np.fromiter(self.words, np.int64, len(self.words))
+        counts = np.fromiter(self.words.values(), np.int64, len(self.words))
+        lines = self.n_lines
+        self.words, self.parts, self.n_lines = Counter(), [], 0
+        return words, counts, grams, n, lines
+
+
+def count(texts: DataFrame) -> DataFrame:
+    """(text binary) to (k, key, n): how often each word (k = WORD) and each n-gram of k = 1 to ORDER bytes stands in the texts.
+
+    The row of k = LINES counts the texts.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lines: list[bytes] = []
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
+        found = Gathered()
 
         def out() -> pa.RecordBatch:
-            keys, n = _sum_keys(parts)
-            return pa.record_batch([pa.array(keys.view(np.int64)), pa.array(n)], ["key", "n"])
+            words, n_words, grams, n, lines = found.take()
+            k = np.concatenate([np.full(len(words), WORD), np.full(len(grams), ORDER), [LINES]]).astype(np.int8)
+            return pa.record_batch([pa.array(k), pa.array(np.concatenate([words, grams, [0]])), pa.array(np.concatenate([n_words, n, [lines]]))], ["k", "key", "n"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                lines.append(b" ".join(words_of(text or b"")))
-                size += len(lines[-1]) + ORDER
-                if size >= FLUSH_BYTES:
-                    parts.append(np.unique(gram_keys(lines), return_counts=True))
-                    lines, size = [], 0
-                    if sum(len(k) for k, _ in parts) >= FLUSH_GRAMS:
-                        parts = [_sum_keys(parts)]
-                        if len(parts[0][0]) >= FLUSH_GRAMS // 2:
-                            yield out()
-                            parts = []
-        if lines:
-            parts.append(np.unique(gram_keys(lines), return_counts=True))
-        if parts:
-            yield out()
-
-    return texts.mapInArrow(rows, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def most_frequent(df: DataFrame, bound: int) -> DataFrame:
-    """The rows of the greatest n, ``bound`` at most: of those that tie for the last places none.
-
-    The least n comes from a histogram of a few thousand bins, so no task or driver sorts candidates of every partition.
-    """
-    n = F.col("n")
-    bins = F.when(n < 4096, n).otherwise(4096 + F.floor(F.log2(n / 4096) * 64))
-    least, total = None, 0
-    for r in sorted(df.groupBy(bins.alias("b")).agg(F.count("*").alias("k"), F.min("n").alias("n")).collect(), reverse=True):
-        total += r["k"]
-        if total > bound:
-            break
-        least = r["n"]
-    return df.where(F.lit(False) if least is None else n >= least)
-
-
-class Backoff:
-    """The automaton: arcs by state and byte, a failure state and its weight by state. States count in steps of 256.
-
-    Arcs are kept as arrays, and as a dictionary only where a text is scored.
-    """
-
-    def __init__(self, counts: dict[bytes, int]) -> None:
-        """counts has n-grams of 1 to ORDER bytes; those of shorter ones cover all longer ones."""
-        total = sum(n for g, n in counts.items() if len(g) == 1)
-        prob = {bytes([c]): (counts.get(bytes([c]), 0) + 0.5) / (total + 128) for c in range(256)}
-        state, fail, weight = {b"": 0}, [0], [0.0]
-
-        def lower(g: bytes) -> float:
-            """Probability of the last byte of g after those before it, or as many of them as are known."""
-            p = 1.0
-            while g not in prob:
-                if g[:-1] in state:
-                    p *= 10 ** weight[state[g[:-1]] // 256]
-                g = g[1:]
-            return p * prob[g]
-
-        longer = sorted((g for g in counts if len(g) > 1), key=lambda g: (len(g), g))
-        for h, seen in groupby(longer, key=lambda g: g[:-1]):
-            if h[1:] not in state or h not in prob:
-                continue  # without its suffix a context can't fail over, and without its prefix it isn't reached
-            grams = list(seen)
-            n, kinds = max(sum(counts[g] for g in grams), counts.get(h, 0)), len(grams)
-            short = [lower(g[1:]) for g in grams]
-            own = [(counts[g] + kinds * q) / (n + kinds) for g, q in zip(grams, short)]
-            prob.update(zip(grams, own))
-            rest, rest_short = 1 - sum(own), 1 - sum(short)
-            state[h] = 256 * len(state)
-            fail.append(state[h[1:]])
-            weight.append(math.log10(rest / rest_short) if rest > 1e-12 and rest_short > 1e-12 else -12.0)
-
-        def reached(g: bytes) -> int:
-            g = g[1 - ORDER :]
-            while g not in state:
-                g = g[1:]
-            return state[g]
-
-        self.fail, self.weight = fail, weight
-        self.keys = np.fromiter((state[g[:-1]] + g[-1] for g in prob), np.int64, len(prob))
-        self.to = np.fromiter((reached(g) for g in prob), np.int64, len(prob))
-        self.start = reached(b"\n" * ORDER)
-        self.arcs: dict[int, tuple[int, float]] | None = None
-        # A hash table from length and bytes of an n-gram to the logarithm of its arc and the weight of its failure arc as a context.
-        grams = list(prob)
-        tagged = np.fromiter((len(g) << 8 * ORDER | int.from_bytes(g, "big") for g in grams), np.uint64, len(grams))
-        self.logs = np.log10(np.fromiter(prob.values(), np.float64, len(prob)))
-        weights = np.fromiter((weight[state[g] >> 8] if g in state else 0.0 for g in grams), np.float64, len(grams))
-        self.bits = max(4, int(4 * len(grams)).bit_length())
-        self.table = np.zeros(1 << self.bits, np.uint64)
+                found.add(text or b"")
+                if found.full():
+                    yield out()
+        yield out()
+
+    longest = materialize(texts.mapInArrow(rows, "k byte, key long, n long").groupBy("k", "key").agg(F.sum("n").alias("n")), "lm-counts")
+    orders = [F.struct(F.lit(k).cast("byte").alias("k"), F.col("key").bitwiseAND(_mask(k)).alias("key")) for k in range(1, ORDER)]
+    shorter = longest.where(F.col("k") == ORDER).select(F.explode(F.array(*orders)).alias("g"), "n").groupBy("g.k", "g.key").agg(F.sum("n").alias("n"))
+    return longest.unionByName(shorter)
+
+
+def smooth(counts: DataFrame, total: int) -> DataFrame:
+    """The automaton as a table (k, key, v, bow): v is the log10 probability of an n-gram's last byte after those before it (of a word
+    its count), bow that of the failure arc of an n-gram that is a context. total is the number of bytes trained on."""
+    grams = counts.where(F.col("k") >= 1)
+    contexts = grams.where("k > 1").groupBy((F.col("k") - 1).cast("byte").alias("k"), F.shiftright("key", 8).alias("key")).agg(F.sum("n").alias("of"), F.count("*").alias("kinds"))
+    contexts = materialize(contexts, "lm-contexts")
+    level = materialize(grams.where("k = 1").select("key", ((F.col("n") + 0.5) / F.lit(total + 128.0)).alias("p")), "lm-level")
+    levels = [level.withColumn("k", F.lit(1).cast("byte"))]
+    for k in range(2, ORDER + 1):
+        own = grams.where(F.col("k") == k).select("key", "n", F.shiftright("key", 8).alias("context"), F.col("key").bitwiseAND(_mask(k - 1)).alias("suffix"))
+        after = contexts.where(F.col("k") == k - 1).select(F.col("key").alias("context"), "of", "kinds")
+        short = level.select(F.col("key").alias("suffix"), F.col("p").alias("q"))
+        level = own.join(after, "context").join(short, "suffix").select("key", ((F.col("n") + F.col("kinds") * F.col("q")) / (F.col("of") + F.col("kinds"))).alias("p"))
+        level = materialize(level, "lm-level")
+        levels.append(level.withColumn("k", F.lit(k).cast("byte")))
+    probs = levels[0]
+    for x in levels[1:]:
+        probs = probs.unionByName(x)
+    back = contexts.select("k", "key", F.log10(F.col("kinds") / (F.col("of") + F.col("kinds"))).alias("bow"))
+    states = probs.select("k", "key", F.log10("p").alias("v")).join(back, ["k", "key"], "full")
+    words = counts.where(F.col("k") == WORD).select("k", "key", F.col("n").cast("double").alias("v"), F.lit(None).cast("double").alias("bow"))
+    return states.unionByName(words)
+
+
+class Places:
+    """A hash table from positive integers to their places in an array."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.bits = max(4, int(3 * len(keys)).bit_length())
+        self.keys = np.zeros(1 << self.bits, np.int64)
         self.slot = np.zeros(1 << self.bits, np.int32)
-        rest = np.arange(len(grams))
-        at = self._place(tagged)
+        rest, at = np.arange(len(keys)), self._at(keys)
         while len(rest):  # of those that meet in an empty place one stays, the others move on
-            free = self.table[at[rest]] == 0
-            self.table[at[rest[free]]] = tagged[rest[free]]
+            free = self.keys[at[rest]] == 0
+            self.keys[at[rest[free]]] = keys[rest[free]]
             self.slot[at[rest[free]]] = rest[free]
-            rest = rest[self.table[at[rest]] != tagged[rest]]
+            rest = rest[self.keys[at[rest]] != keys[rest]]
             at[rest] = (at[rest] + 1) & ((1 << self.bits) - 1)
-        self.logs_weights = np.stack([self.logs, weights])
 
-    def _place(self, tagged: np.ndarray) -> np.ndarray:
-        return (tagged * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+    def _at(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).view(np.int64)
 
-    def _find(self, tagged: np.ndarray) -> np.ndarray:
-        """The slots of n-grams, -1 for those that aren't there."""
-        at = self._place(tagged)
-        found = np.full(len(tagged), -1, np.int32)
-        rest = np.arange(len(tagged))
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The places of keys, -1 for those that aren't there."""
+        at = self._at(keys)
+        there = self.keys[at]
+        found = np.where(there == keys, self.slot[at], np.int32(-1))
+        rest = np.flatnonzero((there != keys) & (there != 0))
         while len(rest):
-            there = self.table[at[rest]]
-            hit = there == tagged[rest]
+            at[rest] = (at[rest] + 1) & ((1 << self.bits) - 1)
+            there = self.keys[at[rest]]
+            hit = there == keys[rest]
             found[rest[hit]] = self.slot[at[rest[hit]]]
             rest = rest[~hit & (there != 0)]
-            at[rest] = (at[rest] + 1) & ((1 << self.bits) - 1)
         return found
 
-    def scores(self, lines: list[bytes]) -> np.ndarray:
-        """score() of each line; positions go through the automaton in blocks of bounded size."""
-        total = np.zeros(len(lines))
-        block: list[tuple[int, bytes, bytes]] = []
-        size = 0
-        for i, line in enumerate(lines):
-            line += b"\n"
-            for k in range(0, len(line), BLOCK):
-                before = line[max(0, k - ORDER + 1) : k].rjust(ORDER - 1, b"\n")
-                block.append((i, before, line[k : k + BLOCK]))
-                size += len(block[-1][2])
-                if size >= BLOCK:
-                    self._add(total, block)
-                    block, size = [], 0
-        if block:
-            self._add(total, block)
-        return total
-
-    def _add(self, total: np.ndarray, block: list[tuple[int, bytes, bytes]]) -> None:
-        x = np.frombuffer(b"".join(before + body for _, before, body in block), np.uint8).astype(np.uint64)
-        lengths = np.array([len(body) for _, _, body in block])
-        ends = np.cumsum(lengths + ORDER - 1)
-        own = np.ones(len(x), bool)
-        for k in range(ORDER - 1):
-            own[ends - lengths - 1 - k] = False
-        key = np.zeros(len(x), np.uint64)
-        for k in range(ORDER):
-            key[ORDER - 1 :] |= x[ORDER - 1 - k : len(x) - k] << np.uint64(8 * k)
-        key = key[own]
-        sums = np.zeros(len(key))
-        rest = np.arange(len(key))
-        for k in range(ORDER, 0, -1):  # from the longest context along the failure arcs
-            gram = key[rest] & np.uint64((1 << 8 * k) - 1)
-            slot = self._find(gram | np.uint64(k << 8 * ORDER))
-            hit = slot >= 0
-            sums[rest[hit]] += self.logs_weights[0, slot[hit]]
-            rest = rest[~hit]
-            if k > 1 and len(rest):
-                context = self._find(gram[~hit] >> np.uint64(8) | np.uint64(k - 1 << 8 * ORDER))
-                sums[rest] += np.where(context >= 0, self.logs_weights[1, context], 0.0)
-        np.add.at(total, [i for i, _, _ in block], np.add.reduceat(sums, np.cumsum(lengths) - lengths))
-
-    def score(self, line: bytes) -> float:
-        """log10 probability of a line and the newline that ends it."""
-        if self.arcs is None:
-            self.arcs = dict(zip(self.keys.tolist(), zip(self.to.tolist(), self.logs.tolist())))
-        s, total, get, fail, weight = self.start, 0.0, self.arcs.get, self.fail, self.weight
-        for c in line + b"\n":
-            while (arc := get(s + c)) is None:
-                total += weight[s >> 8]
-                s = fail[s >> 8]
-            s, p = arc
-            total += p
-        return total
 
+class Automaton:
+    """States, arcs and failure arcs of the n-grams given: state 0 is the empty context, whose arcs all bytes have."""
+
+    def __init__(self, k: np.ndarray, key: np.ndarray, log_p: np.ndarray, bow: np.ndarray, unseen: float) -> None:
+        """log_p is nan for contexts that are no n-grams, bow for n-grams that are no contexts; unseen is of a byte never seen."""
+        k, key = k.astype(np.int64), key.astype(np.int64)
+        context = ~np.isnan(bow)
+        ck, ckey = k[context], key[context]
+        states = Places(self._tag(ck, ckey))
+
+        def state(length: np.ndarray, of: np.ndarray) -> np.ndarray:
+            """The states of contexts (0 for the empty one, -1 for none)."""
+            return np.where(length == 0, 0, np.where((at := states.find(self._tag(length, of))) >= 0, at + 1, -1))
+
+        def reached(length: np.ndarray, of: np.ndarray) -> np.ndarray:
+            """The states of the longest suffixes, of length at most, that are contexts."""
+            found = np.full(len(of), -1)
+            length = length.copy()
+            while len(rest := np.flatnonzero(found < 0)):
+                found[rest] = state(length[rest], of[rest] & ((1 << 8 * length[rest]) - 1))
+                length[rest] -= 1
+            return found
+
+        self.bow = np.concatenate(([0.0], bow[context]))
+        self.fail = np.concatenate(([0], reached(ck - 1, ckey)))
+        gram = ~np.isnan(log_p)
+        gk, gkey, self.log_p = k[gram], key[gram], log_p[gram]
+        missing = np.setdiff1d(np.arange(256), gkey[gk == 1])
+        gk, gkey = np.concatenate((gk, np.ones(len(missing), np.int64))), np.concatenate((gkey, missing))
+        self.log_p = np.concatenate((self.log_p, np.full(len(missing), unseen)))
+        self.to = reached(np.minimum(gk, ORDER - 1), gkey)
+        self.arcs = Places((state(gk - 1, gkey >> 8) << 8 | gkey & 255) + 1)
+        newlines = int.from_bytes(b"\n" * (ORDER - 1), "big")
+        self.start = int(reached(np.array([ORDER - 1]), np.array([newlines]))[0])
+
+    @staticmethod
+    def _tag(k: np.ndarray, key: np.ndarray) -> np.ndarray:
+        return (k << 8 * ORDER | key) + 1
+
+    def step(self, at: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after a byte, failure arcs included, and the weights met."""
+        arc = self.arcs.find((at << 8 | byte) + 1)
+        weight = self.log_p[arc]
+        lost = np.flatnonzero(arc < 0)
+        if len(lost):
+            weight[lost] = 0.0
+            at = at.copy()
+            while len(lost):
+                weight[lost] += self.bow[at[lost]]
+                at[lost] = self.fail[at[lost]]
+                arc[lost] = self.arcs.find((at[lost] << 8 | byte[lost]) + 1)
+                lost_now = arc[lost] < 0
+                weight[lost[~lost_now]] += self.log_p[arc[lost[~lost_now]]]
+                lost = lost[lost_now]
+        return self.to[arc], weight
 
-def fit(train: DataFrame) -> Backoff:
-    """The automaton from the most frequent n-grams of each order; counts of shorter ones are sums over all ORDER-grams."""
-    grams = materialize(count_grams(train), "lm-grams")
-    kept: dict[bytes, int] = {}
-    for k in range(1, ORDER + 1):
-        g = grams.select(F.col("key").bitwiseAND((1 << 8 * k) - 1).alias("g"), "n").groupBy("g").agg(F.sum("n").alias("n"))
-        top = most_frequent(g, MAX_GRAMS).toArrow()
-        kept.update((x.to_bytes(k, "big"), n) for x, n in zip(top["g"].to_pylist(), top["n"].to_pylist()))
-    return Backoff(kept)
+    def scores(self, lines: list[bytes]) -> np.ndarray:
+        """log10 probability of each line with the newline that ends it.
+
+        Long lines are cut into pieces; the state in which a piece begins is that after the bytes just before it.
+        """
+        lengths = np.array([len(s) + 1 for s in lines])
+        x = np.frombuffer(b"".join(s + b"\n" for s in lines), np.uint8)
+        pieces = -(-lengths // PIECE)
+        line = np.repeat(np.arange(len(lines)), pieces)
+        nth = np.arange(len(line)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        begin = np.repeat(np.cumsum(lengths) - lengths, pieces) + nth * PIECE
+        length = np.minimum(PIECE, np.repeat(lengths, pieces) - nth * PIECE)
+        order = np.argsort(-length, kind="stable")
+        line, begin, length, nth = line[order], begin[order], length[order], nth[order]
+        at = np.where(nth == 0, self.start, 0)
+        later = np.flatnonzero(nth > 0)
+        for back in range(1 - ORDER, 0):
+            at[later], _ = self.step(at[later], x[begin[later] + back].astype(np.int64))
+        sums, total = np.zeros(len(line)), np.zeros(len(lines))
+        active = np.searchsorted(-length, -np.arange(1, PIECE + 1), side="right")  # pieces of that length or more
+        for i, n in enumerate(active.tolist()):
+            if not n:
+                break
+            at[:n], weight = self.step(at[:n], x[begin[:n] + i].astype(np.int64))
+            sums[:n] += weight
+        np.add.at(total, line, sums)
+        return total
 
 
 def held_out(doc_id: Column) -> Column:
@@ -277,80 +286,93 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 10 == 0, F.lit(False))
 
 
+def in_blocks(docs: DataFrame) -> DataFrame:
+    """(doc_id, text binary) with a block number: documents in the order of their tasks, BLOCK bytes a block, or one longer text."""
+    total = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, size = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            numbers = []
+            for n in pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist():
+                if size and size + n > BLOCK:
+                    block, size = block + 1, 0
+                size += n
+                numbers.append(block)
+            yield pa.record_batch([*batch.columns, pa.array(numbers, pa.int64())], ["doc_id", "text", "block"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return materialize(docs.coalesce(max(1, -(-total // BLOCK))).mapInArrow(rows, f"doc_id {kind}, text binary, block long"), "lm-blocks")
+
+
+def asked(blocks: DataFrame) -> DataFrame:
+    """The (block, k, key) of all words and n-grams in the texts of each block; some may come twice."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, now = Gathered(), None
+
+        def out() -> pa.RecordBatch:
+            words, _, grams, _, _ = found.take()
+            kinds, keys = [np.full(len(words), WORD)], [words]
+            for k in range(ORDER, 0, -1):
+                grams = np.unique(grams & _mask(k))
+                newlines = [int.from_bytes(b"\n" * k, "big")] if k < ORDER else []
+                keys.append(np.union1d(grams, np.array(newlines, np.int64)))
+                kinds.append(np.full(len(keys[-1]), k))
+            key = np.concatenate(keys)
+            return pa.record_batch([pa.array(np.full(len(key), now)), pa.array(np.concatenate(kinds).astype(np.int8)), pa.array(key)], ["block", "k", "key"])
+
+        for batch in batches:
+            for block, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if now is not None and (block != now or found.full()):
+                    yield out()
+                now = block
+                found.add(text or b"")
+        if now is not None:
+            yield out()
+
+    return blocks.select("block", "text").mapInArrow(rows, "block long, k byte, key long")
+
+
 def score_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are the lower-cased words and one end; the model and the counts come from the documents that aren't held out.
-    base_score is the add-0.1 unigram score, score the automaton's; both log10. Null texts count as empty (one token). Rows
-    that agree in id and text are returned as often as they come; null ids train. Other columns are not read. Without any
-    training document the counts are zero and all bytes are equally likely. An empty table gives an empty result.
+    base_score is the add-0.1 unigram score, score the automaton's; both log10. Null texts count as empty (one token). Repeated
+    rows are returned as often as they come; null ids train. Other columns are not read. Without any training document the counts
+    are zero and all bytes are equally likely. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    train = d.where(~held_out(F.col("doc_id"))).select(F.col("text").cast("binary").alias("text"))
-    words = materialize(count_words(train), "lm-words")
-    known = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    ends = train.count()
-    n_train, n_words = known[0] + ends, known[1] + (ends > 0)
-    below = n_train + 0.1 * (n_words + 1)
-    top = most_frequent(words.where(F.length("key") <= MAX_WORD_BYTES), MAX_WORDS).toArrow()
-    head = dict(zip(top["key"].to_pylist(), top["n"].to_pylist()))
-    end_score = math.log10((ends + 0.1) / below)
-    shipped = spark.sparkContext.broadcast((fit(train), {w: math.log10((n + 0.1) / below) for w, n in head.items()}))
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, logs = shipped.value
-        for batch in batches:
-            own: list[list] = [[] for _ in range(6)]
-            lines: list[bytes] = []
-            rest: list[list] = [[] for _ in range(4)]
-            for doc_id, t_hash, text in zip(*(c.to_pylist() for c in batch.columns)):
-                w = words_of(text or b"")
-                tail: Counter = Counter()
-                base, n_head = end_score, 0
-                for x, v in zip(w, map(logs.get, w)):
-                    if v is None:
-                        tail[x] += 1
-                    else:
-                        base += v
-                        n_head += 1
-                key = b" %d %d" % (doc_id or 0, t_hash)  # no word holds a space
-                for column, v in zip(own, (doc_id, t_hash, key, len(w) + 1, n_head + (ends > 0), base)):
-                    column.append(v)
-                lines.append(b" ".join(w))
-                rest[0] += [doc_id] * len(tail)
-                rest[1] += [t_hash] * len(tail)
-                rest[2] += tail.keys()
-                rest[3] += tail.values()
-            own.append(model.scores(lines).tolist())
-            m = len(rest[0])
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-            yield pa.record_batch(
-                [pa.array(a + b, kind) for a, b, kind in zip(own, [*rest, [None] * m, [None] * m, [None] * m], kinds)],
-                ["doc_id", "t_hash", "word", "n", "n_known", "base", "score"],
-            )
-
-    # xxhash64 of null is the seed, so a null text and a null id are told apart from others by their hashes as well.
-    texts = d.select("doc_id", F.xxhash64("text").alias("t_hash"), F.col("text").cast("binary").alias("text"))
-    found = texts.mapInArrow(rows, "doc_id long, t_hash long, word binary, n long, n_known long, base double, score double")
-    met = found.join(words.select(F.col("key").alias("word"), F.col("n").alias("c")), "word", "left")
-    is_doc = F.col("score").isNotNull()
-    per_doc = met.groupBy("doc_id", "t_hash").agg(
-        F.count("score").alias("copies"),
-        F.max(F.when(is_doc, F.col("n"))).alias("n_tokens"),
-        F.max("n_known").alias("n_head"),
-        F.max("base").alias("base"),
-        F.max("score").alias("score"),
-        F.coalesce(F.sum(F.when(~is_doc & F.col("c").isNotNull(), F.col("n"))), F.lit(0)).alias("n_tail"),
-        F.coalesce(F.sum(F.when(~is_doc, F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + F.lit(0.1)) / F.lit(below)))), F.lit(0.0)).alias("tail"),
-    )
-    return per_doc.select(
-        "doc_id",
-        held_out(F.col("doc_id")).alias("held_out"),
-        "n_tokens",
-        (F.col("n_head") + F.expr("n_tail div copies")).alias("n_known"),
-        F.lit(n_train).cast("long").alias("train_tokens"),
-        (F.col("base") + F.col("tail") / F.col("copies")).alias("base_score"),
-        "score",
-        F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("__copy"),
-    ).drop("__copy")
+    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
+    counts = materialize(count(d.where(~held_out(F.col("doc_id"))).select("text")), "lm-grams")
+    sums = {r["k"]: (r["n"], r["kinds"]) for r in counts.groupBy("k").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect()}
+    n_bytes, ends = sums.get(1, (0, 0))[0], sums.get(LINES, (0, 0))[0]
+    n_train = sums.get(WORD, (0, 0))[0] + ends
+    below = n_train + 0.1 * (sums.get(WORD, (0, 0))[1] + (ends > 0) + 1)
+    unseen = float(np.log10(0.5 / (n_bytes + 128)))
+    blocks = in_blocks(d)
+    answers = asked(blocks).join(smooth(counts, n_bytes), ["k", "key"])
+
+    def rows(texts: pa.Table, table: pa.Table) -> pa.Table:
+        k, key, v, bow = (table.column(c).to_numpy() for c in ("k", "key", "v", "bow"))
+        order = np.lexsort((key, k))
+        order = order[np.concatenate(([True], (np.diff(k[order]) != 0) | (np.diff(key[order]) != 0)))[: len(order)]]
+        k, key, v, bow = k[order], key[order], v[order], bow[order]
+        word = k == WORD
+        model = Automaton(k[~word], key[~word], v[~word], bow[~word], unseen)
+        known, logs = key[word], np.log10((v[word] + 0.1) / below)
+        keys = WordKeys()
+        n_tokens, n_known, base, lines = [], [], [], []
+        for text in texts.column("text").to_pylist():
+            w = words_of(text)
+            lines.append(b" ".join(w))
+            h = np.fromiter(map(keys.__getitem__, w), np.int64, len(w))
+            at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
+            hit = known[at] == h if len(known) else np.zeros(len(h), bool)
+            n_tokens.append(len(w) + 1)
+            n_known.append(int(hit.sum()) + (ends > 0))
+            base.append(float(logs[at[hit]].sum() + (len(w) - hit.sum()) * np.log10(0.1 / below) + np.log10((ends + 0.1) / below)))
+        return pa.table([texts.column("doc_id"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(model.scores(lines))], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    kind = d.schema["doc_id"].dataType.simpleString()
+    scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(rows, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")

@@ -1,22 +1,21 @@
-"""Substring dedup by line hashing.
+"""Substring dedup by line and paragraph hashing.
 
-Texts are cut into units: lines, and inside a line stretches of words that end where a hash of two neighbouring words says so, so
-that a passage repeated in the middle of a line gives the same units wherever it stands. Units are normalised and hashed; a short
-unit is hashed together with the one before it, and a short head of a line also with the one after it. A line is a unit as a whole
-too, however short. Digests are grouped globally, the occurrence that ranks first (smallest id, then
-position) stays, and the others are cut out of their texts; the original offsets of what was removed are kept.
+Units are whole lines and whole paragraphs, of any length, normalised (case and white space don't count) and hashed. Repeated
+passages may also stand inside lines, where no unit meets them, so a further kind of digest covers them: hashes of GRAM words,
+of each WINDOW neighbours that of the least hash. Any passage of GRAM + WINDOW - 1 words that repeats shares such an anchor, and nothing
+shorter than GRAM words is touched by one. Digests are grouped globally, the occurrence that ranks first (smallest id, then text
+hash, then position) stays, and the others are cut out of their texts; an anchor's cut is first extended word by word, as far
+as the text before and after it agrees with that of its first occurrence. Offsets of what was removed refer to the original text.
 
-A unit is a row of 28 bytes or so, written once and shuffled twice, the second time only if Spark can't broadcast the repeated
-digests; minima per digest are taken map-side, so a passage that all documents share is one row a task. Texts are joined only
-with the spans to remove.
+A unit is a row of three longs, written once and shuffled twice; minima per digest are taken map-side, so a passage that all
+documents share is one row a task. Texts are shuffled once, for the words beside first occurrences and for the cuts alike.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -24,103 +23,232 @@ from pyspark.sql import functions as F
 
 from ._common import materialize
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-#: A unit ends at about one word in EVERY; units of fewer words than SHORT are hashed with the unit before them.
-EVERY, SHORT = 12, 6
-
-
-def units(text: str) -> Iterator[tuple[int, int, int]]:
-    """(digest, start, end) of the units of a text that may be removed: whole lines, and stretches of SHORT words or more, alone or
-    with the one before; those at a line's head that are shorter go with the next one.
-
-    Offsets are code points. Case and white space don't count. A unit begins where the one before it on the line ends, white space
-    included, so that what is cut out leaves single gaps.
-    """
-    at = 0
-    for line in text.split("\n"):
-        found = list(WORD.finditer(line))
-        low = line.lower().split() if line.isascii() else [m[0].lower() for m in found]
-        if len(low) != len(found):  # other white space inside words
-            low = [m[0].lower() for m in found]
-        raw = [w.encode() for w in low]
-        begin = start = before = previous = 0
-        head = True  # no unit of this line has been given yet
-        last = len(raw) - 1
-        for i, w in enumerate(raw):
-            now = crc32(w, previous & 0xFFFF)
-            previous = crc32(w)
-            if i == last or now % EVERY == 0:
-                n = i + 1 - begin
-                first = begin if n >= SHORT else before
-                end = len(line) if i == last else found[i + 1].start()
-                if i + 1 - first >= SHORT:
-                    h = xxhash.xxh64_intdigest(b" ".join(raw[first : i + 1]), n < SHORT)
-                    alone = n < SHORT and head and not first
-                    yield (h - (1 << 64) if h >> 63 else h), at + (0 if alone else start), at + end
-                    if head and begin and not alone and i < last:
-                        h = xxhash.xxh64_intdigest(b" ".join(raw[: i + 1]), 3)
-                        yield (h - (1 << 64) if h >> 63 else h), at, at + end
-                    head = False
-                if i == last and (begin or n < SHORT):  # else the line is the unit just given
-                    h = xxhash.xxh64_intdigest(b" ".join(raw), 2)
-                    yield (h - (1 << 64) if h >> 63 else h), at, at + len(line)
-                before, begin = begin, i + 1
-                start = len(line) if i == last else found[i + 1].start()
-        at += len(line) + 1
+#: Words of an anchor; neighbouring anchors of which one is kept.
+GRAM, WINDOW = 13, 12
+#: Words compared on each side of an anchor: repeats that reach further hold the next anchor.
+BESIDE = WINDOW - 1
+#: Kinds of units, in the two low bits of a place.
+LINE, PARAGRAPH, ANCHOR = 0, 1, 2
+CACHE_WORDS = 200_000
+_MULTIPLIER = 0x9E3779B97F4A7C15
+_STEPS = {n: np.uint64(pow(_MULTIPLIER, n, 1 << 64)) for n in (1, 2, 4, 8, 12)}
+_LAST = (1 << 63) - 1
+
+
+class _Hashes(dict):
+    """64-bit hashes of normalised words, remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word)
+        return h
+
+
+_hashes = _Hashes()
+
+
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
+class Words:
+    """The words ``[^\\x20\\x09-\\x0D]+`` of a text: normalised, where they begin and end (code points), and their lines."""
+
+    def __init__(self, text: str) -> None:
+        self.n_chars = len(text)
+        c = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        inside = np.concatenate(([False], (c != 32) & ((c < 9) | (c > 13)), [False]))
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        self.start, self.end = edges[::2], edges[1::2]
+        self.newlines = np.flatnonzero(c == 10)
+        self.line = np.searchsorted(self.newlines, self.start)
+        self.words = text.lower().encode().split()
+
+    def hashes(self) -> np.ndarray:
+        """A non-zero hash per word."""
+        return np.fromiter(map(_hashes.__getitem__, self.words), np.uint64, len(self.words)) | np.uint64(1)
+
+    def lines(self) -> list[int]:
+        """Bounds of the lines with words, as positions of words: line i has words lines[i] to lines[i + 1]."""
+        if not len(self.start):
+            return [0]
+        return [0, *(np.flatnonzero(np.diff(self.line)) + 1).tolist(), len(self.start)]
+
+    def paragraphs(self) -> list[int]:
+        """Bounds of the paragraphs, which lines without words part."""
+        if not len(self.start):
+            return [0]
+        return [0, *(np.flatnonzero(np.diff(self.line) > 1) + 1).tolist(), len(self.start)]
+
+    def unit_end(self, first: int, kind: int) -> int:
+        """Where the line or paragraph whose first word is given ends, the newline that closes it included."""
+        bounds = self.lines() if kind == LINE else self.paragraphs()
+        last = bounds[int(np.searchsorted(bounds, first, side="right"))] - 1
+        at = int(self.line[last])
+        return int(self.newlines[at]) + 1 if at < len(self.newlines) else self.n_chars
+
+
+def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes of the GRAM-word anchors among words of the given hashes."""
+    n = len(h) - GRAM + 1
+    if n < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    two = h[:-1] + h[1:] * _STEPS[1]
+    four = two[:-2] + two[2:] * _STEPS[2]
+    eight = four[:-4] + four[4:] * _STEPS[4]
+    g = eight[:n] + four[8 : 8 + n] * _STEPS[8] + h[12 : 12 + n] * _STEPS[12]
+    g = (g ^ g >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    g ^= g >> np.uint64(29)
+    if n <= WINDOW:
+        at = np.array([int(g.argmin())])
+    else:
+        m = np.lib.stride_tricks.sliding_window_view(g, WINDOW)
+        at = np.unique(m.argmin(axis=1) + np.arange(len(m)))
+    return at, g[at]
+
+
+def units(text: str) -> Iterator[tuple[int, int]]:
+    """(digest, place) of the lines, paragraphs and anchors of a text; a place is four times the first code point, plus the kind."""
+    w = Words(text)
+    starts, lines = w.start.tolist(), w.lines()
+    for a, b in zip(lines, lines[1:]):
+        yield _signed(xxhash.xxh64_intdigest(b" ".join(w.words[a:b]), 1)), starts[a] << 2 | LINE
+    single, paragraphs = set(zip(lines, lines[1:])), w.paragraphs()
+    for a, b in zip(paragraphs, paragraphs[1:]):
+        if (a, b) not in single:  # else the line is the paragraph
+            yield _signed(xxhash.xxh64_intdigest(b" ".join(w.words[a:b]), 1)), starts[a] << 2 | PARAGRAPH
+    at, digests = anchors(w.hashes())
+    yield from zip(digests.view(np.int64).tolist(), (w.start[at] << 2 | ANCHOR).tolist())
+
+
+def beside(h: np.ndarray, at: int) -> bytes:
+    """Hashes of the BESIDE words before the anchor at a word, nearest first, then of those after it; 0 beyond the text."""
+    out = np.zeros(2 * BESIDE, "<u4")
+    before, after = h[max(0, at - BESIDE) : at][::-1], h[at + GRAM : at + GRAM + BESIDE]
+    out[: len(before)] = before >> np.uint64(32) | np.uint64(1)
+    out[BESIDE : BESIDE + len(after)] = after >> np.uint64(32) | np.uint64(1)
+    return out.tobytes()
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many leading words agree."""
+    differ = np.flatnonzero((a != b) | (a == 0))
+    return int(differ[0]) if len(differ) else len(a)
+
+
+def spans_of(text: str, found: list[dict]) -> list[tuple[int, int]]:
+    """The spans to remove for repeated units, given by place, the words beside the first occurrence, and its place if in this text."""
+    w = Words(text)
+    h = None
+    out = []
+    for u in found:
+        start, kind = u["place"] >> 2, u["place"] & 3
+        first = int(np.searchsorted(w.start, start))
+        if kind != ANCHOR:
+            bounds = w.unit_end(first, kind)
+            line_start = int(w.newlines[w.line[first] - 1]) + 1 if w.line[first] else 0
+            out.append((line_start, bounds))
+            continue
+        h = w.hashes() if h is None else h
+        own, theirs = np.frombuffer(beside(h, first), "<u4"), np.frombuffer(u["beside"], "<u4")
+        a, b = first - _common(own[:BESIDE], theirs[:BESIDE]), first + GRAM + _common(own[BESIDE:], theirs[BESIDE:])
+        if u["here"] is not None:  # what stays isn't cut: words of the first occurrence, if it overlaps
+            a = max(a, int(np.searchsorted(w.start, u["here"] >> 2)) + GRAM)
+        if a < b:
+            out.append((int(w.start[a]), int(w.start[b]) if b < len(w.start) and w.line[b] == w.line[b - 1] else int(w.end[b - 1])))
+    return sorted(out)
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, those that touch made one."""
+    out: list[tuple[int, int]] = []
+    for a, b in spans:
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def without(text: str, spans: list[tuple[int, int]]) -> str:
+    left, at = [], 0
+    for a, b in spans:
+        left.append(text[at:a])
+        at = b
+    return "".join([*left, text[at:]])
 
 
 def unit_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, t_hash, text) to (digest, doc_id, t_hash, start, end)."""
+    """(rank, t, text) to (digest, rank, at): at holds the low half of the text's hash and the place."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("digest", pa.int64()), ("doc_id", pa.int64()), ("t_hash", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for doc_id, t_hash, text in zip(*(c.to_pylist() for c in batch.columns)):
-                for digest, start, end in units(text or ""):
-                    for column, v in zip(out, (digest, doc_id, t_hash, start, end)):
-                        column.append(v)
+            out: tuple[list, list, list] = ([], [], [])
+            for rank, t, text in zip(*(c.to_pylist() for c in batch.columns)):
+                found = list(zip(*units(text))) or [(), ()]
+                out[0].extend(found[0])
+                out[1].extend([rank] * len(found[0]))
+                out[2].extend([t << 32 | p for p in found[1]])
                 if len(out[0]) >= 100_000:
-                    yield pa.record_batch(out, schema=schema)
-                    out = [[], [], [], [], []]
-            yield pa.record_batch(out, schema=schema)
+                    yield pa.record_batch([pa.array(x, pa.int64()) for x in out], ["digest", "rank", "at"])
+                    out = ([], [], [])
+            yield pa.record_batch([pa.array(x, pa.int64()) for x in out], ["digest", "rank", "at"])
 
-    return docs.mapInArrow(rows, "digest long, doc_id long, t_hash long, start int, end int")
+    return docs.mapInArrow(rows, "digest long, rank long, at long")
 
 
 def dedup_units(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, n_removed, removed (array of start and end), text.
 
-    removed holds the original code-point offsets, merged where they touch, of what text lacks. Null texts count as empty. The
-    first occurrence is that of the smallest id (null ids last), then text hash, then offset. Rows that agree in id and text are
-    one document and come back once each with the same result. Other columns are not read; an empty table gives an empty result.
+    n_removed is the number of repeated units; removed holds the original code-point offsets, merged where they touch, of what text
+    lacks. Null texts count as empty. Ids are whole numbers. The first occurrence is that of the smallest id (null ids last), then text
+    hash, then offset. A removed line or paragraph goes with its line end. Rows that agree in id and text are one document and come
+    back once each with the same result. Other columns are not read; an empty table gives an empty result.
     """
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("t_hash", F.xxhash64("text"))
-    rows = materialize(unit_rows(d.select("doc_id", "t_hash", "text")), "units")
-    place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("o"), "t_hash", "start")
-    first = rows.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    again = rows.join(first, "digest").where(place > F.col("first")).select("doc_id", "t_hash", "start", "end").distinct()
-    spans = again.groupBy("doc_id", "t_hash").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))  # of one document
-    kept = d.join(spans, d["doc_id"].eqNullSafe(spans["doc_id"]) & (d["t_hash"] == spans["t_hash"]), "left").select(d["doc_id"], d["text"], F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    d = d.select(F.coalesce("doc_id", F.lit(_LAST)).alias("rank"), F.shiftright(F.xxhash64("text"), 32).alias("t"), "doc_id", "text")
+    rows = materialize(unit_rows(d.select("rank", "t", "text")), "units")
+    first = rows.groupBy("digest").agg(F.min(F.struct("rank", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", F.col("first.rank").alias("rank0"), F.col("first.at").alias("at0"))
+    again = rows.join(first, "digest").where("rank > rank0 OR (rank = rank0 AND at > at0)").select("rank", "at", "rank0", "at0")
+    again = materialize(again, "repeats")
+    t = lambda c: F.shiftright(c, 32).alias("t")
+    place = lambda c: F.col(c).bitwiseAND((1 << 32) - 1)
+    is_anchor = F.col("at").bitwiseAND(3) == ANCHOR
+    wanted = again.where(is_anchor).select(F.col("rank0").alias("rank"), t("at0"), place("at0").alias("place")).distinct()
+    wanted = wanted.groupBy("rank", "t").agg(F.collect_list("place").alias("places"))  # of one document
+
+    def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: tuple[list, list, list] = ([], [], [])
+            for rank, t_, _, text_, places in zip(*(c.to_pylist() for c in batch.columns)):
+                w = Words(text_)
+                h = w.hashes()
+                for p, at in zip(places, np.searchsorted(w.start, np.array(places) >> 2).tolist()):
+                    out[0].append(rank)
+                    out[1].append(t_ << 32 | p)
+                    out[2].append(beside(h, at))
+            yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], ["rank0", "at0", "beside"])
+
+    # With all columns of d, so that this join and that below read one shuffle of the texts.
+    near = d.join(wanted, ["rank", "t"]).select("rank", "t", "doc_id", "text", "places").mapInArrow(sides, "rank0 long, at0 long, beside binary")
+    near = near.groupBy("rank0", "at0").agg(F.min("beside").alias("beside"))  # repeated rows say the same
+    here = F.when((F.col("rank") == F.col("rank0")) & (F.shiftright("at", 32) == F.shiftright("at0", 32)), place("at0"))
+    told = again.where(is_anchor).join(near, ["rank0", "at0"]).select("rank", "at", "beside", here.alias("here"))
+    told = told.unionByName(again.where(~is_anchor).select("rank", "at", F.lit(None).cast("binary").alias("beside"), F.lit(None).cast("long").alias("here")))
+    told = told.select("rank", t("at"), F.struct(place("at").alias("place"), "beside", "here").alias("unit")).groupBy("rank", "t").agg(F.collect_list("unit").alias("found"))
+    kept = d.join(told, ["rank", "t"], "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for doc_id, text, spans_ in zip(*(c.to_pylist() for c in batch.columns)):
-                merged: list[dict] = []
-                for s in spans_:
-                    if merged and s["start"] <= merged[-1]["end"]:
-                        merged[-1]["end"] = max(s["end"], merged[-1]["end"])
-                    else:
-                        merged.append(dict(s))
-                left, at = [], 0
-                for s in merged:
-                    left.append(text[at : s["start"]])
-                    at = s["end"]
-                left.append(text[at:])
-                for column, v in zip(out, (doc_id, len(spans_), merged, "".join(left))):
+            for doc_id, text_, found in zip(*(c.to_pylist() for c in batch.columns)):
+                units_ = {u["place"]: u for u in found or ()}  # repeated rows give a unit more than once
+                spans = merged(spans_of(text_, list(units_.values()))) if units_ else []
+                for column, v in zip(out, (doc_id, len(units_), [{"start": a, "end": b} for a, b in spans], without(text_, spans))):
                     column.append(v)
             yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], span), pa.array(out[3], pa.string())], ["doc_id", "n_removed", "removed", "text"])
 
-    return kept.select("doc_id", "text", "spans").mapInArrow(cut, "doc_id long, n_removed long, removed array<struct<start:int,end:int>>, text string")
+    return kept.select("doc_id", "text", "found").mapInArrow(cut, "doc_id long, n_removed long, removed array<struct<start:int,end:int>>, text string")

@@ -23,10 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Least, normal and greatest length of a chunk, in bytes, and leading zero bits that end it before and after the normal length.
-LEAST, NORMAL, MOST = 8, 32, 128
-ZEROS_BEFORE, ZEROS_AFTER = 7, 3
-#: Chunks that begin in the first FINE bytes are shorter, so that short texts have several: least and normal length there.
-FINE, FINE_LEAST, FINE_NORMAL = 64, 2, 8
+#: They are small, so that texts of a few words have several chunks, and the same at every place, so that a passage has the same ones.
+LEAST, NORMAL, MOST = 6, 18, 72
+ZEROS_BEFORE, ZEROS_AFTER = 6, 2
+#: Bits that the gear hash moves per byte, and so the bytes that it remembers: few, as the first ones of a passage depend on others.
+SHIFT = 4
+MEMORY = 32 // SHIFT
 BLOCK = 1 << 20
 
 #: A pseudo-random number per byte value, for the gear hash and for the digests.
@@ -41,10 +43,10 @@ def cut_points(x: np.ndarray) -> tuple[list[int], list[int]]:
     """Where the gear hash of bytes allows a chunk to end: before the normal length, and after it."""
     before, after = [], []
     for at in range(0, len(x), BLOCK):
-        start = max(0, at - 31)
+        start = max(0, at - MEMORY + 1)
         h = GEAR[x[start : at + BLOCK]]
-        for shift in (1, 2, 4, 8, 16):  # sums of 2, 4, ... 32 shifted bytes; older ones have left the 32 bits
-            h[shift:] = h[shift:] + (h[:-shift] << np.uint32(shift))
+        for n in (1, 2, 4):  # sums of 2, 4 and 8 shifted bytes; older ones have left the 32 bits
+            h[n:] = h[n:] + (h[:-n] << np.uint32(SHIFT * n))
         i = np.flatnonzero(h[at - start :] < np.uint32(1 << 32 - ZEROS_AFTER)) + at
         after.append(i + 1)
         before.append(i[h[i - start] < np.uint32(1 << 32 - ZEROS_BEFORE)] + 1)
@@ -57,12 +59,11 @@ def chunk_ends(x: np.ndarray, start: int = 0, offset: int = 0) -> list[int]:
     ends, n, i, j = [], len(x), 0, 0
     n_before, n_after = len(before), len(after)
     while start < n:
-        least, normal = (FINE_LEAST, FINE_NORMAL) if start + offset < FINE else (LEAST, NORMAL)
-        i = bisect_left(before, start + least, i)
-        if i < n_before and before[i] < start + normal:
+        i = bisect_left(before, start + LEAST, i)
+        if i < n_before and before[i] < start + NORMAL:
             start = before[i]
         else:
-            j = bisect_left(after, start + normal, j)
+            j = bisect_left(after, start + NORMAL, j)
             start = after[j] if j < n_after and after[j] < start + MOST else min(n, start + MOST)
         ends.append(start + offset)
     return ends
@@ -124,7 +125,7 @@ class Chunked:
         k = bisect_left(self.ends, min(len(head), len(self.raw) - 1) + 1)
         at = self.ends[k - 1] if k else 0
         x = np.frombuffer(raw, np.uint8)
-        back = max(0, at - 31)
+        back = max(0, at - MEMORY + 1)
         ends = chunk_ends(x[back:], at - back, back)
         return raw, np.unique(np.concatenate((self.chunks[:k], digests(x, ends, at))))
 
@@ -143,7 +144,7 @@ def compare_with_next(docs: DataFrame, text_col: str = "text", id_col: str = "do
     """One row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The next document is that of the next id, after the last one the first; equal ids go by text hash, null ids come last, and
-    a single document is its own successor. Null texts count as empty. Other columns are not read. An empty table gives an
+    a single document is its own successor. Ids are whole numbers. Null texts count as empty. Other columns are not read. An empty table gives an
     empty result.
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -3,10 +3,11 @@
 Plain patterns label credentials of three kinds. From a bounded sample of distinct labelled values per kind a prefix tree over
 character classes is built, and states whose futures are statistically compatible (Hoeffding bound on the share of every
 class and of stopping, down both subtrees) are merged into a probabilistic automaton. Every other run of LEAST or more credential
-characters, and what labelled spans leave of a run, is then a candidate: if an automaton gives its format a likelihood well above that of the corpus' ordinary runs
-(a Markov chain over all of them), it is a span too.
+characters, and what labelled spans leave of a run, is then a candidate: if an automaton gives its format a likelihood well above
+that of the corpus' ordinary runs (a Markov chain over all of them), it is a span too.
 
-Texts are scanned where they are; only labelled values and class-pair counts are shuffled, summed before.
+Texts are scanned where they are, once to learn and once to find; only labelled values and class-pair counts are shuffled, summed
+before, and written.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import materialize
+
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""((?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 #: The shortest labelled value, and so the shortest run that is scored.
@@ -185,51 +188,59 @@ class Formats:
         classes = value.translate(TO_CLASS)
         if not self.automata or not classes:
             return None
-        plain = sum(self.pairs.get(a + b, self.pairs["?"]) for a, b in zip(END + classes, classes + END))
+        plain = sum(self.pairs[a + b] for a, b in zip(END + classes, classes + END))
         score, kind = max((a.log_likelihood(classes), k) for k, a in self.automata.items())
         return kind if (score - plain) / (len(classes) + 1) >= MIN_RATIO else None
 
 
-def learn_formats(docs: DataFrame, text_col: str = "text", max_labelled: int = MAX_LABELLED) -> Formats:
-    """Fits the automata on at most max_labelled distinct labelled values per kind, and the background on all runs."""
+def class_pairs(texts: list[str]) -> Counter:
+    """How often class pairs stand in the candidates of texts, ends included."""
+    pairs: Counter = Counter()
+    for text in texts:
+        for run in base_spans(text)[1]:
+            a, e = candidate(text, *run)
+            classes = END + text[a:e].translate(TO_CLASS) + END
+            pairs.update(map("".join, zip(classes, classes[1:])))
+    return pairs
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            pairs: Counter = Counter()
-            values: set[tuple[str, str]] = set()
-            for text in b["text"]:
-                spans, runs = base_spans(text or "")
-                values.update((KINDS[k], v) for _, k, _, v in spans)
-                for run in runs:
-                    a, e = candidate(text, *run)
-                    classes = END + text[a:e].translate(TO_CLASS) + END
-                    pairs.update(map("".join, zip(classes, classes[1:])))
-            # A batch's smallest hashes are enough: what is not among them is not among all either.
-            least = [(k, v, -1) for kind in KINDS for k, v in sorted((x for x in values if x[0] == kind), key=lambda x: _rank(x[1]))[:max_labelled]]
-            found = least + [("pair", p, n) for p, n in pairs.items()]
-            yield pd.DataFrame(found, columns=["kind", "value", "n"])
 
-    found = docs.select(F.col(text_col).cast("string").alias("text")).mapInPandas(rows, "kind string, value string, n long").groupBy("kind", "value").agg(F.sum("n").alias("n"))
-    labelled = {k: found.where(F.col("kind") == k).orderBy(F.xxhash64(F.col("value")), "value").limit(max_labelled) for k in KINDS}
-    both = found.where("kind = 'pair'")
-    for part in labelled.values():
-        both = both.unionByName(part)
-    rows_ = both.collect()  # at most max_labelled values per kind and the pairs of the few classes
+def formats_of(labelled: list[tuple[str, str]], pairs: Counter) -> Formats:
+    """The automata of labelled values (kind, value), beside the background that class pairs give."""
     automata = {}
     for kind in KINDS:
-        values = sorted(r["value"] for r in rows_ if r["kind"] == kind)
+        values = sorted(v for k, v in labelled if k == kind)
         if values:
             automata[kind] = Automaton()
             for v in values:
                 automata[kind].add(v.translate(TO_CLASS))
             automata[kind].infer()
-    counts = {r["value"]: r["n"] for r in rows_ if r["kind"] == "pair"}
     total: Counter = Counter()
-    for p, n in counts.items():
+    for p, n in pairs.items():
         total[p[0]] += n
     size = N_CLASSES + 1
-    pairs = {p: math.log((n + 0.5) / (total[p[0]] + 0.5 * size)) for p, n in counts.items()}
-    return Formats(automata, pairs | {"?": math.log(1 / size)})
+    classes = [END, *sorted(set(CLASSES.values()))]
+    return Formats(automata, {a + b: math.log((pairs[a + b] + 0.5) / (total[a] + 0.5 * size)) for a in classes for b in classes})
+
+
+def learn_formats(docs: DataFrame, text_col: str = "text", max_labelled: int = MAX_LABELLED) -> Formats:
+    """Fits the automata on at most max_labelled distinct labelled values per kind, and the background on all runs."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            texts = [t or "" for t in b["text"]]
+            values = {(KINDS[k], v) for text in texts for _, k, _, v in base_spans(text)[0]}
+            # A batch's smallest hashes are enough: what is not among them is not among all either.
+            least = [(k, v, -1) for kind in KINDS for k, v in sorted((x for x in values if x[0] == kind), key=lambda x: _rank(x[1]))[:max_labelled]]
+            found = least + [("pair", p, n) for p, n in class_pairs(texts).items()]
+            yield pd.DataFrame(found, columns=["kind", "value", "n"])
+
+    found = docs.select(F.col(text_col).cast("string").alias("text")).mapInPandas(rows, "kind string, value string, n long").groupBy("kind", "value").agg(F.sum("n").alias("n"))
+    found = materialize(found, "secret-values")  # read once per kind below, the texts only once
+    both = found.where("kind = 'pair'")
+    for kind in KINDS:
+        both = both.unionByName(found.where(F.col("kind") == kind).orderBy(F.xxhash64(F.col("value")), "value").limit(max_labelled))
+    rows_ = both.collect()  # at most max_labelled values per kind and the pairs of the few classes
+    return formats_of([(r["kind"], r["value"]) for r in rows_ if r["kind"] != "pair"], Counter({r["value"]: r["n"] for r in rows_ if r["kind"] == "pair"}))
 
 
 def _rank(value: str) -> int:
@@ -280,8 +291,9 @@ def find_secrets(docs: DataFrame, formats: Formats | None = None, text_col: str
                 done.append((n[0], n[1], n[2], hashlib.sha256(said.encode()).hexdigest(), ",".join(f"{k}:{s}:{e}" for s, k, e in every)))
             yield b.reset_index(drop=True).join(pd.DataFrame(done, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans"]))
 
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("__text"))
-    return d.mapInPandas(rows, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("__text"))
+    kind = d.schema["doc_id"].dataType.simpleString()
+    return d.mapInPandas(rows, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def redact_documents(docs: DataFrame, formats: Formats | None = None, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:

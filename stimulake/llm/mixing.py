@@ -12,14 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialize, word_count
+from ._common import free_names, materialize, word_count
 
 KEY_BITS = 60
 
 
-def random_key(doc_id: Column, seed: str) -> Column:
-    """A uniform 60-bit key from the id; null ids share one key."""
-    text = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f":{seed}"))
+def random_key(doc_id: Column, text: Column, seed: str) -> Column:
+    """A uniform 60-bit key from the id, of a null id from the text."""
+    text = F.concat(F.coalesce(doc_id.cast("string"), F.concat(F.lit("n"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))), F.lit(f":{seed}"))
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, KEY_BITS // 4), 16, 10).cast("long")
 
 
@@ -67,21 +67,29 @@ def mix_plan(
     """
     skey = F.coalesce(F.concat(F.lit("0"), F.col(source_col).cast("string")), F.lit("1"))
     sized = materialize(
-        docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("t_hash"), skey.alias("skey"), word_count(F.col(text_col).cast("string")).alias("size"), random_key(F.col(id_col), seed).alias("key")),
+        docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("t_hash"), skey.alias("skey"), word_count(F.col(text_col).cast("string")).alias("size"), random_key(F.col(id_col), F.col(text_col).cast("string"), seed).alias("key")),
         "mix",
     )
     n_ranges = max(1, -(-sized.count() // range_rows))
     width = (1 << KEY_BITS) // n_ranges + 1
     sized = sized.withColumn("range", F.expr(f"key div {width}L"))
-    ranges = sized.groupBy("skey", "range").agg(F.sum("size").alias("range_size"))
-    before = Window.partitionBy("skey").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.withColumn("offset", F.coalesce(F.sum("range_size").over(before), F.lit(0))).drop("range_size")
+    ranges = sized.groupBy("skey", "range").agg(F.sum("size").alias("range_size")).withColumn("span", F.expr("range div 1024"))
+    # Prefix sums over ranges in two levels, so that a source of very many ranges isn't one task's.
+    earlier = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    spans = ranges.groupBy("skey", "span").agg(F.sum("range_size").alias("span_size"))
+    spans = spans.select("skey", "span", F.coalesce(F.sum("span_size").over(earlier("skey", "span")), F.lit(0)).alias("span_offset"))
+    inner = F.coalesce(F.sum("range_size").over(earlier("skey", "span", "range")), F.lit(0))
+    ranges = ranges.withColumn("offset", inner).join(spans, ["skey", "span"]).select("skey", "range", (F.col("offset") + F.col("span_offset")).alias("offset"))
     targets = water_fill(sized.groupBy("skey").agg(F.sum("size").alias("source_size")), weights, max_epochs)
+    # Rows that agree in all (null ids) go through the window as one row and are set apart after it.
+    sized = sized.groupBy("doc_id", "t_hash", "skey", "size", "key", "range").agg(F.count("*").alias("same"))
     budget = F.round("target").cast("long")
     targets = targets.withColumns({"epochs": F.floor(budget / F.greatest("source_size", F.lit(1)))}).withColumn("rest", budget - F.col("epochs") * F.col("source_size"))
     placed = sized.join(ranges.join(targets, "skey"), ["skey", "range"])
-    inside = Window.partitionBy("skey", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = placed.withColumn("start", F.col("offset") + F.sum("size").over(inside) - F.col("size"))
+    inside = Window.partitionBy("skey", "range").orderBy("key", "doc_id", "size", "t_hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    all_same = F.col("size") * F.col("same")
+    placed = placed.withColumn("start", F.col("offset") + F.sum(all_same).over(inside) - all_same)
+    placed = placed.withColumn("nth", F.explode(F.sequence(F.lit(0), F.col("same") - 1))).withColumn("start", F.col("start") + F.col("nth") * F.col("size"))
     extra = F.least(F.greatest(F.col("rest") - F.col("start"), F.lit(0)), F.col("size"))
     return placed.withColumn("extra", extra).select(
         "doc_id",
@@ -103,28 +111,29 @@ def apply_mix(docs: DataFrame, plan: DataFrame, text_col: str = "text", id_col:
     length. Documents of which nothing is taken, empty ones too, go. Rows of ``docs`` that agree in id, text and source share
     their copies.
     """
-    keys = ["__id", "__hash", "__source"]
+    id_, hash_, source_, copies, cut, n, cut_at, text_ = free_names(docs.columns, "id", "hash", "source", "copies", "cut", "n", "cut_at", "text")
+    keys = [id_, hash_, source_]
     total = (
         plan.where("taken > 0")
-        .groupBy(F.struct("doc_id").alias("__id"), F.col("t_hash").alias("__hash"), F.struct("source").alias("__source"))
-        .agg(F.sum("copies").alias("__copies"), F.max("cut_words").alias("__cut"))
+        .groupBy(F.struct("doc_id").alias(id_), F.col("t_hash").alias(hash_), F.struct("source").alias(source_))
+        .agg(F.sum("copies").alias(copies), F.max("cut_words").alias(cut))
     )
-    keyed = docs.withColumns({"__id": F.struct(F.col(id_col).alias("doc_id")), "__hash": F.xxhash64(F.col(text_col).cast("string")), "__source": F.struct(F.col(source_col).cast("string").alias("source"))})
-    joined = keyed.join(total, keys).withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1)))).where("__n = 1")
-    cuts = F.concat(F.array_repeat(F.lit(0).cast("long"), F.col("__copies").cast("int")), F.when(F.col("__cut") > 0, F.array("__cut")).otherwise(F.array().cast("array<bigint>")))
-    out = joined.withColumn("__cut_at", F.explode(cuts))
+    keyed = docs.withColumns({id_: F.struct(F.col(id_col).alias("doc_id")), hash_: F.xxhash64(F.col(text_col).cast("string")), source_: F.struct(F.col(source_col).cast("string").alias("source"))})
+    joined = keyed.join(total, keys).withColumn(n, F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1)))).where(F.col(n) == 1)
+    cuts = F.concat(F.array_repeat(F.lit(0).cast("long"), F.col(copies).cast("int")), F.when(F.col(cut) > 0, F.array(cut)).otherwise(F.array().cast("array<bigint>")))
+    out = joined.withColumn(cut_at, F.explode(cuts))
     words = F.filter(F.split(F.col(text_col), "[ \\t-\\r]+"), lambda x: x != "")
-    out = out.withColumn("__text", F.when(F.col("__cut_at") > 0, F.array_join(F.slice(words, F.lit(1), F.col("__cut_at").cast("int")), " ")).otherwise(F.col(text_col)))
-    put = {text_col: F.col("__text")}
+    out = out.withColumn(text_, F.when(F.col(cut_at) > 0, F.array_join(F.slice(words, F.lit(1), F.col(cut_at).cast("int")), " ")).otherwise(F.col(text_col)))
+    put = {text_col: F.col(text_)}
     if length_col in docs.columns:
-        put[length_col] = F.when(F.col("__cut_at") > 0, F.length("__text").cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col))
+        put[length_col] = F.when(F.col(cut_at) > 0, F.length(text_).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col))
     return out.withColumns(put).select(*docs.columns)
 
 
 ORACLE = r"""
 WITH d AS (SELECT doc_id, coalesce('0' || source, '1') AS skey, source,
     len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\v\f\r]+'), lambda x: x <> ''))::BIGINT AS size,
-    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':mix'), 1, 15))::BIGINT AS key FROM documents),
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'n' || md5(coalesce(text, ''))) || ':mix'), 1, 15))::BIGINT AS key FROM documents),
 s AS (SELECT skey, sum(size)::BIGINT AS source_size FROM d GROUP BY skey),
 w AS (SELECT *, 3 * source_size AS cap, [5, 2, 1][((row_number() OVER (ORDER BY skey) - 1) % 3 + 1)::INT] AS weight FROM s),
 l AS (SELECT *, row_number() OVER (ORDER BY cap / weight, skey) AS i,

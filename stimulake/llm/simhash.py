@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ._common import free_names, materialize
 from .components import components
 
 SHINGLE = 3
@@ -211,9 +211,10 @@ def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", ra
 
 def keep_marked(docs: DataFrame, marks: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """keep_one() of components that ``marks`` gives in the columns of near_duplicates()."""
+    id_, hash_, n = free_names(docs.columns, "id", "hash", "n")
     group = F.coalesce(F.col("component_id").cast("string"), F.col("fingerprint"))
     best = marks.groupBy(group.alias("g")).agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("o"), "t_hash", "doc_id")).alias("b"))
-    best = best.select(F.struct(F.col("b.doc_id").alias("i")).alias("__id"), F.col("b.t_hash").alias("__hash")).distinct()
-    keyed = docs.withColumns({"__id": F.struct(F.col(id_col).cast("long").alias("i")), "__hash": F.xxhash64(F.col(text_col).cast("string"))})
-    same = Window.partitionBy("__id", "__hash").orderBy(F.lit(1))  # rows repeated in full
-    return keyed.join(best, ["__id", "__hash"]).withColumn("__n", F.row_number().over(same)).where("__n = 1").select(*docs.columns)
+    best = best.select(F.struct(F.col("b.doc_id").alias("i")).alias(id_), F.col("b.t_hash").alias(hash_)).distinct()
+    keyed = docs.withColumns({id_: F.struct(F.col(id_col).cast("long").alias("i")), hash_: F.xxhash64(F.col(text_col).cast("string"))})
+    same = Window.partitionBy(id_, hash_).orderBy(F.lit(1))  # rows repeated in full
+    return keyed.join(best, [id_, hash_]).withColumn(n, F.row_number().over(same)).where(F.col(n) == 1).select(*docs.columns)

@@ -9,7 +9,7 @@ import corpus_pipeline
 from stimulake.llm import bpe, mixing, queries, secret_scan
 
 from .helpers import edge_documents, sha, words
-from .test_operators import brute_components, brute_simhash
+from .test_near_copies import brute_kept
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,9 +33,7 @@ def test_stage_results(stages):
     docs, identified, deduped, redacted, mixed, encoded = stages
     assert all(x.columns == docs.columns for x in stages[:-1])
     assert identified.count() == docs.where(F.col("text").rlike(r"\p{L}")).count()
-    rows = identified.collect()
-    ids, prints = [r["doc_id"] for r in rows], [brute_simhash(r["text"]) for r in rows]
-    assert sorted(set(brute_components(ids, prints, corpus_pipeline.NEAR_BITS))) == sorted(r["doc_id"] for r in deduped.collect())
+    assert brute_kept([(r["doc_id"], r["text"]) for r in identified.collect()]) == sorted(r["doc_id"] for r in deduped.collect())
     clean, before = {r["doc_id"]: r for r in redacted.collect()}, {r["doc_id"]: r for r in deduped.collect()}
     assert clean.keys() == before.keys()
     for i, r in before.items():

@@ -51,14 +51,3 @@ def test_short_lines_and_heads_are_removed(spark):
     assert rows[0].split("\n") == texts[0]
     for i in (1, 2):
         assert rows[i].replace("\n", "") == texts[i][0] + texts[i][-1]
-
-
-def test_a_repeated_head_goes_with_the_unit_after_it(spark):
-    rnd = random.Random(9)
-    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
-    for _ in range(300):
-        shared = " ".join(word() for _ in range(60))
-        a, b = (f"{shared} " + " ".join(word() for _ in range(10)) for _ in range(2))
-        seen = {h for h, _, _ in substring_dedup.units(a)}
-        found = [(s, e) for h, s, e in substring_dedup.units(b) if h in seen]
-        assert not found or min(found)[0] == 0

@@ -14,6 +14,7 @@ documents share is one row a task. Texts are shuffled once, for the words beside
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -48,45 +49,42 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
-def _signed(h: int) -> int:
-    return h - (1 << 64) if h >> 63 else h
-
-
 class Words:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text: normalised, where they begin and end (code points), and their lines."""
 
     def __init__(self, text: str) -> None:
-        self.n_chars = len(text)
+        self.text = text
         c = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         inside = np.concatenate(([False], (c != 32) & ((c < 9) | (c > 13)), [False]))
         edges = np.flatnonzero(inside[1:] != inside[:-1])
         self.start, self.end = edges[::2], edges[1::2]
         self.newlines = np.flatnonzero(c == 10)
         self.line = np.searchsorted(self.newlines, self.start)
-        self.words = text.lower().encode().split()
 
+    @cached_property
+    def words(self) -> list[bytes]:
+        return self.text.lower().encode().split()
+
+    @cached_property
     def hashes(self) -> np.ndarray:
         """A non-zero hash per word."""
         return np.fromiter(map(_hashes.__getitem__, self.words), np.uint64, len(self.words)) | np.uint64(1)
 
-    def lines(self) -> list[int]:
+    @cached_property
+    def lines(self) -> np.ndarray:
         """Bounds of the lines with words, as positions of words: line i has words lines[i] to lines[i + 1]."""
-        if not len(self.start):
-            return [0]
-        return [0, *(np.flatnonzero(np.diff(self.line)) + 1).tolist(), len(self.start)]
+        return np.concatenate(([0], np.flatnonzero(np.diff(self.line)) + 1, [len(self.start)])) if len(self.start) else np.zeros(1, np.int64)
 
-    def paragraphs(self) -> list[int]:
+    @cached_property
+    def paragraphs(self) -> np.ndarray:
         """Bounds of the paragraphs, which lines without words part."""
-        if not len(self.start):
-            return [0]
-        return [0, *(np.flatnonzero(np.diff(self.line) > 1) + 1).tolist(), len(self.start)]
+        return np.concatenate(([0], np.flatnonzero(np.diff(self.line) > 1) + 1, [len(self.start)])) if len(self.start) else np.zeros(1, np.int64)
 
-    def unit_end(self, first: int, kind: int) -> int:
-        """Where the line or paragraph whose first word is given ends, the newline that closes it included."""
-        bounds = self.lines() if kind == LINE else self.paragraphs()
-        last = bounds[int(np.searchsorted(bounds, first, side="right"))] - 1
-        at = int(self.line[last])
-        return int(self.newlines[at]) + 1 if at < len(self.newlines) else self.n_chars
+    def unit_spans(self, first: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where lines or paragraphs, given by their first words, begin and end, the newlines that close them included."""
+        last = bounds[np.searchsorted(bounds, first, side="right")] - 1
+        newlines = np.concatenate(([-1], self.newlines, [len(self.text) - 1]))
+        return newlines[self.line[first]] + 1, newlines[self.line[last] + 1] + 1
 
 
 def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,55 +106,54 @@ def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, g[at]
 
 
-def units(text: str) -> Iterator[tuple[int, int]]:
-    """(digest, place) of the lines, paragraphs and anchors of a text; a place is four times the first code point, plus the kind."""
+def units(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Digests and places of the lines, paragraphs and anchors of a text; a place is four times the first code point, plus the kind."""
     w = Words(text)
-    starts, lines = w.start.tolist(), w.lines()
-    for a, b in zip(lines, lines[1:]):
-        yield _signed(xxhash.xxh64_intdigest(b" ".join(w.words[a:b]), 1)), starts[a] << 2 | LINE
-    single, paragraphs = set(zip(lines, lines[1:])), w.paragraphs()
-    for a, b in zip(paragraphs, paragraphs[1:]):
-        if (a, b) not in single:  # else the line is the paragraph
-            yield _signed(xxhash.xxh64_intdigest(b" ".join(w.words[a:b]), 1)), starts[a] << 2 | PARAGRAPH
-    at, digests = anchors(w.hashes())
-    yield from zip(digests.view(np.int64).tolist(), (w.start[at] << 2 | ANCHOR).tolist())
+    lines = w.lines.tolist()
+    whole = list(zip(lines, lines[1:]))
+    if len(w.paragraphs) < len(lines):  # else each line is a paragraph
+        single, bounds = set(whole), w.paragraphs.tolist()
+        whole += [x for x in zip(bounds, bounds[1:]) if x not in single]
+    digests = np.fromiter((xxhash.xxh64_intdigest(b" ".join(w.words[a:b]), 1) for a, b in whole), np.uint64, len(whole))
+    kinds = np.repeat((LINE, PARAGRAPH), (len(lines) - 1, len(whole) - len(lines) + 1))
+    at, hashes = anchors(w.hashes)
+    firsts = np.fromiter((a for a, _ in whole), np.int64, len(whole))
+    return np.concatenate((digests, hashes)).view(np.int64), np.concatenate((w.start[firsts] << 2 | kinds, w.start[at] << 2 | ANCHOR))
 
 
-def beside(h: np.ndarray, at: int) -> bytes:
-    """Hashes of the BESIDE words before the anchor at a word, nearest first, then of those after it; 0 beyond the text."""
-    out = np.zeros(2 * BESIDE, "<u4")
-    before, after = h[max(0, at - BESIDE) : at][::-1], h[at + GRAM : at + GRAM + BESIDE]
-    out[: len(before)] = before >> np.uint64(32) | np.uint64(1)
-    out[BESIDE : BESIDE + len(after)] = after >> np.uint64(32) | np.uint64(1)
-    return out.tobytes()
+def beside(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For anchors at words: hashes of the BESIDE words before each, nearest first, then of those after it; 0 beyond the text."""
+    padded = np.concatenate((np.zeros(BESIDE, "<u4"), (h >> np.uint64(32) | np.uint64(1)).astype("<u4"), np.zeros(BESIDE, "<u4")))
+    steps = np.concatenate((np.arange(-1, -1 - BESIDE, -1), np.arange(GRAM, GRAM + BESIDE)))
+    return padded[at[:, None] + steps + BESIDE]
 
 
-def _common(a: np.ndarray, b: np.ndarray) -> int:
-    """How many leading words agree."""
-    differ = np.flatnonzero((a != b) | (a == 0))
-    return int(differ[0]) if len(differ) else len(a)
+def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many leading words agree, row by row."""
+    return np.logical_and.accumulate((a == b) & (a != 0), axis=1).sum(axis=1)
 
 
 def spans_of(text: str, found: list[dict]) -> list[tuple[int, int]]:
     """The spans to remove for repeated units, given by place, the words beside the first occurrence, and its place if in this text."""
     w = Words(text)
-    h = None
+    places = np.fromiter((u["place"] for u in found), np.int64, len(found))
+    first, kind = np.searchsorted(w.start, places >> 2), places & 3
     out = []
-    for u in found:
-        start, kind = u["place"] >> 2, u["place"] & 3
-        first = int(np.searchsorted(w.start, start))
-        if kind != ANCHOR:
-            bounds = w.unit_end(first, kind)
-            line_start = int(w.newlines[w.line[first] - 1]) + 1 if w.line[first] else 0
-            out.append((line_start, bounds))
-            continue
-        h = w.hashes() if h is None else h
-        own, theirs = np.frombuffer(beside(h, first), "<u4"), np.frombuffer(u["beside"], "<u4")
-        a, b = first - _common(own[:BESIDE], theirs[:BESIDE]), first + GRAM + _common(own[BESIDE:], theirs[BESIDE:])
-        if u["here"] is not None:  # what stays isn't cut: words of the first occurrence, if it overlaps
-            a = max(a, int(np.searchsorted(w.start, u["here"] >> 2)) + GRAM)
-        if a < b:
-            out.append((int(w.start[a]), int(w.start[b]) if b < len(w.start) and w.line[b] == w.line[b - 1] else int(w.end[b - 1])))
+    for k, bounds in ((LINE, w.lines), (PARAGRAPH, w.paragraphs)):
+        if (of := kind == k).any():
+            a, b = w.unit_spans(first[of], bounds)
+            out += zip(a.tolist(), b.tolist())
+    if (of := kind == ANCHOR).any():
+        first = first[of]
+        own = beside(w.hashes, first)
+        theirs = np.frombuffer(b"".join(u["beside"] for u in found if u["beside"] is not None), "<u4").reshape(own.shape)
+        a, b = first - _common(own[:, :BESIDE], theirs[:, :BESIDE]), first + GRAM + _common(own[:, BESIDE:], theirs[:, BESIDE:])
+        # What stays isn't cut: words of the first occurrence, if it overlaps.
+        here = np.fromiter((-1 if u["here"] is None else u["here"] >> 2 for u in found if u["beside"] is not None), np.int64, len(first))
+        a = np.where(here >= 0, np.maximum(a, np.searchsorted(w.start, here) + GRAM), a)
+        more = (b < len(w.start)) & (w.line[np.minimum(b, len(w.start) - 1)] == w.line[b - 1])
+        end = np.where(more, w.start[np.minimum(b, len(w.start) - 1)], w.end[b - 1])
+        out += [(int(w.start[x]), y) for x, y, z in zip(a.tolist(), end.tolist(), b.tolist()) if x < z]
     return sorted(out)
 
 
@@ -184,16 +181,17 @@ def unit_rows(docs: DataFrame) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, list, list] = ([], [], [])
+            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            size = 0
             for rank, t, text in zip(*(c.to_pylist() for c in batch.columns)):
-                found = list(zip(*units(text))) or [(), ()]
-                out[0].extend(found[0])
-                out[1].extend([rank] * len(found[0]))
-                out[2].extend([t << 32 | p for p in found[1]])
-                if len(out[0]) >= 100_000:
-                    yield pa.record_batch([pa.array(x, pa.int64()) for x in out], ["digest", "rank", "at"])
-                    out = ([], [], [])
-            yield pa.record_batch([pa.array(x, pa.int64()) for x in out], ["digest", "rank", "at"])
+                digests, places = units(text)
+                out.append((digests, np.full(len(digests), rank), places + (t << 32)))
+                size += len(digests)
+                if size >= 100_000:
+                    yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*out)], ["digest", "rank", "at"])
+                    out, size = [], 0
+            if out:
+                yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*out)], ["digest", "rank", "at"])
 
     return docs.mapInArrow(rows, "digest long, rank long, at long")
 
@@ -224,11 +222,9 @@ def dedup_units(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
             out: tuple[list, list, list] = ([], [], [])
             for rank, t_, _, text_, places in zip(*(c.to_pylist() for c in batch.columns)):
                 w = Words(text_)
-                h = w.hashes()
-                for p, at in zip(places, np.searchsorted(w.start, np.array(places) >> 2).tolist()):
-                    out[0].append(rank)
-                    out[1].append(t_ << 32 | p)
-                    out[2].append(beside(h, at))
+                out[0].extend([rank] * len(places))
+                out[1].extend([t_ << 32 | p for p in places])
+                out[2].extend(x.tobytes() for x in beside(w.hashes, np.searchsorted(w.start, np.array(places) >> 2)))
             yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], ["rank0", "at0", "beside"])
 
     # With all columns of d, so that this join and that below read one shuffle of the texts.

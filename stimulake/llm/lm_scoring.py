@@ -50,6 +50,20 @@ class WordKeys(dict):
         return h
 
 
+class WordPlaces(dict):
+    """Places of words in a sorted array of their hashes, one beyond its end for those that aren't there; remembered."""
+
+    def __init__(self, known: np.ndarray) -> None:
+        self.known, self.keys = known, WordKeys()
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= FLUSH_WORDS:
+            self.clear()
+        at = int(self.known.searchsorted(h := self.keys[word]))
+        self[word] = at = at if at < len(self.known) and self.known[at] == h else len(self.known)
+        return at
+
+
 def gram_keys(lines: list[bytes]) -> np.ndarray:
     """The ORDER-grams that end at each byte of each line and at its closing newline, as integers; newlines stand before."""
     x = np.frombuffer(b"".join(b"\n" * (ORDER - 1) + s + b"\n" for s in lines), np.uint8).astype(np.int64)
@@ -359,18 +373,15 @@ def score_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
         k, key, v, bow = k[order], key[order], v[order], bow[order]
         word = k == WORD
         model = Automaton(k[~word], key[~word], v[~word], bow[~word], unseen)
-        known, logs = key[word], np.log10((v[word] + 0.1) / below)
-        keys = WordKeys()
+        places, logs = WordPlaces(key[word]), np.log10(np.append(v[word], 0.0) + 0.1) - np.log10(below)
         n_tokens, n_known, base, lines = [], [], [], []
         for text in texts.column("text").to_pylist():
             w = words_of(text)
             lines.append(b" ".join(w))
-            h = np.fromiter(map(keys.__getitem__, w), np.int64, len(w))
-            at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
-            hit = known[at] == h if len(known) else np.zeros(len(h), bool)
+            at = np.fromiter(map(places.__getitem__, w), np.int64, len(w))
             n_tokens.append(len(w) + 1)
-            n_known.append(int(hit.sum()) + (ends > 0))
-            base.append(float(logs[at[hit]].sum() + (len(w) - hit.sum()) * np.log10(0.1 / below) + np.log10((ends + 0.1) / below)))
+            n_known.append(int((at < len(places.known)).sum()) + (ends > 0))
+            base.append(float(logs[at].sum() + np.log10((ends + 0.1) / below)))
         return pa.table([texts.column("doc_id"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(model.scores(lines))], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     kind = d.schema["doc_id"].dataType.simpleString()

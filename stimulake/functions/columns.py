@@ -61,12 +61,26 @@ def gaussian(x: Column, y: Column, x0: Column | float, y0: Column | float, sigma
     return F.lit(pixel * pixel) / (2 * math.pi * sigma * sigma) * F.exp(-(dx * dx + dy * dy) / (2 * sigma * sigma))
 
 
-def rotated_gaussian(x: Column, y: Column, x0: float, y0: float, log_sx: float, log_sy: float, theta: float, log_amplitude: float) -> Column:
-    """Anisotropic bump; widths and amplitude are given as logarithms."""
+def rotated_gaussian(x: Column, y: Column, x0: float, y0: float, log_sx: float, log_sy: float, theta: float, log_amplitude: float, offset: float = 0.0) -> Column:
+    """Anisotropic bump over an offset, turned clockwise by theta; widths and amplitude are given as logarithms."""
     c, s = math.cos(theta), math.sin(theta)
-    u, v = (x - x0) * c + (y - y0) * s, (y - y0) * c - (x - x0) * s
+    u, v = (x - x0) * c - (y - y0) * s, (x - x0) * s + (y - y0) * c
     sx, sy = math.exp(log_sx), math.exp(log_sy)
-    return F.lit(math.exp(log_amplitude)) * F.exp(-(u * u / (2 * sx * sx) + v * v / (2 * sy * sy)))
+    return offset + F.lit(math.exp(log_amplitude)) * F.exp(-(u * u / (2 * sx * sx) + v * v / (2 * sy * sy)))
+
+
+def orientation_delta(x0: Column, y0: Column, log_sx: Column, log_sy: Column, theta: Column) -> Column:
+    """Smallest signed difference between a field's polar angle and the direction of its longer axis, which has two ends."""
+    turned = F.pmod(-(theta + F.when(log_sx < log_sy, math.pi / 2).otherwise(0.0)), F.lit(2 * math.pi)) - math.pi
+    other = F.when(turned > 0, turned - math.pi).otherwise(turned + math.pi)
+    a, b = angle_delta(turned, F.atan2(y0, x0)), angle_delta(other, F.atan2(y0, x0))
+    return F.when(F.abs(a) < F.abs(b), a).otherwise(b)
+
+
+def ratio_error(part: Column, part_error: Column, whole: Column, whole_error: Column) -> Column:
+    """Standard error, in percent, of part squared over whole squared, by first-order propagation."""
+    relative = lambda v, e: F.try_divide(e, v) * F.try_divide(e, v)
+    return 200 * F.try_divide(part * part, whole * whole) * F.sqrt(relative(whole, whole_error) + relative(part, part_error))
 
 
 def string_seed(subject: Column, name: Column) -> Column:

@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import gaussian
@@ -22,25 +22,34 @@ def log_axis(n: int, low: float, high: float) -> list[float]:
     return [math.exp(x) for x in axis(n, math.log(low), math.log(high))]
 
 
+def spaced(n: int, center: float, width: float, right_bound: bool = False) -> list[float]:
+    """n evenly spaced values: the middles of n cells around a centre, or, right-bound, from the centre to centre + width; one alone is the centre."""
+    if n <= 1:
+        return [center]
+    if right_bound:
+        return [center + width * i / (n - 1) for i in range(n)]
+    return [center - width / 2 + width * (i + 0.5) / n for i in range(n)]
+
+
 def rf_grid(spark: SparkSession, n: int, n_sigma: int, aperture: float, sigmas: tuple[float, float]) -> DataFrame:
-    """(model_id, x, y, sigma): every pair of n positions a side with every one of n_sigma widths."""
+    """(model_id, x, y, sigma): every pair of n positions a side with every one of n_sigma widths; x varies slowest, sigma fastest."""
     step = aperture / (n - 1)
     ratio = math.log(sigmas[1] / sigmas[0]) / max(1, n_sigma - 1)
     k = F.col("id")
     return spark.range(n * n * n_sigma).select(
         k.alias("model_id"),
-        (F.floor(k / n_sigma) % n * step - aperture / 2).alias("x"),
-        (F.floor(k / (n_sigma * n)) * step - aperture / 2).alias("y"),
+        (F.floor(k / (n_sigma * n)) * step - aperture / 2).alias("x"),
+        (F.floor(k / n_sigma) % n * step - aperture / 2).alias("y"),
         (sigmas[0] * F.exp(k % n_sigma * ratio)).alias("sigma"),
     )
 
 
 def rf_pyramid(spark: SparkSession, sigmas: list[float], aperture: float, spacing: float) -> DataFrame:
-    """(sigma, i, j, x, y): for each width a square grid whose step grows with it."""
+    """(sigma, i, j, x, y): for each width a square grid, both ends included, whose step grows with it; j runs along x, fastest."""
     s = spark.createDataFrame([(float(x), math.ceil(aperture / (x * spacing))) for x in sigmas], "sigma double, n int")
     s = s.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    place = lambda k: (F.col(k) + 0.5) * aperture / F.col("n") - aperture / 2
-    return s.select("sigma", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), place("i").alias("x"), place("j").alias("y"))
+    place = lambda k: F.col(k) * aperture / F.greatest(F.col("n") - 1, F.lit(1)) - aperture / 2
+    return s.select("sigma", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), place("j").alias("x"), place("i").alias("y"))
 
 
 def pixels(spark: SparkSession, n: int) -> DataFrame:
@@ -48,23 +57,46 @@ def pixels(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(n * n).select(F.floor(F.col("id") / n).alias("x"), (F.col("id") % n).alias("y"))
 
 
-def gaussian_weights(spark: SparkSession, n: int, x0: float, y0: float, sigma: float) -> DataFrame:
-    """(x, y, w): a Gaussian receptive field on the pixels of a map."""
-    return pixels(spark, n).withColumn("w", gaussian(F.col("x"), F.col("y"), x0, y0, sigma))
+def field_pixels(spark: SparkSession, n: int, size: float, rfs: list[tuple[float, float, float]]) -> DataFrame:
+    """(rf, row, col, px, py, x0, y0, sigma): fields given as (x, y, sigma) over the pixels of a map that is ``size`` wide and centred; y points up."""
+    d = size / n
+    listed = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("rf"), *[F.lit(float(v)).alias(c) for v, c in zip(r, ("x0", "y0", "sigma"))]) for i, r in enumerate(rfs)]))
+    p = pixels(spark, n).withColumnsRenamed({"x": "row", "y": "col"}).withColumn("r", listed)
+    return p.select("r.rf", "row", "col", (F.col("col") * d + (d - size) / 2).alias("px"), (-(F.col("row") * d + (d - size) / 2)).alias("py"), "r.x0", "r.y0", "r.sigma")
+
+
+def gaussian_stack(spark: SparkSession, n: int, rfs: list[tuple[float, float, float]], size: float | None = None) -> DataFrame:
+    """(rf, row, col, w): Gaussian fields on the pixels of a map; one narrower than half a pixel is scaled to sum to 1."""
+    size = float(n) if size is None else size
+    f = field_pixels(spark, n, size, rfs).withColumn("w", gaussian(F.col("px"), F.col("py"), F.col("x0"), F.col("y0"), F.col("sigma"), size / n))
+    whole = F.sum("w").over(Window.partitionBy("rf"))
+    return f.select("rf", "row", "col", F.when(F.col("sigma") < size / n / 2, F.try_divide(F.col("w"), whole)).otherwise(F.col("w")).alias("w"))
 
 
-def gaussian_mass(x: Column, y: Column, x0: float, y0: float, sigma: float) -> Column:
-    """The mass of a Gaussian over each unit pixel, by the error function; Spark has none, so this is an Arrow UDF."""
+def gaussian_mass_stack(spark: SparkSession, n: int, rfs: list[tuple[float, float, float]], size: float | None = None) -> DataFrame:
+    """(rf, row, col, w): as gaussian_stack, but a field narrower than a pixel has each pixel's mass by the error function, and one
+    without width is 0. Spark has no error function, so that is an Arrow UDF over the pixels of those fields."""
+    size = float(n) if size is None else size
+    d = size / n
 
     @F.pandas_udf("double")
-    def mass(xs: pd.Series, ys: pd.Series) -> pd.Series:
-        if sigma <= 0:
-            return pd.Series(np.zeros(len(xs)))
-        erf = np.vectorize(math.erf)
-        side = lambda v, c: (erf((v + 0.5 - c) / (sigma * math.sqrt(2))) - erf((v - 0.5 - c) / (sigma * math.sqrt(2)))) / 2
-        return pd.Series(side(xs.to_numpy(float), x0) * side(ys.to_numpy(float), y0))
+    def mass(x: pd.Series, y: pd.Series, x0: pd.Series, y0: pd.Series, sigma: pd.Series) -> pd.Series:
+        erf = np.vectorize(math.erf, otypes=[float])
+        s = np.maximum(sigma.to_numpy(), 1e-12) * math.sqrt(2)
+        side = lambda v, c: (erf((v - c + d / 2).to_numpy() / s) - erf((v - c - d / 2).to_numpy() / s)) / 2
+        return pd.Series(side(x, x0) * side(y, y0))
 
-    return mass(x, y)
+    f = field_pixels(spark, n, size, rfs)
+    place = [F.col(c) for c in ("px", "py", "x0", "y0", "sigma")]
+    narrow = f.where((F.col("sigma") > 0) & (F.col("sigma") < d)).withColumn("w", mass(*place))
+    wide = f.where((F.col("sigma") <= 0) | (F.col("sigma") >= d)).withColumn("w", F.when(F.col("sigma") <= 0, 0.0).otherwise(gaussian(*place, d)))
+    return narrow.unionByName(wide).select("rf", "row", "col", "w")
+
+
+def weight_arrays(weights: DataFrame) -> list[list[float]]:
+    """The maps of a stack as arrays, row by row: fields times pixels of one model, which fit the driver."""
+    rows = weights.groupBy("rf").agg(F.array_sort(F.collect_list(F.struct("row", "col", "w"))).alias("p")).orderBy("rf").collect()
+    return [[p["w"] for p in r["p"]] for r in rows]
 
 
 def pool(maps: DataFrame, weights: DataFrame, keys: list[str], out: str = "pooled") -> DataFrame:
@@ -72,6 +104,34 @@ def pool(maps: DataFrame, weights: DataFrame, keys: list[str], out: str = "poole
     return maps.join(weights, ["x", "y"]).groupBy(*keys).agg(F.sum(F.col("value") * F.col("w")).alias(out))
 
 
+def softmax(values: list[float]) -> list[float]:
+    e = np.exp(np.array(values) - max(values))
+    return (e / e.sum()).tolist()
+
+
+def overlaps(old: int, new: int) -> np.ndarray:
+    """Length of each old cell inside each new one, both axes having the same extent, in old cells."""
+    edges = np.arange(new + 1) * (old / new)
+    k = np.arange(old)
+    return np.clip(np.minimum(edges[1:, None], k + 1) - np.maximum(edges[:-1, None], k), 0, None)
+
+
+def shared_field(field: list[float], rez: int, side: int) -> list[float]:
+    """The weights on a map of ``side`` pixels of a field given on ``rez`` pixels a side, row by row.
+
+    A finer map is averaged to the field's grid, a coarser one gets the field's sums, and a single pixel passes with weight 1.
+    """
+    if side == 1:
+        return [1.0]
+    g = np.array(field).reshape(rez, rez)
+    if side > rez:
+        m = overlaps(side, rez)
+        m = m / m.sum(axis=1, keepdims=True)
+        return (m.T @ g @ m).ravel().tolist()
+    m = overlaps(rez, side)
+    return (m @ g @ m.T).ravel().tolist()
+
+
 def area_matrix(spark: SparkSession, old: int, new: int, normalise: bool = True) -> DataFrame:
     """(src, dst, w): overlap of each old cell with each new one; normalised, a new cell's weights sum to 1."""
     ratio = old / new
@@ -80,12 +140,19 @@ def area_matrix(spark: SparkSession, old: int, new: int, normalise: bool = True)
     return d.select("src", "dst", (w / ratio if normalise else w).alias("w")).where("w > 1e-12")
 
 
-def linear_matrix(spark: SparkSession, old: int, new: int) -> DataFrame:
-    """(src, dst, w): two neighbours for each new point between the first old point and the last."""
+def linear_matrix(spark: SparkSession, old: int, new: int, normalise: bool = True) -> DataFrame:
+    """(src, dst, w): two neighbours for each new point between the first old point and the last; normalised, an old point's weights sum to 1."""
     at = F.col("id") * (old - 1) / (new - 1)
     low = F.least(F.floor(at), F.lit(old - 2))
     pair = F.array(F.struct(low.alias("src"), (1 - (at - low)).alias("w")), F.struct((low + 1).alias("src"), (at - low).alias("w")))
-    return spark.range(new).select(F.col("id").alias("dst"), F.explode(pair).alias("p")).select("p.src", "dst", "p.w")
+    m = spark.range(new).select(F.col("id").alias("dst"), F.explode(pair).alias("p")).select("p.src", "dst", "p.w")
+    return m.withColumn("w", F.col("w") / F.sum("w").over(Window.partitionBy("src"))) if normalise else m
+
+
+def sampling_matrix(spark: SparkSession, old: int, new: int, preserve_norm: bool = True) -> DataFrame:
+    """Up or down as the sizes say. Preserving the norm, what an old cell holds is dealt out in full; else new cells are means (down) or
+    plain interpolation (up)."""
+    return linear_matrix(spark, old, new, preserve_norm) if new > old else area_matrix(spark, old, new, not preserve_norm)
 
 
 def resample(maps: DataFrame, matrix: DataFrame, keys: list[str]) -> DataFrame:

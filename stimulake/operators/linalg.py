@@ -2,40 +2,55 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import dot
+
 
 def gram(df: DataFrame, x: str, y: str | None = None) -> tuple[np.ndarray, np.ndarray, int]:
-    """Sums over rows of z zᵀ and z yᵀ, z being the feature array with a 1 in front; partial sums are made on the executors.
+    """Sums over rows of z zᵀ and z yᵀ, z being the feature array with a 1 in front.
 
-    What reaches the driver is one matrix of features by features (+ outputs) for each partition, added up two by two.
+    Each partition gives one matrix as bytes; groups of partitions add theirs up before the driver adds the rest: what reaches it is the
+    square root of the number of partitions times one matrix of features by features (+ outputs). Rows with a null array don't count.
     """
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = None, 0
         for b in batches:
-            if len(b):
-                z = np.column_stack([np.ones(len(b)), np.array(b[x].tolist(), float)])
-                both = np.column_stack([z, np.array(b[y].tolist(), float)]) if y else z
-                part = z.T @ both
-                total, n = part if total is None else total + part, n + len(b)
+            if b.num_rows:
+                arrays = [np.array(c.to_pylist(), float) for c in b.columns]
+                z = np.column_stack([np.ones(b.num_rows), arrays[0]])
+                part = z.T @ np.column_stack([z, *arrays[1:]])
+                total, n = part if total is None else total + part, n + b.num_rows
+        if total is not None:
+            yield pa.record_batch([[n], [len(total)], [total.tobytes()]], ["rows", "k", "m"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n, k = None, 0, 0
+        for b in batches:
+            for rows, k, m in zip(*(c.to_pylist() for c in b.columns)):
+                part = np.frombuffer(m).reshape(k, -1)
+                total, n = part if total is None else total + part, n + rows
         if total is not None:
-            yield pd.DataFrame({"rows": [n] * len(total), "i": range(len(total)), "v": list(total)})
+            yield pa.record_batch([[n], [k], [total.tobytes()]], ["rows", "k", "m"])
 
+    kind = "rows long, k long, m binary"
     columns = [x] + ([y] if y else [])
-    parts = df.select(*columns).mapInPandas(partial, "rows long, i int, v array<double>").select("rows", "i", F.posexplode("v").alias("j", "v"))
-    sums = parts.groupBy("i", "j").agg(F.sum("v").alias("v"), F.sum("rows").alias("rows")).toPandas()
-    if sums.empty:
+    parts = df.select(*columns).dropna().mapInArrow(partial, kind)
+    groups = max(1, math.isqrt(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    sums = parts.repartition(groups).mapInArrow(add, kind).collect()
+    if not sums:
         return np.zeros((0, 0)), np.zeros((0, 0)), 0
-    k = int(sums["i"].max()) + 1
-    m = np.zeros((k, int(sums["j"].max()) + 1))
-    m[sums["i"], sums["j"]] = sums["v"]
-    return m[:, :k], m[:, k:], int(sums["rows"].iloc[0])
+    k = sums[0]["k"]
+    m = sum(np.frombuffer(r["m"]).reshape(k, -1) for r in sums)
+    return m[:, :k], m[:, k:], sum(r["rows"] for r in sums)
 
 
 def ols(df: DataFrame, x: str, y: str, penalty: float = 0.0) -> np.ndarray:
@@ -46,6 +61,19 @@ def ols(df: DataFrame, x: str, y: str, penalty: float = 0.0) -> np.ndarray:
     return np.linalg.lstsq(a + p, b, rcond=None)[0]
 
 
+def predict(df: DataFrame, coef: DataFrame, x: str = "x", keys: list[str] | None = None, size: int = 1000) -> DataFrame:
+    """(keys, unit, value): predictions of all units of ``coef`` (unit, coef array, intercept) for each row, in blocks of ``size`` units.
+
+    Rows meet coefficients by block, an equi-join; whether the coefficients are broadcast is for Spark to say by their size.
+    """
+    placed = coef.withColumn("block", F.expr(f"unit div {size}"))
+    low, high = placed.agg(F.min("block"), F.max("block")).first()
+    if low is None:
+        return df.select(*(keys or [])).withColumns({"unit": F.lit(None).cast("long"), "value": F.lit(None).cast("double")}).limit(0)
+    rows = df.select(*(keys or []), x).withColumn("block", F.explode(F.sequence(F.lit(low), F.lit(high))))
+    return rows.join(placed, "block").select(*(keys or []), "unit", (F.col("intercept") + dot(F.col(x), F.col("coef"))).alias("value"))
+
+
 def pca(df: DataFrame, x: str, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Mean, k loadings (rows) and their shares of the variance; in each the largest loading is positive."""
     a, _, n = gram(df, x)

@@ -57,10 +57,17 @@ def positions(spark: SparkSession, values: list, name: str) -> DataFrame:
     return spark.createDataFrame([(v, i) for i, v in enumerate(values)], [name, "pos"])
 
 
-def select_units(units: DataFrame, roi: str | None = None, mask: Sequence[int] | None = None) -> DataFrame:
-    """Units of a region of interest; only without one does a mask by unit number count; else all."""
+def select_units(units: DataFrame, roi: str | None = None, mask: Sequence[int] | Column | None = None, rois: Iterable[str] | None = None) -> DataFrame:
+    """Units of a region of interest; only without one does a mask by unit number count; else all.
+
+    A region must be one of ``rois``, by default those that the units have (a list of names, whatever the number of units). A mask is
+    a condition on the units, or a list of 0 and 1 for a short axis.
+    """
     if roi is not None:
+        check_member(roi, rois if rois is not None else sorted(r[0] for r in units.select("roi").distinct().dropna().collect()), "roi")
         return units.where(F.col("roi") == roi)
+    if isinstance(mask, Column):
+        return units.where(mask)
     if mask is not None:
         chosen = units.sparkSession.createDataFrame([(i,) for i in mask_indices(list(mask), len(mask))], "unit long")
         return units.join(chosen, "unit", "left_semi")

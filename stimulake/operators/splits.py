@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import InvalidParameterError
@@ -11,17 +11,24 @@ from ..errors import InvalidParameterError
 def global_position(df: DataFrame, order: list[str], out: str = "pos", ranges: int | None = None) -> DataFrame:
     """1-based position in a total order without one task that sees all rows.
 
-    Rows are range-partitioned and numbered inside each partition; the sizes of the earlier partitions, one row each, are added.
+    A sample of about 100 rows a range gives fixed bounds; each row's range follows from its own key, so ranges are the same whenever
+    they are computed. Rows are numbered inside ranges, and the sizes of the earlier ranges, one row each, are added. Nulls come first.
     """
     n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id())
-    sizes = [tuple(r) for r in parts.groupBy("__part").count().collect()]
+    share = min(1.0, 100.0 * n / max(1, df.count()))
+    kinds = {f.name: f.dataType for f in df.schema}
+    place = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)])
+    sample = df.select(place.alias("k")).sample(share, seed=1).distinct().sort("k").collect()
+    at = sorted({len(sample) * i // n for i in range(1, n)} - {0}) if sample else []
+    bounds = [F.struct(*[F.lit(v).cast(kinds[c]).alias(f"k{j}") for j, (v, c) in enumerate(zip(sample[i]["k"], order))]) for i in at]
+    part = F.size(F.filter(F.array(*bounds), lambda b: b <= place)) if bounds else F.lit(0)
+    parts = df.withColumn("__part", part)
     before, offsets = 0, []
-    for part, size in sorted(sizes):
-        offsets.append((part, before))
+    for p, size in sorted(tuple(r) for r in parts.groupBy("__part").count().collect()):
+        offsets.append((p, before))
         before += size
     local = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    shift = df.sparkSession.createDataFrame(offsets, "__part int, __before long")
+    shift = df.sparkSession.createDataFrame(offsets, "__part int, __before long")  # one row a range
     return parts.withColumn(out, local).join(F.broadcast(shift), "__part").withColumn(out, (F.col(out) + F.col("__before")).cast("long")).drop("__part", "__before")
 
 
@@ -46,6 +53,14 @@ def hash_split(df: DataFrame, key: str, share: float, seed: int) -> DataFrame:
     return df.withColumn("split", F.when(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")).cast("binary")) < limit, "holdout").otherwise("train"))
 
 
+def repeat_split(stimuli: DataFrame, trials: DataFrame, key: str, shared: Column, repeats: int = 3) -> DataFrame:
+    """Adds seen (trials of the stimulus) and split: shared stimuli seen exactly ``repeats`` times are ``test``, all other shared ones,
+    those never seen too, ``val``; stimuli that aren't shared ``train``."""
+    seen = trials.groupBy(key).agg(F.count("*").alias("seen"))
+    joined = stimuli.join(seen, key, "left").withColumn("seen", F.coalesce("seen", F.lit(0).cast("long")))
+    return joined.withColumn("split", F.when(~shared, "train").when(F.col("seen") == repeats, "test").otherwise("val"))
+
+
 def blocks(df: DataFrame, size: int, unit: str = "unit") -> DataFrame:
     """Blocks of consecutive units; the last may be short."""
     return df.withColumn("block", F.expr(f"`{unit}` div {size}"))

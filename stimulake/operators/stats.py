@@ -31,6 +31,13 @@ def zscore(df: DataFrame, value: str, keys: list[str], out: str = "z", fill: flo
     return joined.withColumn(out, z if fill is None else F.coalesce(finite_or_zero(z), F.lit(fill))).drop(*names, "__mean", "__sd")
 
 
+def weighted_error(df: DataFrame, keys: list[str], measured: str, predicted: str, low: float = 0.1) -> DataFrame:
+    """Squared error and weight per unit: the weight is the squared correlation, with 1e-6 below the fraction, between low and 1."""
+    x, y = F.col(measured), F.col(predicted)
+    g = df.groupBy(*keys).agg(F.sum((y - x) * (y - x)).alias("error"), F.covar_pop(x, y).alias("c"), (F.var_pop(x) * F.var_pop(y)).alias("v"))
+    return g.select(*keys, "error", F.greatest(F.least(F.col("c") * F.col("c") / (F.col("v") + 1e-6), F.lit(1.0)), F.lit(low)).alias("weight"))
+
+
 def repeat_mean(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """Mean over repeats with their number."""
     return df.groupBy(*keys).agg(*[F.avg(v).alias(v) for v in values], F.count("*").alias("n"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import epochs, fields, linalg, splits, stats
-from ..sources.tables import FEATURES, MEASUREMENTS, RECORDING, features, measurements, recording, table
+from ..sources.tables import FEATURES, MEASUREMENTS, RECORDING, features, measurements, recording, table, vectors
 from .responses import R_SQL, r6
 
 QUERIES: dict[str, tuple] = {}
@@ -68,14 +68,21 @@ def luma(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(_points(spark, sf_dir).select("stim", C.luma(a, b, c).alias("luma"), C.grayscale(a, b, c).alias("gray")))
 
 
-@query("SELECT k AS model_id, round((k // 4) % 8 * (8.0::DOUBLE / 7) - 4, 6) AS x, round((k // 32) * (8.0::DOUBLE / 7) - 4, 6) AS y, round(0.5::DOUBLE * exp(k % 4 * (ln(8.0::DOUBLE) / 3)), 6) AS sigma FROM (SELECT unnest(range(0, 256)) AS k)")
+@query("SELECT k AS model_id, round((k // 32) * (8.0::DOUBLE / 7) - 4, 6) AS x, round((k // 4) % 8 * (8.0::DOUBLE / 7) - 4, 6) AS y, round(0.5::DOUBLE * exp(k % 4 * (ln(8.0::DOUBLE) / 3)), 6) AS sigma FROM (SELECT unnest(range(0, 256)) AS k)")
 def rf_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(fields.rf_grid(spark, 8, 4, 8.0, (0.5, 4.0)))
 
 
-@query("WITH s AS (SELECT sigma, ceil(8 / (sigma * 0.5))::BIGINT AS n FROM (VALUES (0.5::DOUBLE), (1), (2), (4)) AS t(sigma)), i AS (SELECT sigma, n, unnest(range(0, n)) AS i FROM s) SELECT sigma, i, j, round((i + 0.5) * 8 / n - 4, 6)::DOUBLE AS x, round((j + 0.5) * 8 / n - 4, 6)::DOUBLE AS y FROM (SELECT *, unnest(range(0, n)) AS j FROM i)")
+@query("WITH s AS (SELECT sigma, ceil(8 / (sigma * 0.5))::BIGINT AS n FROM (VALUES (0.5::DOUBLE), (1), (2), (4), (16)) AS t(sigma)), i AS (SELECT sigma, n, unnest(range(0, n)) AS i FROM s) SELECT sigma, i, j, round(j * 8::DOUBLE / greatest(n - 1, 1) - 4, 6) AS x, round(i * 8::DOUBLE / greatest(n - 1, 1) - 4, 6) AS y FROM (SELECT *, unnest(range(0, n)) AS j FROM i)")
 def rf_pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r6(fields.rf_pyramid(spark, [0.5, 1.0, 2.0, 4.0], 8.0, 0.5))
+    return r6(fields.rf_pyramid(spark, [0.5, 1.0, 2.0, 4.0, 16.0], 8.0, 0.5))
+
+
+@query("SELECT k AS pos, round(1.5 + ((3::DOUBLE / 7) - 3) / 2 + k * (3::DOUBLE / 7), 6) AS centred, round(1.5 + k * 3::DOUBLE / 6, 6) AS right_bound FROM (SELECT unnest(range(0, 7)) AS k)")
+def linear_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven positions of width 3: cell middles around 1.5, and from 1.5 to the right."""
+    rows = [(k, a, b) for k, (a, b) in enumerate(zip(fields.spaced(7, 1.5, 3.0), fields.spaced(7, 1.5, 3.0, right_bound=True)))]
+    return r6(spark.createDataFrame(rows, "pos long, centred double, right_bound double"))
 
 
 @query("SELECT k AS pos, round(exp(ln(0.1::DOUBLE) + (ln(10.0::DOUBLE) - ln(0.1::DOUBLE)) * k / 19), 6) AS value FROM (SELECT unnest(range(0, 20)) AS k)")
@@ -83,28 +90,56 @@ def log_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(spark.createDataFrame(list(enumerate(fields.log_axis(20, 0.1, 10.0))), "pos long, value double"))
 
 
-G_SQL = "1 / ({pi2} * {s} * {s}) * exp(-((x - {x}) * (x - {x}) + (y - {y}) * (y - {y})) / (2 * {s} * {s}))"
-G1 = G_SQL.format(pi2=PI2, s="1.5::DOUBLE", x="3.5::DOUBLE", y="2.5::DOUBLE")
+RFS = [(-1.0, 0.5, 1.5), (1.2, -2.1, 0.3), (0.0, 0.0, 1.0)]
+G_SQL = "g AS (SELECT rf, dim, 1 / ({pi2} * s * s) * exp(-(power(px - x0, 2) + power(py - y0, 2)) / (2 * s * s)) AS w, s FROM (SELECT *, k AS dim, k % 8 - 3.5::DOUBLE AS px, 3.5::DOUBLE - k // 8 AS py FROM (SELECT unnest(range(0, 64)) AS k), (VALUES {rfs}) AS t(rf, x0, y0, s))), gw AS (SELECT rf, dim, CASE WHEN s < 0.5 THEN w / sum(w) OVER (PARTITION BY rf) ELSE w END AS w FROM g)".format(
+    pi2=PI2, rfs=", ".join(f"({i}, {x}::DOUBLE, {y}::DOUBLE, {s}::DOUBLE)" for i, (x, y, s) in enumerate(RFS))
+)
+
 
+def _pooled(spark: SparkSession, sf_dir: str, weights: list[list[float]]) -> DataFrame:
+    """Maps pooled through several fields, inside each row."""
+    x = F.col("x")
+    pooled = F.array(*[C.dot(x, F.lit(w)) for w in weights])
+    return r6(vectors(spark, sf_dir).select("stim", F.posexplode(pooled).alias("rf", "pooled")))
 
-@query(f"WITH {MAPS} SELECT stim, round(sum(value * {G1}), 6) AS pooled FROM mp GROUP BY stim")
+
+@query(f"WITH {FEATURES}, {G_SQL} SELECT stim, rf::BIGINT AS rf, round(sum(value * w), 6) AS pooled FROM f JOIN gw USING (dim) GROUP BY stim, rf")
 def gaussian_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r6(fields.pool(maps(spark, sf_dir), fields.gaussian_weights(spark, 8, 3.5, 2.5, 1.5), ["stim"]))
+    return _pooled(spark, sf_dir, fields.weight_arrays(fields.gaussian_stack(spark, 8, RFS)))
 
 
 @query()
 def gaussian_mass_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As gaussian_pool, with each pixel's mass by the error function, which neither engine's SQL has."""
-    w = fields.pixels(spark, 8).withColumn("w", fields.gaussian_mass(F.col("x"), F.col("y"), 3.5, 2.5, 0.4))
-    return r6(fields.pool(maps(spark, sf_dir), w, ["stim"]))
+    """As gaussian_pool, with each pixel's mass by the error function, which neither engine's SQL has, in narrow fields."""
+    return _pooled(spark, sf_dir, fields.weight_arrays(fields.gaussian_mass_stack(spark, 8, RFS)))
 
 
-ROT = "exp(-(power(((x - 3.5) * cos(0.5) + (y - 3.5) * sin(0.5)), 2) / (2 * exp(0.4) * exp(0.4)) + power(((y - 3.5) * cos(0.5) - (x - 3.5) * sin(0.5)), 2) / (2 * exp(0.9) * exp(0.9)))) * exp(0.2)"
+ROT = "0.3 + exp(0.2) * exp(-((power(cos(0.5), 2) / (2 * exp(0.8)) + power(sin(0.5), 2) / (2 * exp(1.8))) * power(x - 3.5, 2) + sin(1.0) * (1 / (2 * exp(1.8)) - 1 / (2 * exp(0.8))) * (x - 3.5) * (y - 3.5) + (power(sin(0.5), 2) / (2 * exp(0.8)) + power(cos(0.5), 2) / (2 * exp(1.8))) * power(y - 3.5, 2)))"
 
 
 @query(f"SELECT x, y, round({ROT}, 6) AS w FROM (SELECT k // 8 AS x, k % 8 AS y FROM (SELECT unnest(range(0, 64)) AS k))")
 def rotated_gaussian(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r6(fields.pixels(spark, 8).withColumn("w", C.rotated_gaussian(F.col("x"), F.col("y"), 3.5, 3.5, 0.4, 0.9, 0.5, 0.2)))
+    return r6(fields.pixels(spark, 8).withColumn("w", C.rotated_gaussian(F.col("x"), F.col("y"), 3.5, 3.5, 0.4, 0.9, 0.5, 0.2, 0.3)))
+
+
+WRAPPED = "CASE WHEN abs({0}) <= abs({0} + {pi2}) AND abs({0}) <= abs({0} - {pi2}) THEN {0} WHEN abs({0} + {pi2}) <= abs({0} - {pi2}) THEN {0} + {pi2} ELSE {0} - {pi2} END"
+
+
+@query(
+    f"WITH {P}, t AS (SELECT stim, atan2(b, a) AS polar, -(10 * d + CASE WHEN a < c THEN {math.pi / 2} ELSE 0 END) AS m FROM p), h AS (SELECT stim, polar, m - {PI2} * floor(m / {PI2}) - {math.pi} AS phi FROM t), "
+    f"o AS (SELECT stim, phi - polar AS u, CASE WHEN phi > 0 THEN phi - {math.pi} ELSE phi + {math.pi} END - polar AS v FROM h), w AS (SELECT stim, {WRAPPED.format('u', pi2=PI2)} AS u, {WRAPPED.format('v', pi2=PI2)} AS v FROM o) SELECT stim, round(CASE WHEN abs(u) < abs(v) THEN u ELSE v END, 6) AS delta FROM w"
+)
+def orientation_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far fields' longer axes are from pointing at the centre."""
+    a, b, c, d = (F.col(x) for x in "abcd")
+    return r6(_points(spark, sf_dir).select("stim", C.orientation_delta(a, b, a, c, 10 * d).alias("delta")))
+
+
+@query(f"WITH {P} SELECT stim, round(200 * (a * a) / nullif(b * b, 0) * sqrt(power(0.1 * d / nullif(b, 0), 2) + power(0.1 * c / nullif(a, 0), 2)), 4) AS error FROM p WHERE abs(b) > 0.01")
+def tuning_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Propagated error of a share of variance."""
+    a, b, c, d = (F.col(x) for x in "abcd")
+    return _points(spark, sf_dir).where(F.abs(b) > 0.01).select("stim", F.round(C.ratio_error(a, 0.1 * c, b, 0.1 * d), 4).alias("error"))
 
 
 AREA = "o AS (SELECT d.k AS dst, s.k AS src, (least(s.k + 1, (d.k + 1) * (8.0::DOUBLE / 3)) - greatest(s.k, d.k * (8.0::DOUBLE / 3))) / (8.0::DOUBLE / 3) AS w FROM (SELECT unnest(range(0, 3)) AS k) d, (SELECT unnest(range(0, 8)) AS k) s)"
@@ -112,35 +147,38 @@ AREA = "o AS (SELECT d.k AS dst, s.k AS src, (least(s.k + 1, (d.k + 1) * (8.0::D
 
 @query(f"WITH {MAPS}, {AREA} SELECT stim, a.dst AS x, b.dst AS y, round(sum(value * a.w * b.w), 6) AS value FROM mp JOIN o a ON a.src = x AND a.w > 1e-12 JOIN o b ON b.src = y AND b.w > 1e-12 GROUP BY stim, a.dst, b.dst")
 def area_downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r6(fields.resample(maps(spark, sf_dir), fields.area_matrix(spark, 8, 3), ["stim"]).select("stim", "x", "y", "value"))
+    return r6(fields.resample(maps(spark, sf_dir), fields.sampling_matrix(spark, 8, 3, preserve_norm=False), ["stim"]).select("stim", "x", "y", "value"))
 
 
-LINEAR = "o AS (SELECT k AS dst, lo + s AS src, CASE s WHEN 0 THEN 1 - (pos - lo) ELSE pos - lo END AS w FROM (SELECT k, k * 7::DOUBLE / 11 AS pos, least(floor(k * 7::DOUBLE / 11), 6)::BIGINT AS lo FROM (SELECT unnest(range(0, 12)) AS k)), (SELECT unnest([0, 1]) AS s))"
+LINEAR = "o0 AS (SELECT k AS dst, lo + s AS src, CASE s WHEN 0 THEN 1 - (pos - lo) ELSE pos - lo END AS w FROM (SELECT k, k * 7::DOUBLE / 11 AS pos, least(floor(k * 7::DOUBLE / 11), 6)::BIGINT AS lo FROM (SELECT unnest(range(0, 12)) AS k)), (SELECT unnest([0, 1]) AS s)), o AS (SELECT dst, src, w / sum(w) OVER (PARTITION BY src) AS w FROM o0)"
 
 
-@query(f"WITH {MAPS}, {LINEAR} SELECT stim, a.dst AS x, b.dst AS y, round(sum(value * a.w * b.w), 6) AS value FROM mp JOIN o a ON a.src = x JOIN o b ON b.src = y GROUP BY stim, a.dst, b.dst")
+@query(f"WITH {MAPS}, {LINEAR} SELECT stim, a.dst AS x, b.dst AS y, round(sum(value * a.w * b.w), 6) + 0.0 AS value FROM mp JOIN o a ON a.src = x JOIN o b ON b.src = y GROUP BY stim, a.dst, b.dst")
 def linear_upsample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r6(fields.resample(maps(spark, sf_dir), fields.linear_matrix(spark, 8, 12), ["stim"]).select("stim", "x", "y", "value"))
+    return r6(fields.resample(maps(spark, sf_dir), fields.sampling_matrix(spark, 8, 12), ["stim"]).select("stim", "x", "y", "value"))
 
 
 @query(f"WITH {MAPS}, s AS (SELECT stim, x, y, value, exp(value - max(value) OVER (PARTITION BY stim)) AS e FROM mp) SELECT stim, round(sum(value * e) / sum(e), 6) AS pooled FROM s GROUP BY stim")
 def spatial_softmax_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = F.exp(F.col("value") - F.max("value").over(Window.partitionBy("stim")))
-    return r6(maps(spark, sf_dir).withColumn("e", e).groupBy("stim").agg((F.sum(F.col("value") * F.col("e")) / F.sum("e")).alias("pooled")))
+    v = vectors(spark, sf_dir).withColumn("e", F.transform("x", lambda v: F.exp(v - F.array_max("x"))))
+    return r6(v.select("stim", (C.dot(F.col("x"), F.col("e")) / F.aggregate("e", F.lit(0.0), lambda s, v: s + v)).alias("pooled")))
 
 
 @query(f"WITH {FEATURES} SELECT stim, dim // 16 AS layer, round(avg(value), 6) AS mean FROM f GROUP BY ALL")
 def spatial_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r6(features(spark, sf_dir).groupBy("stim", F.expr("dim div 16").alias("layer")).agg(F.avg("value").alias("mean")))
+    means = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.aggregate(F.slice("x", i * 16 + 1, 16), F.lit(0.0), lambda s, v: s + v) / 16)
+    return r6(vectors(spark, sf_dir).select("stim", F.posexplode(means).alias("layer", "mean")))
 
 
-@query(f"WITH {MAPS}, w AS (SELECT stim, x, y, greatest(value - avg(value) OVER (PARTITION BY stim), 0) AS w FROM mp), c AS (SELECT stim, sum(x * w) / nullif(sum(w), 0) AS cx, sum(y * w) / nullif(sum(w), 0) AS cy FROM w GROUP BY stim) SELECT stim, round(any_value(cx), 6) AS cx, round(any_value(cy), 6) AS cy, round(sqrt(sum((x - cx) * (x - cx) * w) / nullif(sum(w), 0)), 6) AS spread FROM w JOIN c USING (stim) GROUP BY stim")
+@query(f"WITH {FEATURES}, w AS (SELECT stim, dim % 8 / 7::DOUBLE - 0.5 AS x, 0.5 - dim // 8 / 7::DOUBLE AS y, greatest(value - avg(value) OVER (PARTITION BY stim), 0) AS w FROM f), c AS (SELECT stim, sum(x * w) / nullif(sum(w), 0) AS cx, sum(y * w) / nullif(sum(w), 0) AS cy FROM w GROUP BY stim) SELECT stim, round(any_value(cx), 6) AS cx, round(any_value(cy), 6) AS cy, round(sqrt(sum((x - cx) * (x - cx) * w) / nullif(sum(w), 0)), 6) AS sx, round(sqrt(sum((y - cy) * (y - cy) * w) / nullif(sum(w), 0)), 6) AS sy FROM w JOIN c USING (stim) GROUP BY stim")
 def weighted_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    per = Window.partitionBy("stim")
-    w = maps(spark, sf_dir).withColumn("w", F.greatest(F.col("value") - F.avg("value").over(per), F.lit(0.0)))
-    w = w.withColumns({"cx": F.try_divide(F.sum(F.col("x") * F.col("w")).over(per), F.sum("w").over(per)), "cy": F.try_divide(F.sum(F.col("y") * F.col("w")).over(per), F.sum("w").over(per))})
-    d = F.col("x") - F.col("cx")
-    return r6(w.groupBy("stim").agg(F.max("cx").alias("cx"), F.max("cy").alias("cy"), F.sqrt(F.try_divide(F.sum(d * d * F.col("w")), F.sum("w"))).alias("spread")))
+    """Centre and spread, along x and y, of what exceeds the mean; the map is one wide and centred, y points up."""
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v)
+    xs, ys = F.lit([i % 8 / 7 - 0.5 for i in range(64)]), F.lit([0.5 - i // 8 / 7 for i in range(64)])
+    v = vectors(spark, sf_dir).withColumn("mean", total(F.col("x")) / F.size("x")).withColumn("w", F.transform("x", lambda v: F.greatest(v - F.col("mean"), F.lit(0.0)))).withColumn("total", total(F.col("w")))
+    v = v.withColumns({"cx": F.try_divide(C.dot(xs, F.col("w")), F.col("total")), "cy": F.try_divide(C.dot(ys, F.col("w")), F.col("total"))})
+    spread = lambda at, c: F.sqrt(F.try_divide(C.dot(F.transform(at, lambda p: (p - F.col(c)) * (p - F.col(c))), F.col("w")), F.col("total")))
+    return r6(v.select("stim", "cx", "cy", spread(xs, "cx").alias("sx"), spread(ys, "cy").alias("sy")))
 
 
 @query("SELECT p_partkey AS roi_id, string_split(p_name, ' ')[1] AS roi_name FROM part WHERE len(string_split(p_partkey || ' ' || p_name, ' ')) >= 2")
@@ -229,10 +267,10 @@ def standardise_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {FEATURES} SELECT stim, u AS unit, round(0.1 * u + sum(value * sin((dim + 1) * (u + 1))), 6) AS value FROM f, (SELECT unnest(range(0, 5)) AS u) GROUP BY stim, u")
 def linear_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predictions from coefficients per unit; a selection of units is a filter on the coefficients."""
+    """Predictions from coefficients per unit, in blocks of units; a selection of units is a filter on the coefficients."""
     coef = spark.range(5).select(F.col("id").alias("unit"), F.transform(F.sequence(F.lit(1), F.lit(64)), lambda d: F.sin(d * (F.col("id") + 1))).alias("coef"), (F.col("id") * 0.1).alias("intercept"))
     x = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("stim"), F.transform("embedding", lambda v: v.cast("double")).alias("x"))
-    return r6(x.crossJoin(F.broadcast(coef)).select("stim", "unit", (F.col("intercept") + C.dot(F.col("x"), F.col("coef"))).alias("value")))
+    return r6(linalg.predict(x, coef, keys=["stim"], size=2))
 
 
 @query(f"WITH {MEASUREMENTS} SELECT unit, round(covar_pop(predicted, measured) / nullif(var_pop(predicted), 0), 4) AS slope, round(avg(measured) - covar_pop(predicted, measured) / nullif(var_pop(predicted), 0) * avg(predicted), 4) AS intercept FROM m GROUP BY unit")
@@ -306,23 +344,28 @@ def tuning_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(q.select("part", F.try_divide(F.col("v"), F.sum("v").over(everything)).alias("share"), F.try_divide(F.col("v") - low, high - low).alias("scaled"), first.alias("preferred")))
 
 
-SPREAD = f"WITH {FEATURES}, q AS (SELECT label, dim // 4 AS part, avg(value * value) AS v FROM f GROUP BY ALL), n AS (SELECT label, (v - min(v) OVER w) / nullif(max(v) OVER w - min(v) OVER w, 0) AS v FROM q WINDOW w AS (PARTITION BY label)), r AS (SELECT label, v, row_number() OVER (PARTITION BY label ORDER BY v) - 1 AS i FROM n), l AS (SELECT label, i, v, lead(v) OVER (PARTITION BY label ORDER BY i) AS nv FROM r) "
+SPREAD = f"WITH {FEATURES}, q AS (SELECT label, dim // 4 AS part, avg(value * value) AS v FROM f GROUP BY ALL), n AS (SELECT label, coalesce((v - min(v) OVER w) / nullif(max(v) OVER w - min(v) OVER w, 0), 0) AS v, count(*) OVER w AS n FROM q WINDOW w AS (PARTITION BY label)), r AS (SELECT label, n, v, row_number() OVER (PARTITION BY label ORDER BY v) - 1 AS i FROM n), l AS (SELECT *, lead(v) OVER (PARTITION BY label ORDER BY i) AS nv FROM r), s AS (SELECT label, coalesce(max(1 - (i + (0.5 - v) / (nv - v)) / (n - 1)) FILTER (v < 0.5 AND nv >= 0.5), 0) AS spread FROM l GROUP BY label) "
 
 
-@query(SPREAD + "SELECT label, round((15 - (i + (0.5 - v) / (nv - v))) / 15, 6) AS spread FROM l WHERE v < 0.5 AND nv >= 0.5")
-def tuning_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of the sorted, scaled partitions above half height, by linear interpolation between ranks."""
-    q = features(spark, sf_dir).groupBy("label", F.expr("dim div 4").alias("part")).agg(F.avg(F.col("value") * F.col("value")).alias("v"))
+def _tuning_spread(q: DataFrame) -> DataFrame:
+    """(label, part, v) to (label, spread): share of a label's sorted, scaled parts above half height, by linear interpolation between
+    ranks; 0 for a label whose parts are all the same."""
     w = Window.partitionBy("label")
     low, high = F.min("v").over(w), F.max("v").over(w)
-    n = q.withColumn("v", F.try_divide(F.col("v") - low, high - low))
+    n = q.withColumns({"v": F.coalesce(F.try_divide(F.col("v") - low, high - low), F.lit(0.0)), "n": F.count("*").over(w)})
     o = w.orderBy("v")
     n = n.withColumns({"i": F.row_number().over(o) - 1, "nv": F.lead("v").over(o)})
-    at = F.col("i") + (0.5 - F.col("v")) / (F.col("nv") - F.col("v"))
-    return r6(n.where("v < 0.5 AND nv >= 0.5").select("label", ((15 - at) / 15).alias("spread")))
+    at = F.when((F.col("v") < 0.5) & (F.col("nv") >= 0.5), 1 - (F.col("i") + (0.5 - F.col("v")) / (F.col("nv") - F.col("v"))) / (F.col("n") - 1))
+    return n.groupBy("label").agg(F.coalesce(F.max(at), F.lit(0.0)).alias("spread"))
+
+
+@query(SPREAD + "SELECT label, round(spread, 6) AS spread FROM s")
+def tuning_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = features(spark, sf_dir).groupBy("label", F.expr("dim div 4").alias("part")).agg(F.avg(F.col("value") * F.col("value")).alias("v"))
+    return r6(_tuning_spread(q))
 
 
-@query(SPREAD + f", s AS (SELECT label, (15 - (i + (0.5 - v) / (nv - v))) / 15 AS spread FROM l WHERE v < 0.5 AND nv >= 0.5) SELECT round(avg(spread), 6) AS mean, round(median(spread), 6) AS median, round(min(spread), 6) AS low, round(max(spread), 6) AS high FROM s")
+@query(SPREAD + "SELECT round(avg(spread), 6) AS mean, round(median(spread), 6) AS median, round(min(spread), 6) AS low, round(max(spread), 6) AS high FROM s")
 def tuning_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = tuning_spread(spark, sf_dir)
     return r6(s.agg(F.avg("spread").alias("mean"), F.median("spread").alias("median"), F.min("spread").alias("low"), F.max("spread").alias("high")))
@@ -345,20 +388,37 @@ def bootstrap_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
 HEAD = f"WITH {FEATURES}, l AS (SELECT stim, dim // 16 AS layer, (dim % 16) // 4 AS x, dim % 4 AS y, value FROM f), rf AS (SELECT layer, x, y, exp(s) / sum(exp(s)) OVER (PARTITION BY layer) AS w FROM (SELECT k // 16 AS layer, (k % 16) // 4 AS x, k % 4 AS y, sin(k::DOUBLE) AS s FROM (SELECT unnest(range(0, 64)) AS k))), p AS (SELECT stim, layer, sum(value * w) AS phi FROM l JOIN rf USING (layer, x, y) GROUP BY ALL) "
 
 
+def _head(spark: SparkSession, sf_dir: str, phi: list) -> DataFrame:
+    """Signed log of pooled features, then a linear read-out, inside each row."""
+    value = F.lit(0.25)
+    for layer, p in enumerate(phi):
+        value = value + (layer + 1) * C.signed_log(p)
+    return r6(vectors(spark, sf_dir).select("stim", value.alias("value")))
+
+
 @query(HEAD + "SELECT stim, round(0.25 + sum((layer + 1) * ln(1 + abs(phi)) * tanh(phi)), 6) AS value FROM p GROUP BY stim")
+def fwrf_head_layerwise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feature maps of four layers pooled through a softmax field of their own each."""
+    rf = [fields.softmax([math.sin(k) for k in range(16 * layer, 16 * layer + 16)]) for layer in range(4)]
+    return _head(spark, sf_dir, [C.dot(F.slice("x", 16 * layer + 1, 16), F.lit(w)) for layer, w in enumerate(rf)])
+
+
+SHARED = f"WITH {FEATURES}, rf AS (SELECT k // 4 AS x, k % 4 AS y, exp(sin(k::DOUBLE)) / sum(exp(sin(k::DOUBLE))) OVER () AS w FROM (SELECT unnest(range(0, 16)) AS k)), half AS (SELECT x // 2 AS x, y // 2 AS y, sum(w) AS w FROM rf GROUP BY ALL), p AS (SELECT stim, 0 AS layer, sum(value * w / 4) AS phi FROM f JOIN rf ON x = dim // 16 AND y = dim % 8 // 2 GROUP BY stim UNION ALL SELECT stim, 1, sum(value * w) FROM f JOIN rf ON x = dim // 4 AND y = dim % 4 WHERE dim < 16 GROUP BY stim UNION ALL SELECT stim, 2, sum(value * w) FROM f JOIN half ON x = (dim - 16) // 2 AND y = dim % 2 WHERE dim BETWEEN 16 AND 19 GROUP BY stim UNION ALL SELECT stim, 3, value FROM f WHERE dim = 20) "
+
+
+@query(SHARED + "SELECT stim, round(0.25 + sum((layer + 1) * ln(1 + abs(phi)) * tanh(phi)), 6) AS value FROM p GROUP BY stim")
 def fwrf_head_single_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feature maps of four layers pooled through a softmax field each, signed log, then a linear read-out."""
-    k = F.col("id")
-    cell = lambda c: {"layer": F.expr(f"{c} div 16"), "x": F.expr(f"({c} % 16) div 4"), "y": F.expr(f"{c} % 4")}
-    e = F.exp(F.sin(k.cast("double")))
-    rf = spark.range(64).withColumns({**cell("id"), "e": e}).withColumn("w", F.col("e") / F.sum("e").over(Window.partitionBy("layer"))).select("layer", "x", "y", "w")
-    phi = features(spark, sf_dir).withColumns(cell("dim")).join(rf, ["layer", "x", "y"]).groupBy("stim", "layer").agg(F.sum(F.col("value") * F.col("w")).alias("phi"))
-    return r6(phi.groupBy("stim").agg((0.25 + F.sum((F.col("layer") + 1) * C.signed_log(F.col("phi")))).alias("value")))
+    """One softmax field for maps of 8, 4, 2 and 1 pixels a side: finer maps are averaged to its grid, it is summed to coarser ones, and
+    a map of one pixel passes as it is."""
+    rf = fields.softmax([math.sin(k) for k in range(16)])
+    weights = [fields.shared_field(rf, 4, side) for side in (8, 4, 2, 1)]
+    starts = (0, 0, 16, 20)
+    return _head(spark, sf_dir, [C.dot(F.slice("x", at + 1, len(w)), F.lit(w)) for at, w in zip(starts, weights)])
 
 
 @query(f"WITH {MAPS}, d AS (SELECT stim, abs(value - lag(value) OVER (PARTITION BY stim, y ORDER BY x)) AS dx, abs(value - lag(value) OVER (PARTITION BY stim, x ORDER BY y)) AS dy FROM mp) SELECT stim, round(coalesce(sum(dx * dx), 0) + coalesce(sum(dy * dy), 0), 6) AS penalty FROM d GROUP BY stim")
 def rf_smoothness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    step = lambda along, keep: F.col("value") - F.lag("value").over(Window.partitionBy("stim", keep).orderBy(along))
-    d = maps(spark, sf_dir).withColumns({"dx": step("x", "y"), "dy": step("y", "x")})
-    square = lambda c: F.coalesce(F.sum(F.col(c) * F.col(c)), F.lit(0.0))
-    return r6(d.groupBy("stim").agg((square("dx") + square("dy")).alias("penalty")))
+    """Sum of squared steps along both axes of a map, inside each row."""
+    x = F.col("x")
+    squares = lambda far, keep: F.aggregate(F.zip_with(F.slice(x, far + 1, 64), F.slice(x, 1, 64 - far), lambda a, b: (a - b) * (a - b)), F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("i")), lambda s, v: F.struct((s["s"] + F.when(keep(s["i"]), v).otherwise(0.0)).alias("s"), (s["i"] + 1).alias("i")))["s"]
+    return r6(vectors(spark, sf_dir).select("stim", (squares(8, lambda i: F.lit(True)) + squares(1, lambda i: i % 8 != 7)).alias("penalty")))

@@ -52,12 +52,16 @@ def repeat_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH k AS (SELECT l_partkey AS stim, l_suppkey AS unit, count(*) FILTER (l_orderkey < 10000) AS seen FROM lineitem GROUP BY ALL)
-SELECT stim, unit, seen, CASE WHEN seen = 3 THEN 'test' WHEN seen IN (1, 2) THEN 'val' ELSE 'train' END AS split FROM k WHERE seen > 0""")
+WITH k AS (SELECT l_partkey AS stim, count(*) AS seen FROM lineitem WHERE l_orderkey < 10000 GROUP BY ALL)
+SELECT p_partkey AS stim, coalesce(seen, 0) AS seen, CASE WHEN p_size > 25 THEN 'train' WHEN seen = 3 THEN 'test' ELSE 'val' END AS split FROM part LEFT JOIN k ON p_partkey = stim""")
 def split_by_repeat_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exactly three repeats inside the prefix of trials go to test; fewer to validation; others train."""
-    k = table(spark, sf_dir, "lineitem").where("l_orderkey < 10000").groupBy(F.col("l_partkey").alias("stim"), F.col("l_suppkey").alias("unit")).agg(F.count("*").alias("seen"))
-    return k.withColumn("split", F.when(F.col("seen") == 3, "test").when(F.col("seen") < 3, "val").otherwise("train"))
+    """Of shared stimuli those with exactly three trials inside the sessions that all subjects have go to test, the rest to validation, unseen
+    ones too; stimuli of one subject only train."""
+    from ..operators.splits import repeat_split
+
+    stimuli = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("stim"), "p_size")
+    trials = table(spark, sf_dir, "lineitem").where("l_orderkey < 10000").select(F.col("l_partkey").alias("stim"))
+    return repeat_split(stimuli, trials, "stim", F.col("p_size") <= 25).select("stim", "seen", "split")
 
 
 Z_SQL = "SELECT session, unit, stim, measured, round(coalesce((measured - avg(measured) OVER w) / nullif(stddev_pop(measured) OVER w, 0), 0), 6) AS z FROM {0} WINDOW w AS (PARTITION BY session, unit)"
@@ -225,9 +229,9 @@ def label_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("label")).where(label_contains(F.col("label"), "OP"))
 
 
-@query(f"WITH {RECORDING} SELECT event_id, channel, code FROM e WHERE code <> 'error' AND channel < 100")
+@query(f"WITH {RECORDING} SELECT event_id, channel, code FROM e WHERE code <> 'error'")
 def sentinel_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recording(spark, sf_dir).where((F.col("code") != "error") & (F.col("channel") < 100)).select("event_id", "channel", "code")
+    return recording(spark, sf_dir).where(F.col("code") != "error").select("event_id", "channel", "code")
 
 
 @query(f"WITH {FEATURES} SELECT stim, dim, round(value, 6) AS value FROM f WHERE dim % 3 = 1")
@@ -265,11 +269,12 @@ def hash_shuffle_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_split(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id")).distinct(), "id", 0.25, 1)
 
 
-@query("WITH g AS (SELECT p, s FROM (SELECT p_partkey AS p FROM part WHERE p_partkey <= 50), (SELECT s_suppkey AS s FROM supplier)), v AS (SELECT l_partkey AS p, l_suppkey AS s, avg(l_quantity) AS value FROM lineitem GROUP BY ALL) SELECT p, s, round(coalesce(value, 0), 6) AS value FROM g LEFT JOIN v USING (p, s)")
+@query("WITH g AS (SELECT p, s FROM (SELECT p_partkey AS p FROM part), (SELECT s_suppkey AS s FROM supplier)), v AS (SELECT l_partkey AS p, l_suppkey AS s, avg(l_quantity) AS value FROM lineitem GROUP BY ALL) SELECT p, s, round(coalesce(value, 0), 6) AS value FROM g LEFT JOIN v USING (p, s)")
 def dense_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Values scattered into a dense grid; what has none is 0. The grid is the product of its two short axes."""
-    parts = table(spark, sf_dir, "part").where("p_partkey <= 50").select(F.col("p_partkey").alias("p"))
-    grid = parts.crossJoin(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("s")))
+    """Values scattered into a dense grid; what has none is 0. Each row is laid out along the dense axis, a range of numbers."""
+    low, high = table(spark, sf_dir, "supplier").agg(F.min("s_suppkey"), F.max("s_suppkey")).first()
+    axis = F.sequence(F.lit(low).cast("long"), F.lit(high).cast("long"))
+    grid = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("p"), F.explode(axis).alias("s"))
     values = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s")).agg(F.avg("l_quantity").alias("value"))
     return r6(grid.join(values, ["p", "s"], "left").withColumn("value", F.coalesce("value", F.lit(0.0))))
 
@@ -279,13 +284,13 @@ def mean_of_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(measurements(spark, sf_dir).groupBy("session", "unit").agg(F.avg("measured").alias("a")).groupBy("session").agg(F.avg("a").alias("value")))
 
 
-@query(f"WITH {MEASUREMENTS}, v AS (SELECT unit, sum((measured / 1000 - predicted) * (measured / 1000 - predicted)) AS err, greatest({R_SQL.format('measured', 'predicted')}, 0) AS r FROM m GROUP BY unit), w AS (SELECT err, least(greatest(coalesce(r * r, 0.1), 0.1), 1) AS w FROM v) SELECT round(sum(w * err) / avg(w), 3) AS loss, count(*) AS units FROM w")
+@query(f"WITH {MEASUREMENTS}, v AS (SELECT unit, sum(power(predicted - measured / 1000, 2)) AS err, covar_pop(measured / 1000, predicted) AS c, var_pop(measured / 1000) * var_pop(predicted) AS v FROM m GROUP BY unit), w AS (SELECT err, greatest(least(c * c / (v + 1e-6), 1), 0.1) AS w FROM v) SELECT round(sum(w * err) / avg(w) + 0.1 * (SELECT sum(abs(s_acctbal / 1000)) FROM supplier), 3) AS loss, count(*) AS units FROM w")
 def weighted_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Squared errors weighted by the unit's r squared, between 0.1 and 1."""
-    d = F.col("measured") / 1000 - F.col("predicted")
-    v = measurements(spark, sf_dir).groupBy("unit").agg(F.sum(d * d).alias("err"), clip(stats.correlation(F.col("measured"), F.col("predicted")), low=0.0).alias("r"))
-    w = v.withColumn("w", F.least(F.greatest(F.coalesce(F.col("r") * F.col("r"), F.lit(0.1)), F.lit(0.1)), F.lit(1.0)))
-    return w.agg(F.round(F.sum(F.col("w") * F.col("err")) / F.avg("w"), 3).alias("loss"), F.count("*").alias("units"))
+    """Squared errors weighted by the unit's squared correlation, plus a tenth of the absolute sum of the read-out's weights."""
+    w = stats.weighted_error(measurements(spark, sf_dir).withColumn("measured", F.col("measured") / 1000), ["unit"], "measured", "predicted")
+    size = table(spark, sf_dir, "supplier").agg(F.sum(F.abs(F.col("s_acctbal") / 1000)).alias("l1"))  # one row
+    loss = w.agg((F.sum(F.col("weight") * F.col("error")) / F.avg("weight")).alias("loss"), F.count("*").alias("units")).join(size, F.lit(True))
+    return loss.select(F.round(F.col("loss") + 0.1 * F.col("l1"), 3).alias("loss"), "units")
 
 
 @query(f"WITH {MEASUREMENTS}, b AS (SELECT session, stim % 5 AS batch, avg(measured) AS mean, count(*) AS n FROM m GROUP BY ALL) SELECT session, round((sum(mean) / sum(n))::DOUBLE, 6) AS loss FROM b GROUP BY session")
@@ -342,9 +347,7 @@ def roi_overrides_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 def masked_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.select import select_units
 
-    units = unit_regions(spark, sf_dir)
-    top = units.agg(F.max("unit")).first()[0]
-    return select_units(units, mask=[int(i % 2 == 0) for i in range(top + 1)]).select("unit")
+    return select_units(unit_regions(spark, sf_dir), mask=F.col("unit") % 2 == 0).select("unit")
 
 
 @query("SELECT n_name AS name, n_regionkey::BIGINT AS roi_id, r_name AS roi FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey <> 0")
@@ -399,9 +402,9 @@ def block_assignment_overlapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full_blocks(spark, table(spark, sf_dir, "supplier").count(), 30, "overlap")
 
 
-@query(f"WITH {RECORDING} SELECT channel, round(avg(value), 6) AS mean, round(min(value), 6) AS low, round(max(value), 6) AS high, round(max(value) - min(value), 6) AS spread FROM e WHERE channel < 20 GROUP BY channel")
+@query(f"WITH {RECORDING} SELECT channel, round(avg(value), 6) AS mean, round(min(value), 6) AS low, round(max(value), 6) AS high, round(max(value) - min(value), 6) AS spread FROM e GROUP BY channel")
 def value_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r6(recording(spark, sf_dir).where("channel < 20").groupBy("channel").agg(F.avg("value").alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"), (F.max("value") - F.min("value")).alias("spread")))
+    return r6(recording(spark, sf_dir).groupBy("channel").agg(F.avg("value").alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"), (F.max("value") - F.min("value")).alias("spread")))
 
 
 @query(f"WITH {RECORDING} SELECT second // 86400 AS day, round(avg(value), 6) AS mean FROM e WHERE channel IN (1, 2, 3, 5, 8) GROUP BY 1")

@@ -37,6 +37,11 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("stim"), F.col("label").cast("long").alias("label"), F.posexplode("embedding").alias("dim", "value")).withColumns({"dim": F.col("dim").cast("long"), "value": F.col("value").cast("double")})
 
 
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """embeddings as they are: stim, label, x (array of 64 doubles), for work inside a row."""
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("stim"), F.col("label").cast("long").alias("label"), F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+
+
 def recording(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as a recording: event_id, channel, code, second (since 2024), value."""
     return table(spark, sf_dir, "events").select(

@@ -5,7 +5,8 @@ the predicted family one-against-one machines separate its languages. A machine'
 n-grams, so whole texts are scored with table look-ups and sums, a block at a time.
 
 The machines are fitted on at most ``max_labelled`` documents per language (those of the smallest id hashes), whose features are
-made on the executors: what reaches the driver is bounded by that and by the number of hash bins. Prediction shuffles nothing.
+made on the executors and kept sparse: what reaches the driver is bounded by that and by the number of hash bins. Prediction shuffles
+nothing.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ BLOCK = 1 << 17
 MAX_LABELLED = 400
 UNKNOWN = "und"
 
-#: Families of languages by code; a language that isn't listed is a family of its own.
+#: Families of languages by code; languages that aren't listed are grouped by their n-grams.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "is"),
     "romance": ("fr", "es", "it", "pt", "ro", "ca"),
@@ -41,14 +42,14 @@ def _is_letter(codes: np.ndarray) -> np.ndarray:
     return _letters[codes]
 
 
-def gram_bins(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash bins of the n-grams at each place of the texts, one row per order (0: no n-gram there), and where each text begins.
+def gram_bins(pieces: list[tuple[str, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash bins of the n-grams at each place of the pieces, one row per order (0: no n-gram there), and where each piece begins.
 
-    Letters are lower-cased and all else counts as a space; a text has a space before and after it.
+    Letters count, all else is a space. A piece is lower-cased text with the number of places in it at which n-grams begin; two more
+    characters follow those.
     """
-    low = [f" {t.lower()} " for t in texts]
-    starts = np.cumsum([0] + [len(t) for t in low[:-1]])
-    c = np.frombuffer(("".join(low) + "  ").encode("utf-32-le"), np.uint32)
+    starts = np.cumsum([0] + [len(t) for t, _ in pieces[:-1]])
+    c = np.frombuffer("".join([*(t for t, _ in pieces), "  "]).encode("utf-32-le"), np.uint32)
     letter = _is_letter(c)
     c = np.where(letter, c, 32).astype(np.uint64)
     a, b, d = c[:-2], c[1:-1], c[2:]
@@ -57,25 +58,31 @@ def gram_bins(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     for k, (key, there) in enumerate(((a, letter[:-2]), (a << np.uint64(21) | b, two), (a << np.uint64(42) | b << np.uint64(21) | d, two))):
         h = (key + np.uint64(k + 1)) * np.uint64(0x9E3779B97F4A7C15)
         bins[k] = np.where(there, (h >> np.uint64(33)) % np.uint64(BINS - 1) + np.uint64(1), 0)
-    # What begins at a text's last space would reach into the next text.
-    bins[:, np.concatenate((starts[1:], [n])) - 1] = 0
+    for at, (_, own) in zip(starts.tolist(), pieces):
+        bins[:, at + own : at + own + 2] = 0  # those begin in the next piece or beyond the text
     return bins, starts
 
 
-def blocks(texts: list[str]) -> Iterator[tuple[np.ndarray, list[str]]]:
-    """Texts in blocks of bounded size: indices and pieces; a long text is cut into several pieces."""
+def blocks(texts: list[str]) -> Iterator[tuple[np.ndarray, list[tuple[str, int]]]]:
+    """Texts, with a space before and after, in blocks of bounded size: indices and pieces; a long text is cut into several pieces that
+    overlap by two characters, so that each of its n-grams begins in exactly one."""
     at: list[int] = []
-    pieces: list[str] = []
+    pieces: list[tuple[str, int]] = []
     size = 0
     for i, t in enumerate(texts):
-        for k in range(0, len(t), BLOCK):
-            piece = t[k : k + BLOCK]
-            if size + len(piece) > BLOCK and pieces:
+        if not t:
+            continue
+        t = f" {t.lower()} "
+        own = len(t) - 1  # nothing begins at the last space
+        t += " "
+        for k in range(0, own, BLOCK):
+            n = min(BLOCK, own - k)
+            if size + n > BLOCK and pieces:
                 yield np.array(at), pieces
                 at, pieces, size = [], [], 0
             at.append(i)
-            pieces.append(piece)
-            size += len(piece)
+            pieces.append((t[k : k + n + 2], n))
+            size += n
     if pieces:
         yield np.array(at), pieces
 
@@ -101,31 +108,78 @@ class Machines:
         return won / (len(self.classes) - 1)
 
 
-def fit_machines(x: np.ndarray, labels: np.ndarray, classes: list[str], steps: int = 150, penalty: float = 1e-3) -> Machines:
-    """Squared-hinge machines by accelerated gradient steps, both classes of a pair with the same weight."""
-    pairs = list(combinations(range(len(classes)), 2))
-    weights, bias = np.zeros((BINS, len(pairs)), np.float32), np.zeros(len(pairs))
-    for k, (i, j) in enumerate(pairs):
-        rows = np.flatnonzero((labels == classes[i]) | (labels == classes[j]))
-        y = np.where(labels[rows] == classes[i], 1, -1).astype(np.float32)
-        used = np.flatnonzero(x[rows].any(axis=0))
-        z = x[np.ix_(rows, used)]
-        scale = 1 / np.sqrt(z.mean(axis=0) + np.float32(1e-6))
-        z = np.concatenate((z * scale, np.ones((len(rows), 1), np.float32)), axis=1)
-        share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
-        v = np.full(z.shape[1], z.shape[1] ** -0.5, np.float32)
-        for _ in range(20):  # largest curvature
-            v = z.T @ (share * (z @ v))
-            top = np.linalg.norm(v)
-            v /= top
-        w = u = np.zeros(z.shape[1], np.float32)
-        rate = np.float32(1 / (2.2 * top + penalty))
-        for step in range(steps):
-            gap = np.maximum(0, 1 - y * (z @ u))
-            new = u - rate * (-2 * z.T @ (share * y * gap) + np.float32(penalty) * u)
-            u, w = new + np.float32(step / (step + 3)) * (new - w), new
-        weights[used, k], bias[k] = w[:-1] * scale, w[-1]
-    return Machines(classes, pairs, weights, bias)
+#: Features of rows: bins and shares end to end, and where each row begins.
+Sparse = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def fit_pair(x: Sparse, rows: np.ndarray, y: np.ndarray, steps: int = 150, penalty: float = 1e-3) -> tuple[np.ndarray, np.ndarray, float]:
+    """Bins, their weights and the bias of a squared-hinge machine, by accelerated gradient steps, both sides with the same weight.
+
+    Only these rows, over the bins they use, are laid out in full.
+    """
+    bins, shares, begins = x
+    y = y.astype(np.float32)
+    at = [slice(begins[r], begins[r + 1]) for r in rows]
+    used, where = np.unique(np.concatenate([bins[a] for a in at]), return_inverse=True)
+    z = np.zeros((len(rows), len(used)), np.float32)
+    z[np.repeat(np.arange(len(rows)), [a.stop - a.start for a in at]), where] = np.concatenate([shares[a] for a in at])
+    scale = 1 / np.sqrt(z.mean(axis=0) + np.float32(1e-6))
+    z = np.concatenate((z * scale, np.ones((len(rows), 1), np.float32)), axis=1)
+    share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
+    v = np.full(z.shape[1], z.shape[1] ** -0.5, np.float32)
+    for _ in range(20):  # largest curvature
+        v = z.T @ (share * (z @ v))
+        top = np.linalg.norm(v)
+        v /= top
+    w = u = np.zeros(z.shape[1], np.float32)
+    rate = np.float32(1 / (2.2 * top + penalty))
+    for step in range(steps):
+        gap = np.maximum(0, 1 - y * (z @ u))
+        new = u - rate * (-2 * z.T @ (share * y * gap) + np.float32(penalty) * u)
+        u, w = new + np.float32(step / (step + 3)) * (new - w), new
+    return used, w[:-1] * scale, float(w[-1])
+
+
+def contests(labels: np.ndarray, family_of: dict[str, str], per_class: int) -> list[tuple[str, str, str, np.ndarray, np.ndarray]]:
+    """(family or '' for those among families, class, class, rows, sides) of all machines: per_class rows a class at most, in order, dealt
+    out evenly over a family's languages."""
+    found = []
+    by_lang = {lang: np.flatnonzero(labels == lang) for lang in family_of}
+    members: dict[str, list[str]] = {}
+    for lang, family in sorted(family_of.items()):
+        members.setdefault(family, []).append(lang)
+    rows_of = {f: np.concatenate([by_lang[lang][: max(1, per_class // len(langs))] for lang in langs]) for f, langs in members.items()}
+    groups = [("", sorted(members), rows_of)] + [(f, langs, {lang: by_lang[lang][:per_class] for lang in langs}) for f, langs in sorted(members.items())]
+    for name, classes, rows in groups:
+        for a, b in combinations(classes, 2):
+            found.append((name, a, b, np.concatenate((rows[a], rows[b])), np.repeat((1, -1), (len(rows[a]), len(rows[b])))))
+    return found
+
+
+def grouped(labels: np.ndarray, x: Sparse, families: dict[str, tuple[str, ...]], largest: int = 8) -> dict[str, str]:
+    """The family of each language: that of the list, or, for languages that aren't listed, groups of up to ``largest`` with alike n-grams.
+
+    So the number of machines stays far below one for each two of all languages.
+    """
+    bins, shares, begins = x
+    family_of, made = {}, []
+    for lang in sorted(set(labels.tolist())):
+        listed = next((f for f, langs in families.items() if lang in langs), None)
+        if listed is None:
+            mean = np.zeros(BINS)
+            for r in np.flatnonzero(labels == lang):
+                mean[bins[begins[r] : begins[r + 1]]] += shares[begins[r] : begins[r + 1]]
+            mean /= np.linalg.norm(mean)
+            near = [(float(mean @ m), k) for k, (_, m, n) in enumerate(made) if n < largest]
+            if near and max(near)[0] > 0.5:
+                k = max(near)[1]
+                made[k][2] += 1
+            else:
+                k = len(made)
+                made.append([lang, mean, 1])
+            listed = made[k][0]
+        family_of[lang] = listed
+    return family_of
 
 
 @dataclass
@@ -167,7 +221,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang", max_labelled: int = MAX_LABELLED, families: dict[str, tuple[str, ...]] = FAMILIES) -> LanguageModel | None:
-    """Fits on labelled rows (non-null language, a letter in the text) that aren't held out; None if there are none."""
+    """Fits on labelled rows (non-null language, a letter in the text) that aren't held out; None if there are none.
+
+    Machines are fitted side by side on the executors, each on at most max_labelled rows of either class.
+    """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -196,14 +253,33 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_co
     sample = d.where(taken).withColumn("n", F.row_number().over(per_lang)).where(F.col("n") <= max_labelled)
     got = sample.select("lang", "h", "text").mapInPandas(rows, "lang string, h long, bins array<int>, shares array<float>").toPandas()
     got = got.sort_values("h", kind="stable").reset_index(drop=True)
-    x = np.zeros((len(got), BINS), np.float32)
-    for i, (bins, shares) in enumerate(zip(got["bins"], got["shares"])):
-        x[i, bins] = shares
+    if not len(got):
+        return None
     labels = got["lang"].to_numpy(str)
-    family_of = {lang: next((f for f, members in families.items() if lang in members), lang) for lang in set(labels)}
-    by_family = np.array([family_of[lang] for lang in labels])
-    names = sorted(set(by_family))
-    return LanguageModel(fit_machines(x, by_family, names), {f: fit_machines(x, labels, sorted(k for k, v in family_of.items() if v == f)) for f in names})
+    x = (np.concatenate(got["bins"]), np.concatenate(got["shares"]), np.concatenate(([0], np.cumsum([len(b) for b in got["bins"]]))))
+    family_of = grouped(labels, x, families)
+    pairs = contests(labels, family_of, max_labelled)
+    shipped = docs.sparkSession.sparkContext.broadcast((x, [p[3:] for p in pairs]))  # max_labelled rows a language
+
+    def machines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sparse, sides = shipped.value
+            for k in b["id"]:
+                used, w, bias = fit_pair(sparse, *sides[k])
+                yield pd.DataFrame({"k": [k], "bins": [used], "weights": [w], "bias": [bias]})
+
+    fitted = {r["k"]: r for r in docs.sparkSession.range(0, len(pairs), 1, min(max(1, len(pairs)), 512)).mapInPandas(machines, "k long, bins array<int>, weights array<float>, bias double").collect()}
+
+    def put(name: str, classes: list[str]) -> Machines:
+        own = [k for k, p in enumerate(pairs) if p[0] == name]
+        weights = np.zeros((BINS, len(own)), np.float32)
+        for c, k in enumerate(own):
+            weights[fitted[k]["bins"], c] = fitted[k]["weights"]
+        at = {c: i for i, c in enumerate(classes)}
+        return Machines(classes, [(at[pairs[k][1]], at[pairs[k][2]]) for k in own], weights, np.array([fitted[k]["bias"] for k in own]))
+
+    names = sorted(set(family_of.values()))
+    return LanguageModel(put("", names), {f: put(f, sorted(k for k, v in family_of.items() if v == f)) for f in names})
 
 
 def identify(docs: DataFrame, model: LanguageModel | None = None, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang") -> DataFrame:

@@ -50,10 +50,45 @@ def test_language_id_held_out_accuracy(spark):
 def test_language_id_is_the_same_in_pieces(monkeypatch):
     texts = [LONG, "Der Hund", ""]
     whole = language_id.LanguageModel(language_id.Machines(["a", "b"], [(0, 1)], np.random.default_rng(1).normal(size=(language_id.BINS, 1)).astype(np.float32), np.zeros(1)), {"a": language_id.Machines(["en"], [], np.zeros((language_id.BINS, 0)), np.zeros(0)), "b": language_id.Machines(["de"], [], np.zeros((language_id.BINS, 0)), np.zeros(0))})
+    whole.families.weights[0] = 0  # no n-gram
     first = whole.predict(texts)
     monkeypatch.setattr(language_id, "BLOCK", 5_000)
     second = whole.predict(texts)
-    assert first[0] == second[0] and np.allclose(first[1], second[1], atol=1e-3)
+    assert first[0] == second[0] and np.allclose(first[1], second[1], rtol=1e-9)
+
+
+def test_language_id_margins_against_plain_ngrams(monkeypatch):
+    """Margins are means of weights over a text's 1- to 3-grams, counted one by one; pieces of any size give the same."""
+    rng = np.random.default_rng(2)
+    machines = language_id.Machines(["a", "b"], [(0, 1)], rng.normal(size=(language_id.BINS, 1)).astype(np.float32), np.array([0.25]))
+    machines.weights[0] = 0  # no n-gram
+    model = language_id.LanguageModel(machines, {})
+    texts = ["Der Hund, 12 Katzen!", "x", "été à la mer " * 9, "ΣΑΣ İx 你好"]
+    expect = []
+    for t in texts:
+        low = [c if c.isalpha() else " " for c in f" {t.lower()} "]
+        weights = []
+        for i in range(len(low) - 1):
+            for n in (1, 2, 3):
+                gram = (low[i:] + [" "])[:n]
+                if any(c != " " for c in gram[:2]):
+                    key = functools.reduce(lambda k, c: (k << 21 | ord(c)) & (2**64 - 1), gram, 0)
+                    h = (key + n) * 0x9E3779B97F4A7C15 & (2**64 - 1)
+                    weights.append(float(machines.weights[(h >> 33) % (language_id.BINS - 1) + 1, 0]))
+        expect.append(sum(weights) / len(weights) + 0.25)
+    for block in (1 << 17, 7):
+        monkeypatch.setattr(language_id, "BLOCK", block)
+        assert np.allclose(model._margins(machines, texts)[0][:, 0], expect, rtol=1e-4, atol=1e-5)
+
+
+def test_language_id_of_forty_languages(spark):
+    rnd = random.Random(11)
+    alphabets = {f"l{k:02d}": "".join(rnd.sample("abcdefghijklmnopqrstuvwxyzäöüéàèçñøåßæœłšžčďťňřůýáíóú", 14)) for k in range(40)}
+    text = lambda a: " ".join("".join(rnd.choice(a) for _ in range(rnd.randrange(2, 8))) for _ in range(40))
+    rows = [(k, text(a), lang) for k, (lang, a) in enumerate([x for x in alphabets.items() for _ in range(12)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    found = language_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in found) / len(found) > 0.9
 
 
 # ---- 2 fingerprints ----

@@ -1,8 +1,8 @@
 """SimHash near-duplicates through vantage-point trees.
 
 Texts become 64-bit fingerprints; equal ones collapse before anything is compared. The distinct fingerprints are partitioned by
-Hamming distance to vantage points: a small tree, fitted on a bounded sample, cuts them into shards, and a fingerprint within
-the link radius of a cut also goes to the shard beyond it, so every pair within the radius meets in a shard. There a local
+Hamming distance to vantage points: small trees, fitted on bounded samples, cut them into shards of bounded size, level after
+level, and a fingerprint within the link radius of a cut also goes to the shard beyond it, so every pair within the radius meets in a shard. There a local
 tree is walked with whole blocks of queries, branches that the triangle inequality excludes are skipped, and leaves compare
 exactly. A shard's queries are its own fingerprints only; those from beyond its cuts are there to be found. A shard returns a
 spanning forest of its links rather than all pairs; forests joined over all shards connect exactly what the links connect.
@@ -10,6 +10,7 @@ spanning forest of its links rather than all pairs; forests joined over all shar
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +25,10 @@ from .components import components
 SHINGLE = 3
 SEED = 42
 RADIUS = 2
-#: Fingerprints that the tree of shards is fitted on, and that a shard holds, about.
+#: Fingerprints that a tree of shards is fitted on, about, and that a task takes as queries at most; levels of such a tree, and how often
+#: shards are cut further. A shard is some megabytes, so that a task has enough to do and few fingerprints lie on both sides of a cut.
 SAMPLE, SHARD = 20_000, 1 << 16
+DEPTH, ROUNDS = 6, 6
 LEAF = 64
 
 
@@ -156,24 +159,52 @@ def link_all(points: np.ndarray, radius: int = RADIUS, own: np.ndarray | None =
     return forest
 
 
+def shards(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Distinct fingerprints (fp) to (shard, fp, own, n): every two within the radius meet in a shard that owns one of them; n is its size.
+
+    Shards of more than SHARD are cut further, each by a tree of its own, fitted on about SAMPLE of its fingerprints in one task. What
+    no tree can cut any more, or is still larger after ROUNDS, stays as it is.
+    """
+    rows = materialize(fps.select(F.lit(0).cast("long").alias("shard"), "fp", F.lit(True).alias("own")), "simhash-shards")
+    done = None
+    for level in range(ROUNDS + 1):
+        sizes = materialize(rows.groupBy("shard").agg(F.count("*").alias("n")), "simhash-sizes")
+        large = F.col("n") > SHARD
+        counted = rows.join(sizes, "shard")
+        if level == ROUNDS or sizes.where(large).isEmpty():
+            return counted if done is None else done.unionByName(counted)
+        left = counted.where(large)
+        taken = F.pmod(F.xxhash64("fp", F.lit(level)), F.lit(1 << 40)) < F.lit(float(SAMPLE << 40)) / F.col("n")
+
+        def fit(sample: pd.DataFrame) -> pd.DataFrame:
+            depth = min(DEPTH, int(np.ceil(np.log2(sample["n"].iloc[0] / SHARD))))
+            tree = grow(np.sort(sample["fp"].to_numpy(np.int64).view(np.uint64)), depth, radius)
+            return pd.DataFrame({"shard": sample["shard"].iloc[:1], "tree": json.dumps(tree)})
+
+        trees = materialize(left.where(taken).select("shard", "fp", "n").groupBy("shard").applyInPandas(fit, "shard long, tree string"), "simhash-trees")
+        cut = trees.where("tree <> '[]'")
+
+        def routed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for (shard, tree), g in b.groupby(["shard", "tree"], sort=False):
+                    fp = g["fp"].to_numpy(np.int64)
+                    at, leaf, own = route(json.loads(tree), fp.view(np.uint64), radius)
+                    yield pd.DataFrame({"shard": (shard << DEPTH) + leaf + 1, "fp": fp[at], "own": own & g["own"].to_numpy(bool)[at]})
+
+        rest = counted.join(cut, "shard", "left_anti")  # small ones, and those without a tree
+        done = rest if done is None else done.unionByName(rest)
+        rows = materialize(left.join(cut, "shard").select("shard", "fp", "own", "tree").mapInPandas(routed, "shard long, fp long, own boolean"), "simhash-shards")
+    return done
+
+
 def link_forest(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Distinct fingerprints (fp) to links (a, b) that connect exactly those within the radius, directly or through others."""
-    n = fps.count()
-    depth = max(0, int(np.ceil(np.log2(max(1, n) / SHARD))))
-    tree: list = []
-    if depth:
-        # By hash, so that the driver gets about SAMPLE rows however many tasks there are.
-        taken = F.pmod(F.xxhash64("fp"), F.lit(1 << 40)) < int((1 << 40) * min(1.0, SAMPLE / n))
-        sample = fps.where(taken).limit(2 * SAMPLE).toPandas()["fp"].to_numpy(np.int64)
-        tree = grow(np.sort(sample.view(np.uint64)), depth, radius)
-
-    def routed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            fp = b["fp"].to_numpy(np.int64)
-            at, shard, own = route(tree, fp.view(np.uint64), radius)
-            yield pd.DataFrame({"shard": shard, "fp": fp[at], "own": own})
+    """Distinct fingerprints (fp) to links (a, b) that connect exactly those within the radius, directly or through others.
+
+    A task sees SHARD queries and SHARD others at most: a shard that is larger still is worked off in pairs of blocks.
+    """
 
     def linked(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.groupby("fp", as_index=False)["own"].max()  # sorted as signed, each fingerprint once
         fp = group["fp"].to_numpy(np.int64).view(np.uint64)
         order = np.argsort(fp)
         fp = fp[order]
@@ -182,7 +213,14 @@ def link_forest(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
         child = np.arange(len(fp)) != root
         return pd.DataFrame({"a": fp[child].view(np.int64), "b": fp[root[child]].view(np.int64)})
 
-    return fps.mapInPandas(routed, "shard int, fp long, own boolean").groupBy("shard").applyInPandas(linked, "a long, b long")
+    blocks = F.ceil(F.col("n") / SHARD)
+    block = F.pmod(F.xxhash64("fp"), blocks)
+    every = F.sequence(F.lit(0).cast("long"), blocks - 1)
+    as_query = F.transform(every, lambda m: F.struct(block.alias("q"), m.alias("m"), F.col("own").alias("own")))
+    as_other = F.transform(every, lambda q: F.struct(q.alias("q"), block.alias("m"), F.lit(False).alias("own")))
+    roles = F.when(blocks <= 1, F.array(F.struct(block.alias("q"), block.alias("m"), F.col("own").alias("own")))).otherwise(F.concat(F.when(F.col("own"), as_query).otherwise(F.array().cast("array<struct<q:bigint,m:bigint,own:boolean>>")), as_other))
+    dealt = shards(fps, radius).select("shard", "fp", F.explode(roles).alias("r")).select("shard", "r.q", "r.m", "fp", "r.own")
+    return dealt.groupBy("shard", "q", "m").applyInPandas(linked, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", radius: int = RADIUS) -> DataFrame:

@@ -3,9 +3,9 @@
 Lines are normalised and hashed together with their host; a line that stands in too many distinct documents of one host
 is boilerplate, and a document of which little is left without such lines is rejected. Plain per-document rules come first.
 
-Everything is a DataFrame expression. A document's rules and lines are made in one scan; what is shuffled is one narrow row
-(key, document, words) a line and one row a document, never a text. The line keys are summed map-side, so a line that a third
-of all documents share is one row a task; the join that brings the frequent keys back can be split by AQE at such a key.
+Everything is a DataFrame expression. A document's rules and lines are made in one scan and written: one narrow row (key, document,
+words) a line and one row a document, never a text. The line keys are summed map-side, so a line that a third of all documents
+share is one row a task; the join that brings the frequent keys back can be split by AQE at such a key.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WS, word_array
+from ._common import WS, materialize, word_array
 
 WINDOW = 8
 
@@ -109,25 +109,18 @@ def quality_rules(
     A line is removed when more than ``max(min_docs, max_share * documents of the host)`` documents of its host hold it.
     A document is depleted when over ``max_removed`` of its words, or all but ``min_left``, go. ``kept`` is false for those and
     for base_failed ones. Null hosts are one host of their own; null texts count as empty; null ids stay null.
-    Rows that agree in id, text and host are counted as that many documents and returned that many times. Only the three
+    Rows that agree in id and text count as one document of a host and are returned as often as they come. Only the three
     named columns are read, so extra columns don't clash. An empty table gives an empty result.
     """
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.concat(F.lit("h:"), F.col(host_col).cast("string")), F.lit("n")).alias("host"))
-    frequent = (
-        docs.select("host", F.explode(F.array_distinct(F.transform(line_keys(lines(F.col("text")), F.col("host")), lambda x: x["key"]))).alias("key"))
-        .groupBy("key")
-        .agg(F.count("*").alias("n_docs"), F.min("host").alias("host"))
-        .where(F.col("n_docs") > min_docs)
-    )
-    hosts = docs.groupBy("host").agg(F.count("*").alias("host_docs"))
-    frequent = frequent.join(hosts, "host").where(F.col("n_docs") > max_share * F.col("host_docs")).select(F.col("key").alias("f_key"))
-
+    docs = _hosted(docs, text_col, id_col, host_col)
     stats = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     based = base_rules(docs).withColumn("t_hash", F.xxhash64("text"))
     # One scan gives both the lines and, under a key of its own, the document's row.
     own = F.array(F.struct(F.xxhash64("t_hash", "doc_id").alias("key"), F.lit(None).cast("int").alias("words")))
     rows = based.select("doc_id", "t_hash", "host", F.struct(*stats).alias("s"), F.explode(F.concat(line_keys(F.col("__lines"), F.col("host")), own)).alias("l"))
     rows = rows.select("doc_id", "t_hash", "host", F.col("l.key").alias("key"), F.col("l.words").alias("words"), F.when(F.col("l.words").isNull(), F.col("s")).alias("s"))
+    rows = materialize(rows, "quality-lines")
+    frequent = _frequent(rows.where("s IS NULL"), rows.where("s IS NOT NULL"), min_docs, max_share)
     met = rows.join(frequent, rows["key"] == frequent["f_key"], "left").where(F.col("f_key").isNotNull() | F.col("s").isNotNull())
     per_doc = met.groupBy("doc_id", "t_hash", "host").agg(
         F.max("s").alias("s"),
@@ -140,16 +133,50 @@ def quality_rules(
     return out.select("doc_id", *stats, "removed_words", (~F.col("base_failed") & ~depleted).alias("kept"))
 
 
+def _hosted(docs: DataFrame, text_col: str, id_col: str, host_col: str) -> DataFrame:
+    host = F.coalesce(F.concat(F.lit("h:"), F.col(host_col).cast("string")), F.lit("n"))
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), host.alias("host"))
+
+
+def _frequent(line_rows: DataFrame, doc_rows: DataFrame, min_docs: int, max_share: float) -> DataFrame:
+    """(f_key): the line keys that too many documents hold, from (doc_id, t_hash, host, key) a line and (doc_id, t_hash, host) a document.
+
+    Rows are counted first, which is summed map-side; distinct documents are then counted of the few keys that have enough rows.
+    """
+    often = line_rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > min_docs).select("key")
+    held = line_rows.join(often, "key", "left_semi").select("key", "host", "doc_id", "t_hash").distinct()
+    held = held.groupBy("key", "host").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > min_docs)
+    hosts = doc_rows.select("host", "doc_id", "t_hash").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
+    return held.join(hosts, "host").where(F.col("n_docs") > max_share * F.col("host_docs")).select(F.col("key").alias("f_key"))
+
+
+def remove_frequent_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", host_col: str = "source", min_docs: int = 10, max_share: float = 0.01) -> DataFrame:
+    """The removal itself: one row per document with doc_id, text (null for null) without the lines that ``quality_rules`` counts as
+    removed, and removed_lines, their numbers from 0 in the original text. Rows that agree in id, text and host come back once."""
+    d = _hosted(docs, text_col, id_col, host_col).withColumn("t_hash", F.xxhash64("text"))
+    at = F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n"))
+    lines_ = d.select("doc_id", "t_hash", "host", at.alias("nth", "line"))
+    keyed = lines_.select("doc_id", "t_hash", "host", "nth", F.when(F.btrim("line", F.lit(WS)) != "", line_keys(F.array("line"), F.col("host"))[0]["key"]).alias("key"))
+    keyed = materialize(keyed.where("key IS NOT NULL"), "quality-lines")
+    frequent = _frequent(keyed, d, min_docs, max_share)
+    gone = keyed.join(frequent, keyed["key"] == frequent["f_key"], "left_semi").groupBy("doc_id", "t_hash", "host").agg(F.array_sort(F.collect_set("nth")).alias("gone"))
+    same = d["doc_id"].eqNullSafe(gone["doc_id"]) & (d["t_hash"] == gone["t_hash"]) & (d["host"] == gone["host"])
+    none = F.array().cast("array<int>")
+    met = d.join(gone, same, "left").select(d["doc_id"], d["t_hash"], d["host"], d["text"], F.coalesce("gone", none).alias("removed_lines"))
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("removed_lines", i)), "\n")
+    return met.groupBy("doc_id", "t_hash", "host").agg(F.first("text").alias("text"), F.first("removed_lines").alias("removed_lines")).select("doc_id", F.when(F.size("removed_lines") > 0, kept).otherwise(F.col("text")).alias("text"), "removed_lines")
+
+
 ORACLE = r"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, coalesce('h:' || source, 'n') AS host FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, coalesce('h:' || source, 'n') AS host, coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, '')) AS dd FROM documents),
 w AS (SELECT *, list_filter(regexp_split_to_array(text, '[ \t\n\v\f\r]+'), lambda x: x <> '') AS words FROM d),
 win AS (SELECT r, i, array_to_string(words[i:i + 7], ' ') AS g FROM (SELECT r, words, unnest(range(1, len(words) - 6)) AS i FROM w WHERE len(words) >= 8)),
 rep AS (SELECT r, i FROM win QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
 cov AS (SELECT r, sum(least(8, coalesce(nxt - i, 8)))::BIGINT AS n FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS nxt FROM rep) GROUP BY r),
 ls AS (SELECT r, l FROM (SELECT r, unnest(string_split(text, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^ \t\n\v\f\r]')),
 dup AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM ls GROUP BY r),
-nl AS (SELECT r, host, trim(regexp_replace(lower(l), '[ \t\v\f\r]+', ' ', 'g')) AS l FROM ls JOIN d USING (r)),
-freq AS (SELECT host, l FROM (SELECT host, l, count(DISTINCT r) AS n FROM nl GROUP BY host, l) JOIN (SELECT host, count(*) AS hn FROM d GROUP BY host) USING (host) WHERE n > 10 AND n > 0.01 * hn),
+nl AS (SELECT r, dd, host, trim(regexp_replace(lower(l), '[ \t\v\f\r]+', ' ', 'g')) AS l FROM ls JOIN d USING (r)),
+freq AS (SELECT host, l FROM (SELECT host, l, count(DISTINCT dd) AS n FROM nl GROUP BY host, l) JOIN (SELECT host, count(DISTINCT dd) AS hn FROM d GROUP BY host) USING (host) WHERE n > 10 AND n > 0.01 * hn),
 gone AS (SELECT r, sum(length(l) - length(replace(l, ' ', '')) + 1)::BIGINT AS n FROM nl JOIN freq USING (host, l) GROUP BY r),
 b AS (SELECT w.doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(text, '[ \t\n\v\f\r]+', '', 'g'))::BIGINT AS word_chars,
   (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines,

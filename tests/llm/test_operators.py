@@ -478,6 +478,28 @@ def test_simhash_shards_lose_no_pair(spark, monkeypatch, radius):
     assert all(root.get(int(s), int(s)) == c for s, c in zip(signed, comp.tolist()))
 
 
+def test_simhash_cuts_shards_again_and_works_off_what_no_tree_cuts(spark, monkeypatch):
+    """More shards than a sample has leaves, and a ball of fingerprints that lie within the radius of every cut."""
+    rng = np.random.default_rng(8)
+    spread = rng.integers(0, 2**63, 3000, dtype=np.uint64)
+    ball = np.uint64(12345) ^ np.array([(1 << a) ^ (1 << b) for a in range(40) for b in range(a)], np.uint64)
+    near = spread[:300] ^ np.uint64(1 << 7)
+    points = np.unique(np.concatenate([spread, ball, near]))
+    for name, v in (("SHARD", 60), ("SAMPLE", 64), ("DEPTH", 2), ("ROUNDS", 3)):
+        monkeypatch.setattr(simhash, name, v)
+    fps = spark.createDataFrame([(int(x),) for x in points.view(np.int64)], "fp long").repartition(3)
+    root = {r["node"]: r["root"] for r in components.components(simhash.link_forest(fps, 2)).collect()}
+    comp = list(range(len(points)))
+    forest = simhash.Forest(len(points))
+    i, j = np.nonzero(np.bitwise_count(points[:, None] ^ points[None, :]) <= 2)
+    forest.link(i, j)
+    mine, theirs = {}, {}
+    for k, p in enumerate(points.view(np.int64).tolist()):
+        mine.setdefault(forest.find(comp[k]), set()).add(p)
+        theirs.setdefault(root.get(p, p), set()).add(p)
+    assert sorted(map(sorted, mine.values())) == sorted(map(sorted, theirs.values()))
+
+
 def test_components_of_a_long_chain(spark):
     n = 300
     links = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001)], "a long, b long")
@@ -607,6 +629,15 @@ def test_quality_edges(spark):
     assert quality.quality_rules(empty_documents(spark)).count() == 0
 
 
+def test_quality_counts_repeated_rows_once_and_removes_lines(spark):
+    rows = [(1, "one same line\nown words here", "a")] * 30 + [(k, f"text {k}\nfooter of all", "a") for k in range(2, 30)] + [(None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {(r["doc_id"], r["removed_words"]) for r in quality.quality_rules(docs, min_docs=5).collect()}
+    assert got == {(1, 0), (None, 0)} | {(k, 3) for k in range(2, 30)}
+    cleaned = {r["doc_id"]: (r["text"], r["removed_lines"]) for r in quality.remove_frequent_lines(docs, min_docs=5).collect()}
+    assert cleaned == {1: (rows[0][1], []), None: (None, [])} | {k: (f"text {k}", [1]) for k in range(2, 30)}
+
+
 def test_quality_repeat_windows_against_brute_force(spark):
     rnd = random.Random(4)
     docs = [(i, " ".join(rnd.choice("ab") for _ in range(rnd.randint(0, 60)))) for i in range(40)]

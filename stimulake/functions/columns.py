@@ -83,6 +83,22 @@ def ratio_error(part: Column, part_error: Column, whole: Column, whole_error: Co
     return 200 * F.try_divide(part * part, whole * whole) * F.sqrt(relative(whole, whole_error) + relative(part, part_error))
 
 
+def hashed_uniform(key: Column, seed: int) -> Column:
+    """A number in (0, 1) that follows from the key and a seed: the same in every run, whatever the partitions."""
+    digest = F.substring(F.md5(F.concat(key.cast("string"), F.lit(f":{seed}")).cast("binary")), 1, 8)
+    return (F.conv(digest, 16, 10).cast("double") + 0.5) / 4294967296.0
+
+
+def hashed_normal(key: Column, seed: int) -> Column:
+    """A standard normal number that follows from the key and a seed."""
+    return F.sqrt(-2 * F.log(hashed_uniform(key, 2 * seed))) * F.cos(2 * math.pi * hashed_uniform(key, 2 * seed + 1))
+
+
+def pruning_mask(key: Column, ratio: float, seed: int) -> Column:
+    """Whether a feature is kept; a share ``ratio`` of the keys is not, all of them at 1."""
+    return hashed_uniform(key, seed) >= ratio
+
+
 def string_seed(subject: Column, name: Column) -> Column:
     """100 times the subject plus the sum of character codes."""
     return subject * 100 + F.aggregate(F.transform(F.filter(F.split(name, ""), lambda c: c != ""), F.ascii), F.lit(0), lambda a, c: a + c)

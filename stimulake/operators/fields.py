@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import gaussian
@@ -104,6 +104,15 @@ def pool(maps: DataFrame, weights: DataFrame, keys: list[str], out: str = "poole
     return maps.join(weights, ["x", "y"]).groupBy(*keys).agg(F.sum(F.col("value") * F.col("w")).alias(out))
 
 
+def roughness(values: Column, side: int, power: float) -> Column:
+    """Sum of the steps between neighbours along both axes of a square map, given row by row, each to a power; inside each row."""
+    at = F.sequence(F.lit(0), F.lit(side * side - 1))
+    step = lambda i, far: F.pow(F.abs(F.get(values, i + far) - F.get(values, i)), F.lit(power))
+    down = F.transform(F.filter(at, lambda i: i < side * (side - 1)), lambda i: step(i, side))
+    across = F.transform(F.filter(at, lambda i: i % side < side - 1), lambda i: step(i, 1))
+    return F.aggregate(F.concat(down, across), F.lit(0.0), lambda s, v: s + v)
+
+
 def softmax(values: list[float]) -> list[float]:
     e = np.exp(np.array(values) - max(values))
     return (e / e.sum()).tolist()

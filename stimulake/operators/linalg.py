@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -107,3 +108,25 @@ def ridge_grid(df: DataFrame, x: str, y: str, holdout: str, penalties: list[floa
     losses = np.array(losses)
     best = losses.argmin(axis=0)
     return pd.DataFrame({"output": np.arange(b.shape[1]), "penalty": np.array(penalties)[best], "loss": losses.min(axis=0)})
+
+
+def predict_by(df: DataFrame, coef: DataFrame, by: list[str], x: str = "x", keys: list[str] | None = None) -> DataFrame:
+    """(by, keys, unit, value): as predict, with a read-out of its own, of any number of units, for each value of ``by``."""
+    rows = df.select(*by, *(keys or []), x)
+    return rows.join(coef, by).select(*by, *(keys or []), "unit", (F.col("intercept") + dot(F.col(x), F.col("coef"))).alias("value"))
+
+
+def predict_groups(df: DataFrame, groups: list[tuple[str, DataFrame]], units: DataFrame, keys: list[str], size: int = 1000) -> DataFrame:
+    """(keys, unit, value) over all ``units``: each group of units is predicted by a model of its own from features of its own.
+
+    groups: (feature column, coefficients of the group's units). Units of no group are 0.
+    """
+    covered = reduce(DataFrame.unionByName, [c.select("unit") for _, c in groups])
+    rest = units.join(covered, "unit", "left_anti").select("unit", F.array().cast("array<double>").alias("coef"), F.lit(0.0).alias("intercept"))
+    parts = [predict(df, c, x, keys, size) for x, c in groups]
+    return reduce(DataFrame.unionByName, [*parts, predict(df.withColumn("__none", F.array().cast("array<double>")), rest, "__none", keys, size)])
+
+
+def parameter_counts(shapes: DataFrame, keys: list[str], sizes: str = "sizes") -> DataFrame:
+    """(keys, params): numbers in all arrays of the given sizes; an array without sizes is one number."""
+    return shapes.groupBy(*keys).agg(F.sum(F.aggregate(sizes, F.lit(1).cast("long"), lambda a, n: a * n)).alias("params"))

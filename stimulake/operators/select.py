@@ -6,8 +6,9 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, NumericType
 
-from ..errors import InvalidParameterError
+from ..errors import InvalidParameterError, StimulusError
 
 
 def check_member(value: object, allowed: Iterable, what: str) -> None:
@@ -42,6 +43,16 @@ def mask_indices(mask: object, length: int) -> list[int]:
     return [i for i, x in enumerate(mask) if x]
 
 
+def check_rank(df: DataFrame, column: str, rank: int) -> DataFrame:
+    """The rows, if the column is numbers nested ``rank`` arrays deep: a batch of images has a row an image and rank 3."""
+    kind, depth = df.schema[column].dataType, 0
+    while isinstance(kind, ArrayType):
+        kind, depth = kind.elementType, depth + 1
+    if depth != rank or not isinstance(kind, NumericType):
+        raise StimulusError(f"{column!r} must be numbers in {rank} nested arrays, not {df.schema[column].dataType.simpleString()}")
+    return df
+
+
 def label_contains(label: Column, what: str) -> Column:
     """Case-sensitive: any of the letters of ``what``; ``all`` takes every row."""
     if what == "all":

@@ -418,7 +418,11 @@ def fwrf_head_single_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {MAPS}, d AS (SELECT stim, abs(value - lag(value) OVER (PARTITION BY stim, y ORDER BY x)) AS dx, abs(value - lag(value) OVER (PARTITION BY stim, x ORDER BY y)) AS dy FROM mp) SELECT stim, round(coalesce(sum(dx * dx), 0) + coalesce(sum(dy * dy), 0), 6) AS penalty FROM d GROUP BY stim")
 def rf_smoothness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sum of squared steps along both axes of a map, inside each row."""
-    x = F.col("x")
-    squares = lambda far, keep: F.aggregate(F.zip_with(F.slice(x, far + 1, 64), F.slice(x, 1, 64 - far), lambda a, b: (a - b) * (a - b)), F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("i")), lambda s, v: F.struct((s["s"] + F.when(keep(s["i"]), v).otherwise(0.0)).alias("s"), (s["i"] + 1).alias("i")))["s"]
-    return r6(vectors(spark, sf_dir).select("stim", (squares(8, lambda i: F.lit(True)) + squares(1, lambda i: i % 8 != 7)).alias("penalty")))
+    """Sum of squared steps along both axes of a map."""
+    return r6(vectors(spark, sf_dir).select("stim", fields.roughness(F.col("x"), 8, 2.0).alias("penalty")))
+
+
+@query(f"WITH {MAPS}, d AS (SELECT stim, abs(value - lag(value) OVER (PARTITION BY stim, y ORDER BY x)) AS dx, abs(value - lag(value) OVER (PARTITION BY stim, x ORDER BY y)) AS dy FROM mp) SELECT stim, round(coalesce(sum(dx), 0) + coalesce(sum(dy), 0), 6) AS penalty FROM d GROUP BY stim")
+def rf_total_variation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sum of absolute steps along both axes of a map."""
+    return r6(vectors(spark, sf_dir).select("stim", fields.roughness(F.col("x"), 8, 1.0).alias("penalty")))

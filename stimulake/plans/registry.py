@@ -1,5 +1,5 @@
 """All registered queries with their SQL."""
 
-from . import models, responses
+from . import models, records, responses
 
-QUERIES = {**responses.QUERIES, **models.QUERIES}
+QUERIES = {**responses.QUERIES, **models.QUERIES, **records.QUERIES}

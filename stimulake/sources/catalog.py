@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 from typing import Any
 
 import pandas as pd
@@ -55,17 +56,51 @@ class Catalog:
         shown = {name: next((v for v in (p.get("example"), next(iter(p.get("valid_values") or []), None), p.get("default")) if v is not None), "...") for name, p in c.parameters.items()}
         return {"model_id": c.model_id, "modality": c.modality, "dataset": c.dataset, "parameters": c.parameters, "selection_keys": list(c.selection_keys), "example": shown}
 
-    def encode(self, model_id: str, stimuli: DataFrame, subject: Any, selection: dict | None = None) -> DataFrame:
-        """Responses of a model to stimuli: the plug-in runs on Arrow batches of each partition."""
+    def model(self, model_id: str, subject: Any, selection: dict | None = None) -> Model:
+        """A model for one subject and selection, which must be among those of its card."""
         c = self.card(model_id)
         check_keys(selection or {}, c.selection_keys)
         if valid := c.parameters.get("subject", {}).get("valid_values"):
             check_member(subject, valid, "subject")
-        if c.encoder is None:
-            raise InvalidParameterError(f"{model_id!r} has no encoder")
-        function, schema = c.encoder(subject, selection or {})
+        return Model(c, subject, selection or {})
+
+    def encode(self, model_id: str, stimuli: DataFrame, subject: Any, selection: dict | None = None) -> DataFrame:
+        return self.model(model_id, subject, selection).encode(stimuli)
+
+    def encode_with_metadata(self, model_id: str, stimuli: DataFrame, subject: Any, selection: dict | None = None) -> tuple[DataFrame, dict[str, Any]]:
+        """Responses, and what is known of them."""
+        m = self.model(model_id, subject, selection)
+        return m.encode(stimuli), m.metadata()
+
+
+@dataclass(frozen=True)
+class Model:
+    """A model with its subject and selection checked once; its plug-in is made when stimuli are first encoded, and kept."""
+
+    card: Card
+    subject: Any
+    selection: dict
+
+    @cached_property
+    def _plug_in(self) -> tuple[Encoder, str]:
+        if self.card.encoder is None:
+            raise InvalidParameterError(f"{self.card.model_id!r} has no encoder")
+        return self.card.encoder(self.subject, self.selection)
+
+    def encode(self, stimuli: DataFrame) -> DataFrame:
+        """Responses to stimuli: the plug-in runs on Arrow batches of each partition."""
+        function, schema = self._plug_in
         return stimuli.mapInPandas(function, schema)
 
+    def metadata(self) -> dict[str, Any]:
+        """What is known of the responses; nothing is loaded."""
+        return {"model_id": self.card.model_id, "modality": self.card.modality, "dataset": self.card.dataset, "subject": self.subject, "selection": self.selection}
+
+    def accuracy(self, scores: DataFrame) -> DataFrame:
+        """Rows of a table of unit scores that belong to this model and, where it has such a column, this subject: a pushed filter."""
+        of = scores.where(F.col("model_id") == self.card.model_id) if "model_id" in scores.columns else scores
+        return of.where(F.col("subject") == self.subject) if "subject" in scores.columns else of
+
 
 def by_modality(models: DataFrame) -> DataFrame:
     """(modality, dataset) rows to the sorted distinct datasets of each modality."""

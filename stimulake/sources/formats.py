@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,6 +56,24 @@ def list_images(spark: SparkSession, folder: str, pattern: str = "*.{jpg,JPEG,pn
     return files.select("path", "length", "content").orderBy("path")
 
 
+def read_by_extension(spark: SparkSession, path: str) -> DataFrame:
+    """A path or glob by its extension: .npy, .parquet, .csv, .json, .ctab, and images; others are an error."""
+    extension = os.path.splitext(path)[1][1:].lower()
+    if extension == "npy":
+        return read_npy(spark, path)
+    if extension == "parquet":
+        return spark.read.parquet(path)
+    if extension == "csv":
+        return spark.read.csv(path, header=True, inferSchema=True)
+    if extension == "json":
+        return spark.read.json(path)
+    if extension == "ctab":
+        return read_colour_table(spark, path)
+    if extension in ("jpg", "jpeg", "png"):
+        return spark.read.format("binaryFile").load(path).select("path", "length", "content")
+    raise ResourceError(f"no reader for {path!r}")
+
+
 def read_sessions(spark: SparkSession, paths: list[str], up_to: int | None = None) -> DataFrame:
     """Parquet files of sessions, the first ``up_to`` by name, with their 1-based session number."""
     chosen = sorted(paths)[:up_to]

@@ -1,5 +1,6 @@
 """Registered queries against DuckDB, and the operators' edge cases."""
 
+import json
 import math
 import os
 
@@ -9,9 +10,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from stimulake.errors import InvalidParameterError, ModelNotFoundError
+from stimulake.errors import InvalidParameterError, ModelNotFoundError, StimulusError
 from stimulake.functions import columns as C
-from stimulake.operators import epochs, fields, joins, linalg, select, splits, stats
+from stimulake.operators import epochs, fields, joins, linalg, records, select, splits, stats
 from stimulake.plans.registry import QUERIES
 from stimulake.sources.catalog import Card, Catalog
 
@@ -263,3 +264,63 @@ def test_entry_point(spark):
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
     assert os.path.exists(SF)
+
+
+def test_records_round_trip(spark):
+    given = ['{"a": {"b": [1, [2, null], {"c": "x.y"}]}, "d": [], "e": {}, "f": "é"}', "{}", None, '{"l": [{"k": 1}, {"k": 2}]}']
+    df = spark.createDataFrame(list(enumerate(given)), "id long, record string")
+    flat = records.flatten(df, "id", "record")
+    found = {(r["id"], r["path"]): r["value"] for r in flat.collect()}
+    assert found == {(0, "a.b@0"): "1", (0, "a.b@1@0"): "2", (0, "a.b@1@1"): "null", (0, "a.b@2.c"): '"x.y"', (0, "d"): "[]", (0, "e"): "{}", (0, "f"): '"é"', (3, "l@0.k"): "1", (3, "l@1.k"): "2"}
+    back = {r["id"]: json.loads(r["record"]) for r in records.rebuild(flat, "id").collect()}
+    assert back == {i: json.loads(given[i]) for i in (0, 3)}
+    gap = spark.createDataFrame([(1, "l@10", "5"), (1, "l@2", "4")], "id long, path string, value string")
+    assert json.loads(records.rebuild(gap, "id").first()["record"]) == {"l": [None, None, 4, *[None] * 7, 5]}
+
+
+def test_draws_have_their_distributions(spark):
+    k = F.col("id")
+    d = spark.range(20000).select(C.hashed_uniform(k, 1).alias("u"), C.hashed_normal(k, 1).alias("z"), C.pruning_mask(k, 0.25, 1).alias("kept"), C.pruning_mask(k, 1.0, 1).alias("none"), C.pruning_mask(k, 0.0, 1).alias("every"))
+    r = d.agg(F.avg("u").alias("u"), F.min("u").alias("low"), F.max("u").alias("high"), F.avg("z").alias("z"), F.stddev("z").alias("s"), F.avg(F.col("kept").cast("int")).alias("kept"), F.max("none").alias("none"), F.min("every").alias("every")).first()
+    assert abs(r["u"] - 0.5) < 0.01 and 0 < r["low"] and r["high"] < 1 and abs(r["z"]) < 0.03 and abs(r["s"] - 1) < 0.03 and abs(r["kept"] - 0.75) < 0.02
+    assert not r["none"] and r["every"]
+
+
+def test_rank_of_stimuli(spark):
+    df = spark.createDataFrame([([[[1.0]]], [["a"]])], "image array<array<array<double>>>, words array<array<string>>")
+    assert select.check_rank(df, "image", 3).count() == 1
+    for column, rank in (("image", 2), ("image", 4), ("words", 2)):
+        with pytest.raises(StimulusError):
+            select.check_rank(df, column, rank)
+
+
+def test_roughness_of_any_power(spark):
+    m = np.random.default_rng(5).normal(size=(3, 4, 4))
+    df = spark.createDataFrame([(i, a.ravel().tolist()) for i, a in enumerate(m)], "id int, v array<double>")
+    for p in (1.0, 2.0, 2.5):
+        got = {r["id"]: r["s"] for r in df.select("id", fields.roughness(F.col("v"), 4, p).alias("s")).collect()}
+        for i, a in enumerate(m):
+            assert math.isclose(got[i], (np.abs(np.diff(a, axis=0)) ** p).sum() + (np.abs(np.diff(a, axis=1)) ** p).sum())
+
+
+def test_groups_without_units_and_a_model_bound_once(spark):
+    df = spark.createDataFrame([(1, [2.0])], "k int, x array<double>")
+    coef = spark.createDataFrame([(3, [5.0], 1.0)], "unit long, coef array<double>, intercept double")
+    units = spark.createDataFrame([(3,), (4,)], "unit long")
+    assert sorted(tuple(r) for r in linalg.predict_groups(df, [("x", coef), ("x", coef.limit(0))], units, ["k"]).collect()) == [(1, 3, 11.0), (1, 4, 0.0)]
+    made = []
+
+    def encoder(subject, selection):
+        made.append(subject)
+        return (lambda batches: batches), "unit long"
+
+    c = Catalog()
+    c.register(Card("m", "eeg", "s", {"subject": {"valid_values": [1]}}, ("roi",), encoder))
+    model = c.model("m", 1, {"roi": "V1"})
+    assert not made and model.encode(units).count() == 2 and model.encode(units).count() == 2 and made == [1]
+    responses, meta = c.encode_with_metadata("m", units, 1)
+    assert responses.count() == 2 and meta == {"model_id": "m", "modality": "eeg", "dataset": "s", "subject": 1, "selection": {}}
+    scores = spark.createDataFrame([("m", 1, 0.5), ("m", 2, 0.6), ("n", 1, 0.7)], "model_id string, subject int, r double")
+    assert [r["r"] for r in model.accuracy(scores).collect()] == [0.5]
+    with pytest.raises(InvalidParameterError):
+        c.model("m", 2)

@@ -56,3 +56,17 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     key = lambda df: sorted((str(r["start"]), r["event_type"], r["n"], round(r["mean"], 9), round(r["var"], 6)) for r in df.collect())
     assert key(spark.table("moments")) == key(windowed_moments(events))
+
+
+def test_readers_by_extension(spark, tmp_path):
+    np.save(tmp_path / "a.npy", np.ones((2, 3)))
+    spark.range(4).write.parquet(str(tmp_path / "b.parquet"))
+    (tmp_path / "c.csv").write_text("x,y\n1,2\n")
+    (tmp_path / "d.ctab").write_text("1 V1\n")
+    (tmp_path / "e.json").write_text('{"x": 1}\n')
+    (tmp_path / "f.PNG").write_bytes(b"1")
+    counts = {n: formats.read_by_extension(spark, str(tmp_path / n)).count() for n in ("a.npy", "b.parquet", "c.csv", "d.ctab", "e.json", "f.PNG")}
+    assert counts == {"a.npy": 2, "b.parquet": 4, "c.csv": 1, "d.ctab": 1, "e.json": 1, "f.PNG": 1}
+    for name in ("g.mat", "npy", "dir.npy/x"):
+        with pytest.raises(ResourceError):
+            formats.read_by_extension(spark, str(tmp_path / name))

@@ -39,14 +39,19 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def word_key(word: bytes) -> int:
+    """Signed 64-bit hash of a word."""
+    h = xxhash.xxh64_intdigest(word, 9)
+    return h - (1 << 64) if h >> 63 else h
+
+
 class WordKeys(dict):
-    """Signed 64-bit hashes of words, remembered."""
+    """Hashes of words, remembered."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= FLUSH_WORDS:
             self.clear()
-        h = xxhash.xxh64_intdigest(word, 9)
-        self[word] = h = h - (1 << 64) if h >> 63 else h
+        self[word] = h = word_key(word)
         return h
 
 
@@ -54,12 +59,12 @@ class WordPlaces(dict):
     """Places of words in a sorted array of their hashes, one beyond its end for those that aren't there; remembered."""
 
     def __init__(self, known: np.ndarray) -> None:
-        self.known, self.keys = known, WordKeys()
+        self.known = known
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= FLUSH_WORDS:
             self.clear()
-        at = int(self.known.searchsorted(h := self.keys[word]))
+        at = int(self.known.searchsorted(h := word_key(word)))
         self[word] = at = at if at < len(self.known) and self.known[at] == h else len(self.known)
         return at
 
@@ -181,7 +186,7 @@ class Places:
     """A hash table from positive integers to their places in an array."""
 
     def __init__(self, keys: np.ndarray) -> None:
-        self.bits = max(4, int(3 * len(keys)).bit_length())
+        self.bits = max(4, int(2 * len(keys)).bit_length())
         self.keys = np.zeros(1 << self.bits, np.int64)
         self.slot = np.zeros(1 << self.bits, np.int32)
         rest, at = np.arange(len(keys)), self._at(keys)
@@ -372,7 +377,6 @@ def score_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
         order = order[np.concatenate(([True], (np.diff(k[order]) != 0) | (np.diff(key[order]) != 0)))[: len(order)]]
         k, key, v, bow = k[order], key[order], v[order], bow[order]
         word = k == WORD
-        model = Automaton(k[~word], key[~word], v[~word], bow[~word], unseen)
         places, logs = WordPlaces(key[word]), np.log10(np.append(v[word], 0.0) + 0.1) - np.log10(below)
         n_tokens, n_known, base, lines = [], [], [], []
         for text in texts.column("text").to_pylist():
@@ -382,6 +386,8 @@ def score_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
             n_tokens.append(len(w) + 1)
             n_known.append(int((at < len(places.known)).sum()) + (ends > 0))
             base.append(float(logs[at].sum() + np.log10((ends + 0.1) / below)))
+        del places, logs, order  # so that words and automaton don't share the memory
+        model = Automaton(k[~word], key[~word], v[~word], bow[~word], unseen)
         return pa.table([texts.column("doc_id"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(model.scores(lines))], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     kind = d.schema["doc_id"].dataType.simpleString()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, language_id, lm_scoring, mixing, quality, secret_scan, simhash, substring_dedup, url_filter
+from . import bpe, fingerprints, language_id, lm_scoring, mixing, quality, secret_scan, simhash, substring_dedup, token_counts, url_filter
 from ._common import read
 
 
@@ -59,8 +59,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(read(spark, sf_dir, "documents"))
 
 
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_fingerprints, op3_substring_dedup, op4_url_filter, op5_source_mix, op6_secret_scan, op7_bpe, op8_simhash, op9_lm_scoring, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_language_id, op2_fingerprints, op3_substring_dedup, op4_url_filter, op5_source_mix, op6_secret_scan, op7_bpe, op8_simhash, op9_lm_scoring, op10_quality_rules, op12_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

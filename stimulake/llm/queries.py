@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, language_id, lm_scoring, mixing, quality, secret_scan, simhash, substring_dedup, token_counts, url_filter
+from . import bpe, collocations, fingerprints, language_id, lm_scoring, mixing, quality, secret_scan, simhash, substring_dedup, token_counts, url_filter
 from ._common import read
 
 
@@ -65,8 +65,12 @@ def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_fingerprints, op3_substring_dedup, op4_url_filter, op5_source_mix, op6_secret_scan, op7_bpe, op8_simhash, op9_lm_scoring, op10_quality_rules, op12_token_counts)}
+    return {f.__name__: f for f in (op1_language_id, op2_fingerprints, op3_substring_dedup, op4_url_filter, op5_source_mix, op6_secret_scan, op7_bpe, op8_simhash, op9_lm_scoring, op10_quality_rules, op12_token_counts, op13_collocations)}
 
 
 def oracle_sql() -> dict[str, str]:

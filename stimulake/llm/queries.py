@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, collocations, fingerprints, language_id, lm_scoring, mixing, quality, secret_scan, simhash, substring_dedup, token_counts, url_filter
+from . import bpe, collocations, fingerprints, language_id, lm_scoring, mixing, prefix_trie, quality, secret_scan, simhash, substring_dedup, token_counts, url_filter
 from ._common import read
 
 
@@ -59,6 +59,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(read(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read(spark, sf_dir, "conversations"))
+
+
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -70,8 +74,8 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_fingerprints, op3_substring_dedup, op4_url_filter, op5_source_mix, op6_secret_scan, op7_bpe, op8_simhash, op9_lm_scoring, op10_quality_rules, op12_token_counts, op13_collocations)}
+    return {f.__name__: f for f in (op1_language_id, op2_fingerprints, op3_substring_dedup, op4_url_filter, op5_source_mix, op6_secret_scan, op7_bpe, op8_simhash, op9_lm_scoring, op10_quality_rules, op11_prefix_trie, op12_token_counts, op13_collocations)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": url_filter.ORACLE, "op5_source_mix": mixing.ORACLE, "op10_quality_rules": quality.ORACLE}
+    return {"op4_url_filter": url_filter.ORACLE, "op5_source_mix": mixing.ORACLE, "op10_quality_rules": quality.ORACLE, "op11_prefix_trie": prefix_trie.ORACLE}

@@ -29,11 +29,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str = "table") -> DataFrame:
+def materialize(df: DataFrame, label: str = "table", compression: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a cut in the lineage that survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stimulake-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -28,7 +28,7 @@ from ._common import materialize
 
 ORDER = 5
 #: Bytes of text of a block, and of a piece of a text that walks the automaton beside others.
-BLOCK, PIECE = 1 << 25, 2048
+BLOCK, PIECE = 1 << 24, 2048
 #: Distinct words, bytes of text and distinct n-grams that a task gathers before it hands counts on.
 FLUSH_WORDS, FLUSH_BYTES, FLUSH_GRAMS = 400_000, 4_000_000, 2_000_000
 #: The order under which words are kept beside n-grams; their keys are 64-bit hashes. LINES counts documents.
@@ -321,7 +321,7 @@ def in_blocks(docs: DataFrame) -> DataFrame:
             yield pa.record_batch([*batch.columns, pa.array(numbers, pa.int64())], ["doc_id", "text", "block"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return materialize(docs.coalesce(max(1, -(-total // BLOCK))).mapInArrow(rows, f"doc_id {kind}, text binary, block long"), "lm-blocks")
+    return materialize(docs.coalesce(max(1, -(-total // BLOCK))).mapInArrow(rows, f"doc_id {kind}, text binary, block long"), "lm-blocks", "zstd")
 
 
 def asked(blocks: DataFrame) -> DataFrame:
@@ -373,7 +373,10 @@ def score_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
 
     def rows(texts: pa.Table, table: pa.Table) -> pa.Table:
         k, key, v, bow = (table.column(c).to_numpy() for c in ("k", "key", "v", "bow"))
-        order = np.lexsort((key, k))
+        # Words, which may be any 64 bits, then n-grams of at most 40 bits, each sorted by one number; duplicates go.
+        word = k == WORD
+        order = [np.flatnonzero(part) for part in (word, ~word)]
+        order = np.concatenate([at[np.argsort(by[at])] for at, by in zip(order, (key, k.astype(np.int64) << 8 * ORDER | key))])
         order = order[np.concatenate(([True], (np.diff(k[order]) != 0) | (np.diff(key[order]) != 0)))[: len(order)]]
         k, key, v, bow = k[order], key[order], v[order], bow[order]
         word = k == WORD

@@ -12,7 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import InvalidParameterError
 from ..functions.columns import dot
+from .blocks import product
+from .wide import NARROW, coefficient_table, least_squares
 
 
 def gram(df: DataFrame, x: str, y: str | None = None) -> tuple[np.ndarray, np.ndarray, int]:
@@ -27,6 +30,8 @@ def gram(df: DataFrame, x: str, y: str | None = None) -> tuple[np.ndarray, np.nd
         for b in batches:
             if b.num_rows:
                 arrays = [np.array(c.to_pylist(), float) for c in b.columns]
+                if arrays[0].shape[1] > NARROW:
+                    raise InvalidParameterError(f"{arrays[0].shape[1]} features are too many for their square; see operators.wide")
                 z = np.column_stack([np.ones(b.num_rows), arrays[0]])
                 part = z.T @ np.column_stack([z, *arrays[1:]])
                 total, n = part if total is None else total + part, n + b.num_rows
@@ -55,24 +60,23 @@ def gram(df: DataFrame, x: str, y: str | None = None) -> tuple[np.ndarray, np.nd
 
 
 def ols(df: DataFrame, x: str, y: str, penalty: float = 0.0) -> np.ndarray:
-    """Coefficients of several outputs at once, intercepts in the first row; penalty is ridge's, not on the intercept."""
-    a, b, _ = gram(df, x, y)
-    p = np.eye(len(a)) * penalty
-    p[0, 0] = 0
-    return np.linalg.lstsq(a + p, b, rcond=None)[0]
+    """Coefficients of a few outputs at once, intercepts in the first row; penalty is ridge's, not on the intercept. By a tree of QRs; for
+    many outputs ``wide.least_squares`` gives them as a table."""
+    c = coefficient_table(least_squares(df, x, y, penalty))
+    return np.column_stack([c["intercept"], np.array(c["coef"].tolist())]).T if len(c) else np.zeros((0, 0))
 
 
-def predict(df: DataFrame, coef: DataFrame, x: str = "x", keys: list[str] | None = None, size: int = 1000) -> DataFrame:
-    """(keys, unit, value): predictions of all units of ``coef`` (unit, coef array, intercept) for each row, in blocks of ``size`` units.
+def predict(df: DataFrame, coef: DataFrame, x: str = "x", keys: list[str] | None = None, size: int | None = None) -> DataFrame:
+    """(keys, unit, value): predictions of all units of ``coef`` (unit, coef array, intercept) for each row.
 
-    Rows meet coefficients by block, an equi-join; whether the coefficients are broadcast is for Spark to say by their size.
+    A product in blocks of rows and of units (``size`` at most, if given), in which the intercept is the weight of a 1 behind the features.
     """
-    placed = coef.withColumn("block", F.expr(f"unit div {size}"))
-    low, high = placed.agg(F.min("block"), F.max("block")).first()
-    if low is None:
-        return df.select(*(keys or [])).withColumns({"unit": F.lit(None).cast("long"), "value": F.lit(None).cast("double")}).limit(0)
-    rows = df.select(*(keys or []), x).withColumn("block", F.explode(F.sequence(F.lit(low), F.lit(high))))
-    return rows.join(placed, "block").select(*(keys or []), "unit", (F.col("intercept") + dot(F.col(x), F.col("coef"))).alias("value"))
+    keys = keys or []
+    one = lambda c: F.concat(c, F.array(F.lit(1.0)))
+    weights = coef.select("unit", F.concat(F.col("coef").cast("array<double>"), F.array(F.col("intercept").cast("double"))).alias("w"))
+    rows = df.select(*keys, one(F.col(x).cast("array<double>")).alias("__x"))
+    p = product(rows, keys, "__x", weights, size=size)
+    return p.select(*keys, F.explode(F.arrays_zip("units", "values")).alias("__p")).select(*keys, F.col("__p.units").alias("unit"), F.col("__p.values").alias("value"))
 
 
 def pca(df: DataFrame, x: str, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -116,7 +120,7 @@ def predict_by(df: DataFrame, coef: DataFrame, by: list[str], x: str = "x", keys
     return rows.join(coef, by).select(*by, *(keys or []), "unit", (F.col("intercept") + dot(F.col(x), F.col("coef"))).alias("value"))
 
 
-def predict_groups(df: DataFrame, groups: list[tuple[str, DataFrame]], units: DataFrame, keys: list[str], size: int = 1000) -> DataFrame:
+def predict_groups(df: DataFrame, groups: list[tuple[str, DataFrame]], units: DataFrame, keys: list[str], size: int | None = None) -> DataFrame:
     """(keys, unit, value) over all ``units``: each group of units is predicted by a model of its own from features of its own.
 
     groups: (feature column, coefficients of the group's units). Units of no group are 0.

@@ -1,5 +1,5 @@
 """All registered queries with their SQL."""
 
-from . import models, records, responses
+from . import fits, models, records, responses
 
-QUERIES = {**responses.QUERIES, **models.QUERIES, **records.QUERIES}
+QUERIES = {**responses.QUERIES, **models.QUERIES, **records.QUERIES, **fits.QUERIES}

@@ -28,7 +28,7 @@ from ._common import materialize
 
 ORDER = 5
 #: Bytes of text of a block, and of a piece of a text that walks the automaton beside others.
-BLOCK, PIECE = 1 << 24, 2048
+BLOCK, PIECE = 5 << 22, 2048
 #: Distinct words, bytes of text and distinct n-grams that a task gathers before it hands counts on.
 FLUSH_WORDS, FLUSH_BYTES, FLUSH_GRAMS = 400_000, 4_000_000, 2_000_000
 #: The order under which words are kept beside n-grams; their keys are 64-bit hashes. LINES counts documents.

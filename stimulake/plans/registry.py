@@ -1,5 +1,5 @@
 """All registered queries with their SQL."""
 
-from . import fits, models, records, responses
+from . import fits, models, records, responses, signals
 
-QUERIES = {**responses.QUERIES, **models.QUERIES, **records.QUERIES, **fits.QUERIES}
+QUERIES = {**responses.QUERIES, **models.QUERIES, **records.QUERIES, **fits.QUERIES, **signals.QUERIES}

@@ -61,12 +61,12 @@ def gaussian(x: Column, y: Column, x0: Column | float, y0: Column | float, sigma
     return F.lit(pixel * pixel) / (2 * math.pi * sigma * sigma) * F.exp(-(dx * dx + dy * dy) / (2 * sigma * sigma))
 
 
-def rotated_gaussian(x: Column, y: Column, x0: float, y0: float, log_sx: float, log_sy: float, theta: float, log_amplitude: float, offset: float = 0.0) -> Column:
+def rotated_gaussian(x: Column, y: Column, x0: Column | float, y0: Column | float, log_sx: Column | float, log_sy: Column | float, theta: Column | float, log_amplitude: Column | float, offset: Column | float = 0.0) -> Column:
     """Anisotropic bump over an offset, turned clockwise by theta; widths and amplitude are given as logarithms."""
-    c, s = math.cos(theta), math.sin(theta)
+    x0, y0, log_sx, log_sy, theta, log_amplitude, offset = (v if isinstance(v, Column) else F.lit(float(v)) for v in (x0, y0, log_sx, log_sy, theta, log_amplitude, offset))
+    c, s = F.cos(theta), F.sin(theta)
     u, v = (x - x0) * c - (y - y0) * s, (x - x0) * s + (y - y0) * c
-    sx, sy = math.exp(log_sx), math.exp(log_sy)
-    return offset + F.lit(math.exp(log_amplitude)) * F.exp(-(u * u / (2 * sx * sx) + v * v / (2 * sy * sy)))
+    return offset + F.exp(log_amplitude) * F.exp(-(u * u * F.exp(-2 * log_sx) + v * v * F.exp(-2 * log_sy)) / 2)
 
 
 def orientation_delta(x0: Column, y0: Column, log_sx: Column, log_sy: Column, theta: Column) -> Column:

@@ -17,9 +17,13 @@ def axis(n: int, low: float, high: float) -> list[float]:
     return [low + (high - low) * i / (n - 1) for i in range(n)] if n > 1 else [low]
 
 
+#: What the reference's logarithmic axes add to both ends, so that they may begin at 0: a fixed value.
+TINY = 1e-12
+
+
 def log_axis(n: int, low: float, high: float) -> list[float]:
     """n values with even ratios, both ends included."""
-    return [math.exp(x) for x in axis(n, math.log(low), math.log(high))]
+    return [math.exp(x) for x in axis(n, math.log(low + TINY), math.log(high + TINY))]
 
 
 def spaced(n: int, center: float, width: float, right_bound: bool = False) -> list[float]:
@@ -31,25 +35,44 @@ def spaced(n: int, center: float, width: float, right_bound: bool = False) -> li
     return [center - width / 2 + width * (i + 0.5) / n for i in range(n)]
 
 
+def axis_of(n: Column, low: Column, high: Column, log: bool = False) -> Column:
+    """As axis and log_axis, from columns: an array for each row."""
+    a, b = (F.log(low + TINY), F.log(high + TINY)) if log else (low, high)
+    value = lambda i: a + (b - a) * i / F.greatest(n - 1, F.lit(1))
+    return F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)).cast("int") - 1), lambda i: F.exp(value(i)) if log else value(i))
+
+
+def spaced_of(n: Column, center: Column, width: Column, right_bound: bool = False) -> Column:
+    """As spaced, from columns."""
+    value = lambda i: center + width * i / F.greatest(n - 1, F.lit(1)) if right_bound else center - width / 2 + width * (i + 0.5) / n
+    return F.when(n <= 1, F.array(center.cast("double"))).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)).cast("int") - 1), value))
+
+
+def rf_grids(settings: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, model_id, x, y, sigma) for each row (keys, n, n_sigma, aperture, low, high): every pair of n positions a side with every one of
+    n_sigma widths from low to high; x varies slowest, sigma fastest. One position is the centre, one width the low one."""
+    n, m, k = F.col("n").cast("long"), F.col("n_sigma").cast("long"), F.col("model_id")
+    s = settings.withColumn("model_id", F.explode(F.sequence(F.lit(0).cast("long"), n * n * m - 1)))
+    place = lambda i: F.when(n > 1, i * (F.col("aperture") / F.greatest(n - 1, F.lit(1))) - F.col("aperture") / 2).otherwise(F.lit(0.0))
+    ratio = F.log(F.col("high") / F.col("low")) / F.greatest(m - 1, F.lit(1))
+    return s.select(*keys, "model_id", place(F.floor(k / (m * n))).alias("x"), place(F.floor(k / m) % n).alias("y"), (F.col("low") * F.exp(k % m * ratio)).alias("sigma"))
+
+
 def rf_grid(spark: SparkSession, n: int, n_sigma: int, aperture: float, sigmas: tuple[float, float]) -> DataFrame:
-    """(model_id, x, y, sigma): every pair of n positions a side with every one of n_sigma widths; x varies slowest, sigma fastest."""
-    step = aperture / (n - 1)
-    ratio = math.log(sigmas[1] / sigmas[0]) / max(1, n_sigma - 1)
-    k = F.col("id")
-    return spark.range(n * n * n_sigma).select(
-        k.alias("model_id"),
-        (F.floor(k / (n_sigma * n)) * step - aperture / 2).alias("x"),
-        (F.floor(k / n_sigma) % n * step - aperture / 2).alias("y"),
-        (sigmas[0] * F.exp(k % n_sigma * ratio)).alias("sigma"),
-    )
+    """rf_grids for one setting."""
+    return rf_grids(spark.createDataFrame([(n, n_sigma, float(aperture), float(sigmas[0]), float(sigmas[1]))], "n long, n_sigma long, aperture double, low double, high double"), [])
 
 
-def rf_pyramid(spark: SparkSession, sigmas: list[float], aperture: float, spacing: float) -> DataFrame:
-    """(sigma, i, j, x, y): for each width a square grid, both ends included, whose step grows with it; j runs along x, fastest."""
-    s = spark.createDataFrame([(float(x), math.ceil(aperture / (x * spacing))) for x in sigmas], "sigma double, n int")
+def rf_pyramids(settings: DataFrame, keys: list[str], aperture: float, spacing: float) -> DataFrame:
+    """(keys, sigma, i, j, x, y): for each row's width a square grid, both ends included, whose step grows with it; j runs along x, fastest."""
+    s = settings.select(*keys, "sigma", F.ceil(F.lit(float(aperture)) / (F.col("sigma") * spacing)).cast("int").alias("n"))
     s = s.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     place = lambda k: F.col(k) * aperture / F.greatest(F.col("n") - 1, F.lit(1)) - aperture / 2
-    return s.select("sigma", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), place("j").alias("x"), place("i").alias("y"))
+    return s.select(*keys, "sigma", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), place("j").alias("x"), place("i").alias("y"))
+
+
+def rf_pyramid(spark: SparkSession, sigmas: list[float], aperture: float, spacing: float) -> DataFrame:
+    return rf_pyramids(spark.createDataFrame([(float(x),) for x in sigmas], "sigma double"), [], aperture, spacing)
 
 
 def pixels(spark: SparkSession, n: int) -> DataFrame:

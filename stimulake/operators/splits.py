@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,25 +13,31 @@ from ..errors import InvalidParameterError
 def global_position(df: DataFrame, order: list[str], out: str = "pos", ranges: int | None = None) -> DataFrame:
     """1-based position in a total order without one task that sees all rows.
 
-    A sample of about 100 rows a range gives fixed bounds; each row's range follows from its own key, so ranges are the same whenever
-    they are computed. Rows are numbered inside ranges, and the sizes of the earlier ranges, one row each, are added. Nulls come first.
+    A sample of about 100 rows a range gives fixed bounds; each row finds its range by halving them, from its own key, so ranges are the same
+    whenever they are computed. A hash of the whole row stands behind the key, so that rows of one key spread over ranges too. Rows are
+    numbered inside ranges, and the sizes of the earlier ranges, one row each, are added. Nulls come first.
     """
     n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     share = min(1.0, 100.0 * n / max(1, df.count()))
-    kinds = {f.name: f.dataType for f in df.schema}
-    place = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)])
-    sample = df.select(place.alias("k")).sample(share, seed=1).distinct().sort("k").collect()
+    tied = df.withColumn("__tie", F.xxhash64(*[f"`{f.name}`" for f in df.schema.fields if "map<" not in f.dataType.simpleString()]))
+    by = [*order, "__tie"]
+    kinds = {f.name: f.dataType for f in tied.schema}
+    place = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(by)])
+    sample = tied.select(place.alias("k")).sample(share, seed=1).distinct().sort("k").collect()
     at = sorted({len(sample) * i // n for i in range(1, n)} - {0}) if sample else []
-    bounds = [F.struct(*[F.lit(v).cast(kinds[c]).alias(f"k{j}") for j, (v, c) in enumerate(zip(sample[i]["k"], order))]) for i in at]
-    part = F.size(F.filter(F.array(*bounds), lambda b: b <= place)) if bounds else F.lit(0)
-    parts = df.withColumn("__part", part)
+    bounds = F.array(*[F.struct(*[F.lit(v).cast(kinds[c]).alias(f"k{j}") for j, (v, c) in enumerate(zip(sample[i]["k"], by))]) for i in at])
+    # The number of bounds at or below the key: steps of falling powers of two as long as the bound reached is not above it.
+    steps = F.lit([1 << b for b in reversed(range(len(at).bit_length()))]) if at else None
+    fits = lambda reached: (reached <= len(at)) & (F.get(bounds, reached - 1) <= F.col("__place"))
+    part = F.aggregate(steps, F.lit(0), lambda p, step: F.when(fits(p + step), p + step).otherwise(p)) if at else F.lit(0)
+    parts = tied.withColumn("__place", place).withColumn("__part", part).drop("__place")
     before, offsets = 0, []
     for p, size in sorted(tuple(r) for r in parts.groupBy("__part").count().collect()):
         offsets.append((p, before))
         before += size
-    local = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    local = F.row_number().over(Window.partitionBy("__part").orderBy(*by))
     shift = df.sparkSession.createDataFrame(offsets, "__part int, __before long")  # one row a range
-    return parts.withColumn(out, local).join(F.broadcast(shift), "__part").withColumn(out, (F.col(out) + F.col("__before")).cast("long")).drop("__part", "__before")
+    return parts.withColumn(out, local).join(F.broadcast(shift), "__part").withColumn(out, (F.col(out) + F.col("__before")).cast("long")).drop("__part", "__before", "__tie")
 
 
 def first_k(df: DataFrame, keys: list[str], order: list[str], k: int, out: str = "rep") -> DataFrame:
@@ -46,11 +54,14 @@ def holdout(df: DataFrame, keys: list[str], order: list[str], h: int) -> DataFra
 
 
 def hash_split(df: DataFrame, key: str, share: float, seed: int) -> DataFrame:
-    """A share of the keys, by their hash, is ``holdout``: the same in every run, whatever the partitions. share in sixteenths."""
+    """The last rows in the order of their keys' hash are ``holdout``, exactly ceil(rows times share) of them: the same in every run, whatever
+    the partitions. Null keys count as one key; equal keys stand together, in any order."""
     if not 0 < share < 1:
         raise InvalidParameterError("share must be between 0 and 1")
-    limit = f"{round(share * 16):x}"
-    return df.withColumn("split", F.when(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")).cast("binary")) < limit, "holdout").otherwise("train"))
+    n = df.count()
+    hashed = df.withColumn("__hash", F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary")))
+    placed = global_position(hashed, ["__hash", key], "__pos")
+    return placed.withColumn("split", F.when(F.col("__pos") > n - math.ceil(n * share), "holdout").otherwise("train")).drop("__hash", "__pos")
 
 
 def repeat_split(stimuli: DataFrame, trials: DataFrame, key: str, shared: Column, repeats: int = 3) -> DataFrame:

@@ -68,26 +68,40 @@ def luma(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(_points(spark, sf_dir).select("stim", C.luma(a, b, c).alias("luma"), C.grayscale(a, b, c).alias("gray")))
 
 
-@query("SELECT k AS model_id, round((k // 32) * (8.0::DOUBLE / 7) - 4, 6) AS x, round((k // 4) % 8 * (8.0::DOUBLE / 7) - 4, 6) AS y, round(0.5::DOUBLE * exp(k % 4 * (ln(8.0::DOUBLE) / 3)), 6) AS sigma FROM (SELECT unnest(range(0, 256)) AS k)")
+SETTINGS = "st AS (SELECT s_suppkey AS unit, 1 + s_suppkey % 4 AS n, 1 + s_suppkey % 3 AS m, 4 + s_nationkey / 8.0::DOUBLE AS a, 0.5 + s_suppkey % 8 * 0.5::DOUBLE AS s FROM supplier)"
+
+
+def _settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as units with a grid's settings each."""
+    k = F.col("s_suppkey").cast("long")
+    return table(spark, sf_dir, "supplier").select(k.alias("unit"), (1 + k % 4).alias("n"), (1 + k % 3).alias("n_sigma"), (4 + F.col("s_nationkey") / 8).alias("aperture"), (0.5 + k % 8 * 0.5).alias("sigma"))
+
+
+@query(f"WITH {SETTINGS} SELECT unit, k AS model_id, round(CASE WHEN n > 1 THEN k // (m * n) * a / (n - 1) - a / 2 ELSE 0 END, 6) AS x, round(CASE WHEN n > 1 THEN k // m % n * a / (n - 1) - a / 2 ELSE 0 END, 6) AS y, round(s * exp(k % m * ln(8.0::DOUBLE) / greatest(m - 1, 1)), 6) AS sigma FROM (SELECT *, unnest(range(0, n * n * m)) AS k FROM st)")
 def rf_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r6(fields.rf_grid(spark, 8, 4, 8.0, (0.5, 4.0)))
+    """Each unit's own grid of candidates, some of a single position."""
+    return r6(fields.rf_grids(_settings(spark, sf_dir).withColumns({"low": F.col("sigma"), "high": 8 * F.col("sigma")}), ["unit"]))
 
 
-@query("WITH s AS (SELECT sigma, ceil(8 / (sigma * 0.5))::BIGINT AS n FROM (VALUES (0.5::DOUBLE), (1), (2), (4), (16)) AS t(sigma)), i AS (SELECT sigma, n, unnest(range(0, n)) AS i FROM s) SELECT sigma, i, j, round(j * 8::DOUBLE / greatest(n - 1, 1) - 4, 6) AS x, round(i * 8::DOUBLE / greatest(n - 1, 1) - 4, 6) AS y FROM (SELECT *, unnest(range(0, n)) AS j FROM i)")
+@query(f"WITH {SETTINGS}, s AS (SELECT unit, s AS sigma, ceil(8 / (s * 0.5))::BIGINT AS n FROM st), i AS (SELECT unit, sigma, n, unnest(range(0, n)) AS i FROM s) SELECT unit, sigma, i, j, round(j * 8::DOUBLE / greatest(n - 1, 1) - 4, 6) AS x, round(i * 8::DOUBLE / greatest(n - 1, 1) - 4, 6) AS y FROM (SELECT *, unnest(range(0, n)) AS j FROM i)")
 def rf_pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r6(fields.rf_pyramid(spark, [0.5, 1.0, 2.0, 4.0, 16.0], 8.0, 0.5))
+    """Around each unit's width the positions that suit it."""
+    return r6(fields.rf_pyramids(_settings(spark, sf_dir), ["unit"], 8.0, 0.5))
 
 
-@query("SELECT k AS pos, round(1.5 + ((3::DOUBLE / 7) - 3) / 2 + k * (3::DOUBLE / 7), 6) AS centred, round(1.5 + k * 3::DOUBLE / 6, 6) AS right_bound FROM (SELECT unnest(range(0, 7)) AS k)")
+@query(f"WITH {SETTINGS}, p AS (SELECT unit, n, a, s, unnest(range(0, n)) AS pos FROM st) SELECT unit, pos, round(CASE WHEN n > 1 THEN s - a / 2 + a * (pos + 0.5) / n ELSE s END, 6) AS centred, round(CASE WHEN n > 1 THEN s + a * pos / (n - 1) ELSE s END, 6) AS right_bound FROM p")
 def linear_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seven positions of width 3: cell middles around 1.5, and from 1.5 to the right."""
-    rows = [(k, a, b) for k, (a, b) in enumerate(zip(fields.spaced(7, 1.5, 3.0), fields.spaced(7, 1.5, 3.0, right_bound=True)))]
-    return r6(spark.createDataFrame(rows, "pos long, centred double, right_bound double"))
+    """Each unit's positions: cell middles around its centre, and from there to the right."""
+    n, center, width = F.col("n"), F.col("sigma"), F.col("aperture")
+    both = F.arrays_zip(fields.spaced_of(n, center, width).alias("centred"), fields.spaced_of(n, center, width, right_bound=True).alias("right_bound"))
+    return r6(_settings(spark, sf_dir).select("unit", F.posexplode(both).alias("pos", "v")).select("unit", "pos", "v.centred", "v.right_bound"))
 
 
-@query("SELECT k AS pos, round(exp(ln(0.1::DOUBLE) + (ln(10.0::DOUBLE) - ln(0.1::DOUBLE)) * k / 19), 6) AS value FROM (SELECT unnest(range(0, 20)) AS k)")
+@query(f"WITH {SETTINGS} SELECT unit, pos, round(exp(ln(l + 1e-12) + (ln(a + 1e-12) - ln(l + 1e-12)) * pos / greatest(n - 1, 1)), 6) AS value FROM (SELECT unit, n, a, s - 0.5 AS l, unnest(range(0, n)) AS pos FROM st)")
 def log_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r6(spark.createDataFrame(list(enumerate(fields.log_axis(20, 0.1, 10.0))), "pos long, value double"))
+    """Each unit's logarithmic axis, some from 0."""
+    values = fields.axis_of(F.col("n"), F.col("sigma") - 0.5, F.col("aperture"), log=True)
+    return r6(_settings(spark, sf_dir).select("unit", F.posexplode(values).alias("pos", "value")))
 
 
 RFS = [(-1.0, 0.5, 1.5), (1.2, -2.1, 0.3), (0.0, 0.0, 1.0)]
@@ -114,12 +128,15 @@ def gaussian_mass_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pooled(spark, sf_dir, fields.weight_arrays(fields.gaussian_mass_stack(spark, 8, RFS)))
 
 
-ROT = "0.3 + exp(0.2) * exp(-((power(cos(0.5), 2) / (2 * exp(0.8)) + power(sin(0.5), 2) / (2 * exp(1.8))) * power(x - 3.5, 2) + sin(1.0) * (1 / (2 * exp(1.8)) - 1 / (2 * exp(0.8))) * (x - 3.5) * (y - 3.5) + (power(sin(0.5), 2) / (2 * exp(0.8)) + power(cos(0.5), 2) / (2 * exp(1.8))) * power(y - 3.5, 2)))"
+TURNED = f"WITH {SETTINGS}, r AS (SELECT unit, k // 8 AS x, k % 8 AS y, k // 8 - n AS dx, k % 8 - a / 2 AS dy, s / 4 AS sx, s / 8 AS sy, s AS t FROM st, (SELECT unnest(range(0, 64)) AS k)) SELECT unit, x, y, round(0.3 + exp(0.2::DOUBLE) * exp(-(power(dx * cos(t) - dy * sin(t), 2) / (2 * exp(2 * sx)) + power(dx * sin(t) + dy * cos(t), 2) / (2 * exp(2 * sy)))), 6) AS w FROM r"
 
 
-@query(f"SELECT x, y, round({ROT}, 6) AS w FROM (SELECT k // 8 AS x, k % 8 AS y FROM (SELECT unnest(range(0, 64)) AS k))")
+@query(TURNED)
 def rotated_gaussian(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r6(fields.pixels(spark, 8).withColumn("w", C.rotated_gaussian(F.col("x"), F.col("y"), 3.5, 3.5, 0.4, 0.9, 0.5, 0.2, 0.3)))
+    """Each unit's turned Gaussian over the pixels of a map."""
+    s, k = F.col("sigma"), F.col("k")
+    f = _settings(spark, sf_dir).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long")))).withColumns({"x": F.floor(k / 8), "y": k % 8})
+    return r6(f.select("unit", "x", "y", C.rotated_gaussian(F.col("x"), F.col("y"), F.col("n"), F.col("aperture") / 2, s / 4, s / 8, s, 0.2, 0.3).alias("w")))
 
 
 WRAPPED = "CASE WHEN abs({0}) <= abs({0} + {pi2}) AND abs({0}) <= abs({0} - {pi2}) THEN {0} WHEN abs({0} + {pi2}) <= abs({0} - {pi2}) THEN {0} + {pi2} ELSE {0} - {pi2} END"
@@ -201,7 +218,7 @@ def first_k_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {RECORDING} SELECT event_id, channel, code FROM e QUALIFY code IS DISTINCT FROM lag(code) OVER (PARTITION BY channel ORDER BY second, event_id)")
 def event_onset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return epochs.onsets(recording(spark, sf_dir), ["channel"], ["second", "event_id"], "code").select("event_id", "channel", "code")
+    return epochs.onsets(recording(spark, sf_dir), ["channel"], ["second", "event_id"], "code", size=604_800).select("event_id", "channel", "code")
 
 
 EPOCH = RECORDING + ", t AS (SELECT event_id AS trial, channel, second // 3600 AS hour FROM e WHERE code = (SELECT min(code) FROM e)), ep AS (SELECT trial, t.channel, event_id, second // 3600 - hour AS off, value FROM t JOIN e ON e.channel = t.channel AND second // 3600 BETWEEN hour - 6 AND hour + 12)"
@@ -244,12 +261,13 @@ def topk_variance_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.first_k(_variances(spark, sf_dir), ["layer"], [F.desc("var"), F.asc("dim")], 5).select("layer", "dim")
 
 
-@query("WITH s AS (SELECT k AS layer, 64 // (1 << (k // 2)::INT) AS size FROM (SELECT unnest(range(0, 6)) AS k)) SELECT size, string_agg(layer::VARCHAR, ',' ORDER BY layer) AS layers, (sum(count(*)) OVER (ORDER BY size DESC) - count(*))::BIGINT AS start FROM s GROUP BY size")
+@query("WITH g AS (SELECT p_size AS size, count(*) AS n FROM part GROUP BY p_size), o AS (SELECT size, n, (sum(n) OVER (ORDER BY size DESC) - n)::BIGINT AS start FROM g) SELECT p_partkey AS layer, size::BIGINT AS size, n, start FROM part JOIN o ON p_size = size")
 def layer_size_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Layers of one spatial size together, largest first, with the offset of each group."""
-    s = spark.range(6).select(F.col("id").alias("layer"), F.expr("64 div shiftleft(1L, cast(id div 2 AS int))").alias("size"))
-    g = s.groupBy("size").agg(F.array_join(F.transform(F.array_sort(F.collect_list("layer")), lambda x: x.cast("string")), ",").alias("layers"), F.count("*").alias("n"))
-    return g.withColumn("start", F.sum("n").over(Window.orderBy(F.desc("size"))) - F.col("n")).drop("n")
+    """Parts as layers: those of one spatial size form a group, the largest first; each layer has its group's members and offset."""
+    layers = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("layer"), F.col("p_size").cast("long").alias("size"))
+    g = layers.groupBy("size").agg(F.count("*").alias("n"))
+    starts = g.withColumn("start", F.sum("n").over(Window.orderBy(F.desc("size"))) - F.col("n"))  # one row a size
+    return layers.join(starts, "size").select("layer", "size", "n", "start")
 
 
 @query(f"WITH {VAR} SELECT stim, round(sum(value), 6) AS value FROM f JOIN (SELECT dim FROM v QUALIFY row_number() OVER (PARTITION BY layer ORDER BY var DESC, dim) <= 5) USING (dim) GROUP BY stim")
@@ -378,10 +396,17 @@ BOOT = f"WITH v AS (SELECT vec_id AS i, embedding[1]::DOUBLE AS a, embedding[2]:
 def bootstrap_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Correlation over resamples with replacement; draws come from integer arithmetic, so any engine repeats them."""
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("i"), F.col("embedding")[0].cast("double").alias("a"), F.col("embedding")[1].cast("double").alias("b"))
-    n = v.count()
-    draws = v.select(F.col("i").alias("draw"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long"))).alias("rep"))
-    draws = draws.select("rep", ((F.col("rep") * 7919 + F.col("draw") * 104729 + F.col("draw") * F.col("draw") * F.col("rep")) % n).alias("i"))
-    c = draws.join(v, "i").groupBy("rep").agg(F.coalesce(stats.correlation(F.col("a"), F.col("b")), F.lit(0.0)).alias("r"))
+    n, reps = v.count(), F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long"))
+    # How often each replicate draws each row is counted first, so rows meet one array of counts instead of all their draws.
+    draws = v.select(F.col("i").alias("draw"), F.explode(reps).alias("rep"))
+    draws = draws.select("rep", ((F.col("rep") * 7919 + F.col("draw") * 104729 + F.col("draw") * F.col("draw") * F.col("rep")) % n).alias("i")).groupBy("i", "rep").agg(F.count("*").alias("m"))
+    held = draws.groupBy("i").agg(F.collect_list(F.struct("rep", "m")).alias("held"))  # one a replicate at most
+    d = v.join(held, "i").select("a", "b", F.explode("held").alias("h")).select("a", "b", "h.rep", "h.m")
+    m, a, b = F.col("m"), F.col("a"), F.col("b")
+    s = d.groupBy("rep").agg(F.sum("m").alias("n"), *[F.sum(m * e).alias(name) for name, e in (("sa", a), ("sb", b), ("saa", a * a), ("sbb", b * b), ("sab", a * b))])
+    spread = lambda xy, x, y: F.col(xy) / F.col("n") - F.col(x) / F.col("n") * F.col(y) / F.col("n")
+    r = F.try_divide(spread("sab", "sa", "sb"), F.sqrt(spread("saa", "sa", "sa") * spread("sbb", "sb", "sb")))
+    c = s.select(F.coalesce(r, F.lit(0.0)).alias("r"))
     return r6(c.agg(F.avg("r").alias("mean_r"), F.stddev_pop("r").alias("std_r"), F.count("*").alias("n")))
 
 

@@ -262,7 +262,7 @@ def holdout_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return holdout(recording(spark, sf_dir), ["channel"], ["second", "event_id"], 5).select("event_id", "channel", "split")
 
 
-@query("SELECT l_partkey AS id, CASE WHEN md5(l_partkey::VARCHAR || ':1') < '4' THEN 'holdout' ELSE 'train' END AS split FROM (SELECT DISTINCT l_partkey FROM lineitem)")
+@query("SELECT l_partkey AS id, CASE WHEN row_number() OVER (ORDER BY md5(l_partkey::VARCHAR || ':1')) > count(*) OVER () - ceil(count(*) OVER () * 0.25) THEN 'holdout' ELSE 'train' END AS split FROM (SELECT DISTINCT l_partkey FROM lineitem)")
 def hash_shuffle_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.splits import hash_split
 
@@ -271,12 +271,15 @@ def hash_shuffle_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH g AS (SELECT p, s FROM (SELECT p_partkey AS p FROM part), (SELECT s_suppkey AS s FROM supplier)), v AS (SELECT l_partkey AS p, l_suppkey AS s, avg(l_quantity) AS value FROM lineitem GROUP BY ALL) SELECT p, s, round(coalesce(value, 0), 6) AS value FROM g LEFT JOIN v USING (p, s)")
 def dense_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Values scattered into a dense grid; what has none is 0. Each row is laid out along the dense axis, a range of numbers."""
+    """Values scattered into a dense grid; what has none is 0. Rows meet their few values, as a map by unit, and are laid out along the dense
+    axis, a range of numbers, only after that."""
     low, high = table(spark, sf_dir, "supplier").agg(F.min("s_suppkey"), F.max("s_suppkey")).first()
+    values = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p"), F.col("l_suppkey").cast("long").alias("s")).agg(F.avg("l_quantity").alias("value"))
+    held = values.groupBy("p").agg(F.map_from_entries(F.collect_list(F.struct("s", "value"))).alias("held"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("p")).join(held, "p", "left")
     axis = F.sequence(F.lit(low).cast("long"), F.lit(high).cast("long"))
-    grid = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("p"), F.explode(axis).alias("s"))
-    values = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s")).agg(F.avg("l_quantity").alias("value"))
-    return r6(grid.join(values, ["p", "s"], "left").withColumn("value", F.coalesce("value", F.lit(0.0))))
+    laid = rows.withColumn("s", F.explode(axis))
+    return r6(laid.select("p", "s", F.coalesce(F.try_element_at("held", F.col("s")), F.lit(0.0)).alias("value")))
 
 
 @query(f"WITH {MEASUREMENTS} SELECT session, round(avg(a), 6) AS value FROM (SELECT session, unit, avg(measured) AS a FROM m GROUP BY ALL) GROUP BY session")

@@ -45,16 +45,6 @@ def word_key(word: bytes) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-class WordKeys(dict):
-    """Hashes of words, remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= FLUSH_WORDS:
-            self.clear()
-        self[word] = h = word_key(word)
-        return h
-
-
 class WordPlaces(dict):
     """Places of words in a sorted array of their hashes, one beyond its end for those that aren't there; remembered."""
 
@@ -71,15 +61,15 @@ class WordPlaces(dict):
 
 def gram_keys(lines: list[bytes]) -> np.ndarray:
     """The ORDER-grams that end at each byte of each line and at its closing newline, as integers; newlines stand before."""
-    x = np.frombuffer(b"".join(b"\n" * (ORDER - 1) + s + b"\n" for s in lines), np.uint8).astype(np.int64)
-    key = np.zeros(len(x) - ORDER + 1, np.int64)
-    for k in range(ORDER):
-        key = key << 8 | x[k : len(x) - ORDER + 1 + k]
-    keep = np.ones(len(x), bool)
+    text = b"".join(b"\n" * (ORDER - 1) + s + b"\n" for s in lines)
+    n = max(0, len(text) - ORDER + 1)
+    # Eight bytes from each place on, read as one number, of which the first ORDER stay.
+    key = (np.ndarray((n,), ">u8", text + bytes(8), 0, (1,)).astype(np.uint64) >> np.uint64(8 * (8 - ORDER))).astype(np.int64)
+    keep = np.ones(len(text), bool)
     ends = np.cumsum([len(s) + ORDER for s in lines])
     for k in range(1, ORDER):  # windows that reach into the next line
         keep[ends - k] = False
-    return key[keep[: len(key)]]
+    return key[keep[:n]]
 
 
 def _mask(k: int) -> int:
@@ -91,19 +81,33 @@ def _sum_keys(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, n
     return keys, np.bincount(where, np.concatenate([n for _, n in parts])).astype(np.int64)
 
 
+def shorter(grams: np.ndarray, k: int) -> np.ndarray:
+    """The sorted (k - 1)-grams of all sorted k-grams of some lines, that of newlines among them.
+
+    All but those that close a line are beginnings of k-grams, whose order they keep; so only the few that close one are sorted anew.
+    """
+    first = grams >> 8
+    first = first[np.concatenate(([True], first[1:] != first[:-1]))[: len(first)]]
+    newlines = int.from_bytes(b"\n" * (k - 1), "big")
+    last = np.unique(np.append(grams[(grams & 255) == 10] & _mask(k - 1), newlines))
+    at = np.searchsorted(first, last)
+    new = np.ones(len(last), bool)
+    new[at < len(first)] = first[at[at < len(first)]] != last[at < len(first)]
+    return np.insert(first, at[new], last[new])
+
+
 class Gathered:
     """Words and ORDER-grams of texts with their counts, in bounded memory."""
 
     def __init__(self) -> None:
         self.words: Counter = Counter()
-        self.keys = WordKeys()
         self.lines: list[bytes] = []
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
         self.size = self.n_lines = 0
 
     def add(self, text: bytes) -> None:
         w = words_of(text)
-        self.words.update(map(self.keys.__getitem__, w))
+        self.words.update(w)
         self.lines.append(b" ".join(w))
         self.n_lines += 1
         self.size += len(self.lines[-1]) + ORDER
@@ -124,7 +128,7 @@ class Gathered:
         """Words, their counts, ORDER-grams, their counts, number of texts; starts afresh."""
         self._pack()
         grams, n = _sum_keys(self.parts) if self.parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        words = np.fromiter(self.words, np.int64, len(self.words))
+        words = np.fromiter(map(word_key, self.words), np.int64, len(self.words))
         counts = np.fromiter(self.words.values(), np.int64, len(self.words))
         lines = self.n_lines
         self.words, self.parts, self.n_lines = Counter(), [], 0
@@ -334,10 +338,9 @@ def asked(blocks: DataFrame) -> DataFrame:
             words, _, grams, _, _ = found.take()
             kinds, keys = [np.full(len(words), WORD)], [words]
             for k in range(ORDER, 0, -1):
-                grams = np.unique(grams & _mask(k))
-                newlines = [int.from_bytes(b"\n" * k, "big")] if k < ORDER else []
-                keys.append(np.union1d(grams, np.array(newlines, np.int64)))
-                kinds.append(np.full(len(keys[-1]), k))
+                keys.append(grams)
+                kinds.append(np.full(len(grams), k))
+                grams = shorter(grams, k)
             key = np.concatenate(keys)
             return pa.record_batch([pa.array(np.full(len(key), now)), pa.array(np.concatenate(kinds).astype(np.int8)), pa.array(key)], ["block", "k", "key"])
 

@@ -1,7 +1,7 @@
 """Search over receptive-field candidates and ridge penalties per unit, and predictions by each unit's own best.
 
 The maps are read once: tasks pool them through every candidate and add up Gram blocks, keyed by candidate and block of units. Executors solve
-each (candidate, penalty) from its Gram block; of each unit only the losses travel to find its best, then the winners' weights are solved
+each candidate's Gram block for all penalties from one symmetric decomposition; of each unit only the losses travel to find its best, then the winners' weights are solved
 again. Candidates times pixels are the search's own configuration and are sent to tasks once.
 """
 
@@ -103,13 +103,12 @@ def solved(sums: DataFrame, p: int, penalties: list[float], zscore: bool, full:
                     t[0, 1:], t[range(1, p), range(1, p)] = -mean / sd, 1 / sd
                 g, h, gy, hy = t.T @ g @ t, t.T @ h @ t, t.T @ gy, t.T @ hy
                 losses, betas = [], []
+                values, vectors = np.linalg.eigh(g)  # once for all penalties
+                turned = vectors.T @ gy
                 for penalty in penalties:
-                    a = g + penalty * np.eye(p)
-                    try:
-                        low = np.linalg.cholesky(a)
-                        beta = np.linalg.solve(low.T, np.linalg.solve(low, gy))
-                    except np.linalg.LinAlgError:  # without a penalty features may depend on each other
-                        beta = np.linalg.lstsq(a, gy, rcond=None)[0]
+                    d = values + penalty
+                    there = d > 1e-13 * np.abs(d).max()  # without a penalty features may depend on each other
+                    beta = vectors[:, there] @ (turned[there] / d[there, None])
                     losses.append(yy - 2 * (beta * hy).sum(axis=0) + (beta * (h @ beta)).sum(axis=0))
                     betas.append(beta)
                 losses = np.array(losses)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import gaussians, series, surfaces
+from ..operators import gaussians, images, scalp, series, surfaces
 from ..sources.tables import RECORDING, recording, table, vectors
 from .responses import r6
 
@@ -88,3 +89,27 @@ def volume_to_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {VOLUME} SELECT unit, round(value, 6) AS value FROM v LEFT JOIN c ON i = floor(x + 0.5) AND j = floor(y + 0.5) AND k = floor(z + 0.5)")
 def nearest_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(surfaces.sample_volume(*_volume(spark, sf_dir), ["unit"], method="nearest"))
+
+
+@query()
+def source_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector as the potentials of 64 electrodes, evenly spread on a sphere by the golden angle."""
+    n = np.arange(64)
+    z, turn = 1 - (2 * n + 1) / 64, n * np.pi * (3 - 5**0.5)
+    at = np.column_stack([np.sqrt(1 - z * z) * np.cos(turn), np.sqrt(1 - z * z) * np.sin(turn), z])
+    c = scalp.current_source_density(vectors(spark, sf_dir), ["stim"], "x", at)
+    return r6(c.select("stim", F.posexplode("values").alias("electrode", "value")))
+
+
+#: The middle 6 of 8 rows and 6 columns, seen as 4 by 4: each new pixel takes old ones by a triangle of 1.5 pixels.
+CROPPED = "i AS (SELECT vec_id AS stim, k // 12 AS y, k // 2 % 6 AS x, k % 2 AS channel, embedding[k % 64 + 1]::DOUBLE AS value FROM embeddings, (SELECT unnest(range(0, 96)) AS k)), t AS (SELECT o, s, greatest(1 - abs(s + 0.5 - (o + 0.5) * 1.5) / 1.5::DOUBLE, 0) AS w FROM (SELECT unnest(range(0, 4)) AS o), (SELECT unnest(range(0, 6)) AS s)), w AS (SELECT o, s, w / sum(w) OVER (PARTITION BY o) AS w FROM t)"
+
+
+@query(f"WITH {CROPPED} SELECT stim, channel, a.o AS y, b.o AS x, round((sum(value * a.w * b.w) / 2 - 0.1 * (channel + 1)) / (channel + 1), 6) AS value FROM i JOIN w a ON a.s = i.y - 1 JOIN w b ON b.s = i.x GROUP BY stim, channel, a.o, b.o")
+def image_prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of 8 by 6 pixels and two channels out of each vector, their middle square resized and scaled."""
+    v = vectors(spark, sf_dir)
+    own = v.select("stim", F.lit(8).alias("h"), F.lit(6).alias("w"), F.concat("x", F.slice("x", 1, 32)).alias("image"))
+    p = images.prepared(own, ["stim"], "image", "h", "w", 2, 4, divide=2.0, mean=(0.1, 0.2), scale=(1.0, 2.0))
+    out = p.select("stim", F.posexplode("values").alias("k", "value"))
+    return r6(out.select("stim", F.floor(F.col("k") / 16).alias("channel"), F.floor(F.col("k") / 4 % 4).alias("y"), (F.col("k") % 4).alias("x"), "value"))

@@ -2,35 +2,14 @@
 
 from __future__ import annotations
 
-import io
 import os
-from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import ResourceError
 from .catalog import Card
-
-
-def read_npy(spark: SparkSession, path: str) -> DataFrame:
-    """Matrices in .npy files (a path or glob) to (file, row, values): a row per first index, the rest flattened.
-
-    Files are read by Spark's binary source and decoded on the executors, without pickle.
-    """
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for name, content in zip(b["path"], b["content"]):
-                a = np.load(io.BytesIO(content), allow_pickle=False)
-                a = a.reshape(len(a), -1) if a.ndim else a.reshape(1, 1)
-                for at in range(0, len(a), 1000):
-                    part = a[at : at + 1000].astype(float)
-                    yield pd.DataFrame({"file": name, "row": range(at, at + len(part)), "values": list(part)})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(rows, "file string, row long, values array<double>")
+from .npy import read_npy
 
 
 def to_long(wide: DataFrame, keys: list[str], values: str = "values", unit: str = "unit") -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from stimulake.errors import InvalidParameterError
-from stimulake.operators import gaussians, series, surfaces
+from stimulake.operators import gaussians, images, scalp, series, surfaces
 
 
 def frame(spark, x, start=0, channel="a"):
@@ -128,3 +128,66 @@ def test_volume_edges(spark):
     assert surfaces.sample_volume(vertices, cells.limit(0), ["unit"]).where("value IS NOT NULL").count() == 0
     with pytest.raises(InvalidParameterError):
         surfaces.sample_volume(vertices, cells, ["unit"], method="cubic")
+
+
+def plain_resize(image, height, width):
+    """Pixel by pixel: a triangle as wide as the step, or a pixel, around each new pixel's middle."""
+    out = np.zeros((height, width, image.shape[2]))
+    for i in range(height):
+        for j in range(width):
+            total = 0.0
+            for y in range(image.shape[0]):
+                for x in range(image.shape[1]):
+                    sy, sx = max(image.shape[0] / height, 1), max(image.shape[1] / width, 1)
+                    w = max(0, 1 - abs(y + 0.5 - (i + 0.5) * image.shape[0] / height) / sy) * max(0, 1 - abs(x + 0.5 - (j + 0.5) * image.shape[1] / width) / sx)
+                    total += w
+                    out[i, j] += w * image[y, x]
+            out[i, j] /= total
+    return out
+
+
+def test_resize_against_a_plain_loop(monkeypatch):
+    rng = np.random.default_rng(7)
+    for (h, w), (height, width) in (((9, 7), (4, 5)), ((5, 6), (11, 13)), ((1, 1), (3, 2)), ((8, 8), (8, 8)), ((17, 3), (2, 9))):
+        image = rng.normal(size=(h, w, 3))
+        expect = plain_resize(image, height, width)
+        assert np.allclose(images.resize(image, height, width), expect)
+        monkeypatch.setattr(images, "HELD", 1)  # a row at a time
+        assert np.allclose(images.resize(image, height, width), expect)
+        monkeypatch.undo()
+    assert np.allclose(images.resize(np.array([[[0.0]], [[4.0]]]), 4, 1, antialias=False).ravel(), [0, 1, 3, 4])
+
+
+def test_images_prepared(spark):
+    rng = np.random.default_rng(8)
+    a = rng.integers(0, 256, size=(9, 6, 3))
+    rows = [(1, 9, 6, a.ravel().tolist()), (2, 6, 9, a.ravel().tolist()), (3, 2, 2, None)]
+    df = spark.createDataFrame(rows, "k long, h int, w int, image array<int>")
+    got = {r["k"]: np.array(r["values"]).reshape(3, 4, 4) for r in images.prepared(df, ["k"], "image", "h", "w", 3, 4, mean=(0.5, 0.4, 0.3), scale=(0.2, 0.3, 0.4)).collect()}
+    squares = {1: a[2:8], 2: a.reshape(6, 9, 3)[:, 2:8]}
+    assert set(got) == {1, 2}
+    for k, square in squares.items():
+        expect = (plain_resize(square, 4, 4) / 255 - [0.5, 0.4, 0.3]) / [0.2, 0.3, 0.4]
+        assert np.allclose(got[k], expect.transpose(2, 0, 1))
+    bad = spark.createDataFrame([(5, 2, 3, [1] * 17)], "k long, h int, w int, image array<int>")
+    with pytest.raises(Exception, match="not 2 by 3 by 3"):
+        images.prepared(bad, ["k"], "image", "h", "w", 3, 4).collect()
+    with pytest.raises(InvalidParameterError):
+        images.prepared(df, ["k"], "image", "h", "w", 3, 0)
+
+
+def test_density_of_a_known_potential(spark):
+    """Spherical harmonics of degree n have the Laplacian -n(n + 1) of themselves; the mean goes."""
+    n = np.arange(256)
+    z, turn = 1 - (2 * n + 1) / 256, n * np.pi * (3 - 5**0.5)
+    at = np.column_stack([np.sqrt(1 - z * z) * np.cos(turn), np.sqrt(1 - z * z) * np.sin(turn), z])
+    waves = {1: at[:, 0], 2: 1.5 * at[:, 2] ** 2 - 0.5, 3: at[:, 0] * at[:, 1] * at[:, 2]}
+    df = spark.createDataFrame([(k, (5 + v).tolist()) for k, v in waves.items()] + [(9, None), (10, [None] + [1.0] * 255)], "k long, x array<double>").repartition(2)
+    got = {r["k"]: r["values"] for r in scalp.current_source_density(df, ["k"], "x", at * 3, regular=1e-12).collect()}
+    for k, v in waves.items():
+        assert np.allclose(got[k], k * (k + 1) * v, atol=2e-2 * k * (k + 1) * np.abs(v).max())
+    assert 9 not in got and all(v is None for v in got[10])
+    assert np.allclose(scalp.csd_matrix(at, radius=2.0) * 4, scalp.csd_matrix(at)) and np.allclose(scalp.csd_matrix(at) @ np.ones(256), 0, atol=1e-6)
+    for bad in (np.zeros((0, 3)), np.zeros((2, 3)), at[:, :2]):
+        with pytest.raises(InvalidParameterError):
+            scalp.csd_matrix(bad)

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stimulake.errors import ResourceError
-from stimulake.sources import formats
+from stimulake.sources import formats, npy
 from stimulake.streaming.moments import windowed_moments
 
 SF = "/root/testdata/sf0.001"
@@ -70,3 +70,61 @@ def test_readers_by_extension(spark, tmp_path):
     for name in ("g.mat", "npy", "dir.npy/x"):
         with pytest.raises(ResourceError):
             formats.read_by_extension(spark, str(tmp_path / name))
+
+
+def test_npy_reads_only_what_is_asked_for(spark, tmp_path):
+    """Ten rows of a sparse file of 3 GB, which would not fit a cell; then ranges of columns, several files, and types."""
+    width, rows = 1500, 250_000
+    with open(tmp_path / "big.npy", "wb") as f:
+        np.lib.format.write_array_header_1_0(f, {"descr": "<f8", "fortran_order": False, "shape": (rows, 30, 50)})
+        start = f.tell()
+        for row in (0, 7, rows - 1):
+            f.seek(start + row * width * 8)
+            f.write(np.full(width, row + 0.5).tobytes())
+    df = npy.read_npy(spark, str(tmp_path / "big.npy"), columns=(10, 14))
+    got = {r["row"]: r["values"] for r in df.where(F.col("row").isin(0, 7, rows - 1, rows)).collect()}
+    assert got == {0: [0.5] * 4, 7: [7.5] * 4, rows - 1: [rows - 0.5] * 4}
+    whole = npy.read_npy(spark, str(tmp_path / "big.npy")).where("row >= 3 AND row < 9 AND row <> 5")
+    assert sorted((r["row"], len(r["values"])) for r in whole.collect()) == [(r, width) for r in (3, 4, 6, 7, 8)]
+    assert whole.where("row = 100").count() == 0
+
+
+def test_npy_partitions_types_and_errors(spark, tmp_path):
+    reader = npy.NpyReader({"path": str(tmp_path), "partitionbytes": "64"})
+    a = np.arange(40, dtype=np.int16).reshape(10, 4)
+    np.save(tmp_path / "a.npy", a)
+    np.save(tmp_path / "b.npy", a[:0])
+    np.save(tmp_path / "c.npy", np.float32(3))
+    list(reader.pushFilters([]))
+    parts = reader.partitions()
+    assert [p.runs for p in parts] == [[(0, 8)], [(8, 10)], [(0, 1)]]
+    assert [b.num_rows for p in parts for b in reader.read(p)] == [8, 2, 1]
+    got = sorted((r["file"].rsplit("/", 1)[1], r["row"], r["values"]) for r in npy.read_npy(spark, str(tmp_path), partition_bytes=10).collect())
+    assert got == [("a.npy", i, a[i].tolist()) for i in range(10)] + [("c.npy", 0, [3.0])]
+    np.save(tmp_path / "f.npy", np.asfortranarray(np.ones((3, 2))))
+    with pytest.raises(Exception, match="by columns"):
+        npy.read_npy(spark, str(tmp_path / "f.npy")).collect()
+    with pytest.raises(Exception, match="no array files"):
+        npy.read_npy(spark, str(tmp_path / "none*.npy")).collect()
+    (tmp_path / "x.npy").write_bytes(b"no array")
+    with pytest.raises(ResourceError):
+        npy.Header.of(str(tmp_path / "x.npy"))
+
+
+def test_npy_written_parts(spark, tmp_path):
+    a = np.random.default_rng(3).normal(size=(50, 3))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(a)], "row long, values array<double>").repartitionByRange(4, "row")
+    out = str(tmp_path / "out")
+    npy.write_npy(df, out)
+    parts = sorted((tmp_path / "out").glob("part-*.npy"))
+    assert len(parts) == 4 and not list((tmp_path / "out").glob(".*"))
+    rows = np.concatenate([np.load(p.with_suffix(".index")) for p in parts])
+    assert sorted(rows) == list(range(50)) and np.array_equal(np.vstack([np.load(p) for p in parts])[np.argsort(rows)], a)
+    with pytest.raises(Exception, match="already"):
+        npy.write_npy(df, out)
+    ragged = spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "row long, values array<double>").coalesce(1)
+    with pytest.raises(Exception, match="same length"):
+        npy.write_npy(ragged, str(tmp_path / "bad"))
+    assert not list((tmp_path / "bad").glob("part*"))
+    npy.write_npy(df.limit(2), out, mode="overwrite")
+    assert npy.read_npy(spark, out).count() == 2

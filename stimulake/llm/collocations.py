@@ -374,7 +374,7 @@ def _score(a: str, left: str, right: str) -> Column:
     return F.expr(f"({w(a)} * {w(a)} * cast(1000000 as decimal(7,0))) div ({w(left)} * {w(right)})")
 
 
-def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 10, share: int = 50, top: int = 2000, bits: int = 11, chunk_words: int = 1 << 19, split: int = 1 << 24) -> DataFrame:
+def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 10, share: int = 50, top: int = 2000, bits: int = 11, chunk_words: int = 1 << 19, split: int = 1 << 22) -> DataFrame:
     """The first ``top`` phrases of two or three words of each language: lang, rank, phrase, a, l, r, n, score.
 
     a is a phrase's number of occurrences inside pieces (``least`` or more), l and r those of its parts at the cut that scores

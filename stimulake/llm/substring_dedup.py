@@ -233,7 +233,7 @@ def dedup_units(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
     here = F.when((F.col("rank") == F.col("rank0")) & (F.shiftright("at", 32) == F.shiftright("at0", 32)), place("at0"))
     told = again.where(is_anchor).join(near, ["rank0", "at0"]).select("rank", "at", "beside", here.alias("here"))
     told = told.unionByName(again.where(~is_anchor).select("rank", "at", F.lit(None).cast("binary").alias("beside"), F.lit(None).cast("long").alias("here")))
-    told = told.select("rank", t("at"), F.struct(place("at").alias("place"), "beside", "here").alias("unit")).groupBy("rank", "t").agg(F.collect_list("unit").alias("found"))
+    told = told.select("rank", t("at"), F.struct(place("at").alias("place"), "beside", "here").alias("unit")).groupBy("rank", "t").agg(F.collect_set("unit").alias("found"))  # a set, as repeated rows say the same
     kept = d.join(told, ["rank", "t"], "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,9 +241,8 @@ def dedup_units(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
         for batch in batches:
             out: list[list] = [[], [], [], []]
             for doc_id, text_, found in zip(*(c.to_pylist() for c in batch.columns)):
-                units_ = {u["place"]: u for u in found or ()}  # repeated rows give a unit more than once
-                spans = merged(spans_of(text_, list(units_.values()))) if units_ else []
-                for column, v in zip(out, (doc_id, len(units_), [{"start": a, "end": b} for a, b in spans], without(text_, spans))):
+                spans = merged(spans_of(text_, found)) if found else []
+                for column, v in zip(out, (doc_id, len(found or ()), [{"start": a, "end": b} for a, b in spans], without(text_, spans))):
                     column.append(v)
             yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], span), pa.array(out[3], pa.string())], ["doc_id", "n_removed", "removed", "text"])
 

@@ -19,8 +19,8 @@ BUCKET_DAYS = 32
 
 
 def host_of(url: Column) -> Column:
-    """Lower-cased host of a URL without user, port and trailing dot; null if there is none."""
-    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1))
+    """Lower-cased host of a URL without user, port and trailing dot, a numeric one with its brackets; null if there is none."""
+    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:@]+)", 1))
     host = F.rtrim(host, F.lit("."))
     return F.when(host != "", host)
 
@@ -28,7 +28,7 @@ def host_of(url: Column) -> Column:
 def patterns_of(url: Column) -> Column:
     """The patterns that can match a URL: each suffix of the host with two labels or more, and the host with one or more segments of its path."""
     host = host_of(url)
-    labels = F.split(host, r"\.")
+    labels = F.when(host.startswith("["), F.array(host)).otherwise(F.split(host, r"\."))
     suffixes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     segments = F.split(F.regexp_extract(url, r"^[^/]*//[^/?#]*/([^?#]*)", 1), "/")
     paths = F.transform(segments, lambda x, i: F.when(x != "", F.concat_ws("/", host, F.array_join(F.slice(segments, F.lit(1), i + 1), "/"))))
@@ -58,10 +58,11 @@ def filter_urls(captures: DataFrame, entries: DataFrame, id_col: str = "page_id"
     """
     day = F.col(day_col).cast("date")
     cap = captures.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), day.alias("fetch_day"))
-    last = F.lit(cap.agg(F.max("fetch_day")).first()[0]).cast("date")
+    first, last = (F.lit(x).cast("date") for x in cap.agg(F.min("fetch_day"), F.max("fetch_day")).first())
     bucket = lambda d: F.floor(F.unix_date(d) / BUCKET_DAYS).cast("int")
-    spans = intervals(entries).where(F.col("valid_from") <= last)
-    spans = spans.withColumn("bucket", F.explode(F.sequence(bucket(F.col("valid_from")), bucket(F.least(F.date_sub("valid_to", 1), last)))))
+    # Only buckets from the first capture to the last, however old an entry is.
+    spans = intervals(entries).where((F.col("valid_from") <= last) & (F.col("valid_to").isNull() | (F.col("valid_to") > first)))
+    spans = spans.withColumn("bucket", F.explode(F.sequence(bucket(F.greatest("valid_from", first)), bucket(F.least(F.date_sub("valid_to", 1), last)))))
     # The capture itself comes as a candidate that no entry has, so that none is lost and copies can be counted.
     own = F.array(F.concat(F.lit("//"), F.coalesce("url", F.lit(""))))
     wanted = cap.withColumn("bucket", bucket(F.col("fetch_day"))).withColumn("candidate", F.explode(F.concat(own, patterns_of(F.col("url")))))
@@ -101,7 +102,7 @@ def page_entries(pages: DataFrame) -> DataFrame:
 
 ORACLE = r"""
 WITH cap AS (SELECT row_number() OVER () AS r, page_id, url, DATE '2024-01-01' + (page_id % 366)::INT AS fetch_day,
-    nullif(rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '.'), '') AS host,
+    nullif(rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:@]+)', 1)), '.'), '') AS host,
     string_split(regexp_extract(url, '^[^/]*//[^/?#]*/([^?#]*)', 1), '/') AS segs FROM pages),
 paths AS (SELECT r, fetch_day, host || '/' || array_to_string(segs[1:i], '/') AS p, row_number() OVER (PARTITION BY r ORDER BY i) AS nth
   FROM (SELECT r, fetch_day, host, segs, unnest(range(1, len(segs) + 1)) AS i FROM cap WHERE host IS NOT NULL) WHERE segs[i] <> ''),
@@ -114,7 +115,7 @@ e AS (SELECT pattern, 'block' AS action, DATE '2024-01-01' + h % 200 AS day FROM
   UNION ALL VALUES ('casino-win.example.org', 'block', DATE '2023-06-01'), ('spam-farm.example.org', 'block', DATE '2024-03-01')),
 g AS (SELECT pattern, day, min(action) AS action FROM e GROUP BY pattern, day),
 iv AS (SELECT pattern, action, day AS valid_from, lead(day) OVER (PARTITION BY pattern ORDER BY day) AS valid_to FROM g),
-cand AS (SELECT r, fetch_day, unnest(list_transform(range(1, greatest(len(string_split(host, '.')), 2)), lambda i: array_to_string(string_split(host, '.')[i:], '.'))) AS p FROM cap WHERE host IS NOT NULL
+cand AS (SELECT r, fetch_day, unnest(CASE WHEN host LIKE '[%' THEN [host] ELSE list_transform(range(1, greatest(len(string_split(host, '.')), 2)), lambda i: array_to_string(string_split(host, '.')[i:], '.')) END) AS p FROM cap WHERE host IS NOT NULL
   UNION ALL SELECT r, fetch_day, p FROM paths),
 hit AS (SELECT r, pattern, action, valid_from, row_number() OVER (PARTITION BY r ORDER BY length(pattern) DESC, pattern DESC) AS n
   FROM cand JOIN iv ON p = pattern AND fetch_day >= valid_from AND (valid_to IS NULL OR fetch_day < valid_to))

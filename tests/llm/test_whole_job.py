@@ -1,10 +1,12 @@
 """Cases that operators once left out."""
 
 import random
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
-from stimulake.llm import language_id, secret_scan, substring_dedup
+from stimulake.llm import language_id, secret_scan, substring_dedup, url_filter
 
 # ---- language identification with many families ----
 
@@ -51,3 +53,24 @@ def test_short_lines_and_heads_are_removed(spark):
     assert rows[0].split("\n") == texts[0]
     for i in (1, 2):
         assert rows[i].replace("\n", "") == texts[i][0] + texts[i][-1]
+
+
+# ---- repeated rows, numeric hosts, old entries ----
+
+
+def test_many_equal_rows_are_deduplicated_in_linear_time(spark):
+    """3,000 rows of one null id and one text of 200 lines, each line twice: once 3,000 times the units, not 3,000 times that."""
+    text = "\n".join(f"line {k} of the same page" for k in range(100)) * 2
+    docs = spark.range(3000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "id AS other").withColumn("text", F.lit(text)).repartition(8)
+    began = time.monotonic()
+    rows = substring_dedup.dedup_units(docs).groupBy("n_removed", "text").count().collect()
+    assert time.monotonic() - began < 90
+    assert len(rows) == 1 and rows[0]["count"] == 3000 and rows[0]["n_removed"] >= 99 and rows[0]["text"].count("line 7 of") == 1
+
+
+def test_numeric_hosts_and_old_entries(spark):
+    rows = [(1, "http://[2001:DB8::1]:80/x", "2024-03-01"), (2, "http://[2001:dead::9]/y", "2024-03-01"), (3, "http://u@[::ffff:1.2.3.4]/z/w", "2024-03-05")]
+    captures = spark.createDataFrame(rows, "page_id long, url string, fetch_day string")
+    entries = spark.createDataFrame([("[2001:db8::1]", "block", "0001-01-01"), ("3.4]", "block", "2020-01-01"), ("[::ffff:1.2.3.4]/z", "block", "2024-03-02"), ("[2001:dead::9]", "block", "0001-01-01"), ("[2001:dead::9]", "allow", "2024-03-01")], "pattern string, action string, day string")
+    got = {r["page_id"]: (r["host"], r["pattern"], r["blocked"]) for r in url_filter.filter_urls(captures, entries).collect()}
+    assert got == {1: ("[2001:db8::1]", "[2001:db8::1]", True), 2: ("[2001:dead::9]", "[2001:dead::9]", False), 3: ("[::ffff:1.2.3.4]", "[::ffff:1.2.3.4]/z", True)}

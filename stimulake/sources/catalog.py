@@ -28,6 +28,8 @@ class Card:
     selection_keys: tuple[str, ...] = ()
     #: (subject, selection) to the function that mapInPandas gets, and the schema of its rows.
     encoder: Callable[[Any, dict], tuple[Encoder, str]] | None = None
+    #: Called with the plug-in when a model that made one is closed.
+    cleanup: Callable[[tuple[Encoder, str]], None] | None = None
 
 
 class Catalog:
@@ -75,7 +77,8 @@ class Catalog:
 
 @dataclass(frozen=True)
 class Model:
-    """A model with its subject and selection checked once; its plug-in is made when stimuli are first encoded, and kept."""
+    """A model with its subject and selection checked once; its plug-in is made when stimuli are first encoded, and kept until the model is
+    closed, by ``close`` or at the end of a ``with`` block. A closed model makes a new one if it is used again."""
 
     card: Card
     subject: Any
@@ -92,6 +95,17 @@ class Model:
         function, schema = self._plug_in
         return stimuli.mapInPandas(function, schema)
 
+    def close(self) -> None:
+        plug_in = self.__dict__.pop("_plug_in", None)
+        if plug_in is not None and self.card.cleanup:
+            self.card.cleanup(plug_in)
+
+    def __enter__(self) -> Model:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
     def metadata(self) -> dict[str, Any]:
         """What is known of the responses; nothing is loaded."""
         return {"model_id": self.card.model_id, "modality": self.card.modality, "dataset": self.card.dataset, "subject": self.subject, "selection": self.selection}

@@ -324,3 +324,20 @@ def test_groups_without_units_and_a_model_bound_once(spark):
     assert [r["r"] for r in model.accuracy(scores).collect()] == [0.5]
     with pytest.raises(InvalidParameterError):
         c.model("m", 2)
+
+
+def test_models_are_closed(spark):
+    made, gone = [], []
+    card = Card("m", "fmri", "d", encoder=lambda subject, selection: (made.append(subject) or (lambda batches: batches), "k long"), cleanup=gone.append)
+    catalog = Catalog()
+    catalog.register(card)
+    with catalog.model("m", 1) as model:
+        assert model.metadata()["subject"] == 1 and not made
+        assert [r["k"] for r in model.encode(spark.createDataFrame([(5,)], "k long")).collect()] == [5]
+        model.encode(spark.range(1))
+    assert made == [1] and len(gone) == 1
+    model.close()
+    assert len(gone) == 1
+    with catalog.model("m", 2):
+        pass
+    assert made == [1]

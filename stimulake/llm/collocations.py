@@ -24,7 +24,7 @@ from ._common import materialize
 #: Lower case, one separator of words and one of pieces.
 PLAIN = bytes(c + 32 if 65 <= c <= 90 else 10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
 #: Bytes of text that are split at once, words that all chunks of a task hold together, and entries of a tile held before they are summed.
-PIECE, HELD_WORDS, HELD_CELLS = 1 << 20, 1 << 21, 1 << 23
+PIECE, HELD_WORDS, HELD_CELLS = 1 << 20, 1 << 21, 1 << 22
 MOST_SPLIT_TILES = 10_000
 CHUNKS = "chunk long, lang string, lead int, words array<binary>, counts array<long>, ids binary"
 TILES = "lang string, ti long, tj long, part int, n long, cells array<int>, counts array<long>"
@@ -199,7 +199,7 @@ def add_up(tiles: DataFrame, least: int, bits: int, always: int = 1 << 62) -> Da
         return cells[first], np.add.reduceat(counts, first)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, size = None, [], 0
+        now, held, size, summed = None, [], 0, 0
         done, ready = [], 0
 
         def close() -> None:
@@ -223,15 +223,15 @@ def add_up(tiles: DataFrame, least: int, bits: int, always: int = 1 << 62) -> Da
             for i, key in enumerate(keys):
                 if key != now:
                     close()
-                    now, held, size = key, [], 0
+                    now, held, size, summed = key, [], 0, 0
                     if ready > HELD_CELLS >> 3:
                         yield out()
                         done, ready = [], 0
                 held.append((cells[ends[i] : ends[i + 1]], counts[ends[i] : ends[i + 1]]))
                 size += int(ends[i + 1] - ends[i])
-                if size > HELD_CELLS:
+                if size > HELD_CELLS + summed:
                     held = [total(held)]
-                    size = len(held[0][0])
+                    size = summed = len(held[0][0])
         close()
         if done:
             yield out()

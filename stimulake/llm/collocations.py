@@ -24,7 +24,7 @@ from ._common import materialize
 #: Lower case, one separator of words and one of pieces.
 PLAIN = bytes(c + 32 if 65 <= c <= 90 else 10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
 #: Bytes of text that are split at once, words that all chunks of a task hold together, and entries of a tile held before they are summed.
-PIECE, HELD_WORDS, HELD_CELLS = 1 << 20, 1 << 21, 1 << 22
+PIECE, HELD_WORDS, HELD_CELLS = 1 << 20, 1 << 20, 1 << 22
 MOST_SPLIT_TILES = 10_000
 CHUNKS = "chunk long, lang string, lead int, words array<binary>, counts array<long>, ids binary"
 TILES = "lang string, ti long, tj long, part int, n long, cells array<int>, counts array<long>"
@@ -374,7 +374,7 @@ def _score(a: str, left: str, right: str) -> Column:
     return F.expr(f"({w(a)} * {w(a)} * cast(1000000 as decimal(7,0))) div ({w(left)} * {w(right)})")
 
 
-def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 10, share: int = 50, top: int = 2000, bits: int = 11, chunk_words: int = 1 << 19, split: int = 1 << 22) -> DataFrame:
+def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 10, share: int = 50, top: int = 2000, bits: int = 11, chunk_words: int = 1 << 18, split: int = 1 << 22) -> DataFrame:
     """The first ``top`` phrases of two or three words of each language: lang, rank, phrase, a, l, r, n, score.
 
     a is a phrase's number of occurrences inside pieces (``least`` or more), l and r those of its parts at the cut that scores

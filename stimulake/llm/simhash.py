@@ -2,10 +2,10 @@
 
 Texts become 64-bit fingerprints; equal ones collapse before anything is compared. The distinct fingerprints are partitioned by
 Hamming distance to vantage points: small trees, fitted on bounded samples, cut them into shards of bounded size, level after
-level, and a fingerprint within the link radius of a cut also goes to the shard beyond it, so every pair within the radius meets in a shard. There a local
-tree is walked with whole blocks of queries, branches that the triangle inequality excludes are skipped, and leaves compare
-exactly. A shard's queries are its own fingerprints only; those from beyond its cuts are there to be found. A shard returns a
-spanning forest of its links rather than all pairs; forests joined over all shards connect exactly what the links connect.
+level, and a fingerprint inside a cut and within the link radius of it also goes to the shard outside, so every pair within the radius meets in a
+shard. There a local tree is walked with whole blocks of queries, branches that the triangle inequality excludes are skipped, and leaves
+compare exactly. A shard returns a spanning forest of its links rather than all pairs; forests joined over all shards connect exactly
+what the links connect. Sizes and trees of large shards, one for each SHARD fingerprints or fewer, pass the driver; no table is joined with them.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import free_names, materialize
@@ -29,6 +29,8 @@ RADIUS = 2
 #: shards are cut further. A shard is some megabytes, so that a task has enough to do and few fingerprints lie on both sides of a cut.
 SAMPLE, SHARD = 20_000, 1 << 16
 DEPTH, ROUNDS = 6, 6
+#: Copies of a fingerprint that a cut leaves, about.
+COPIES = 1.2
 LEAF = 64
 
 
@@ -89,22 +91,24 @@ def grow(points: np.ndarray, depth: int, radius: int = RADIUS) -> list:
     return [int(s[0]), s[1], grow(points[inside], depth - 1, radius), grow(points[~inside], depth - 1, radius)]
 
 
-def route(tree: list, points: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each point each shard that its ball of the link radius touches: index of the point, shard, whether it is the point's own."""
+def route(tree: list, points: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """For each point its shard and those it is copied to: index of the point, shard.
+
+    Of a pair on both sides of a cut the inner point is within the radius of it; it alone is copied, and the pair meets outside.
+    """
     out, leaf = [], 0
 
-    def walk(node: list, at: np.ndarray, own: np.ndarray) -> None:
+    def walk(node: list, at: np.ndarray) -> None:
         nonlocal leaf
         if not node:
-            out.append((at, np.full(len(at), leaf, np.int32), own))
+            out.append((at, np.full(len(at), leaf, np.int64)))
             leaf += 1
             return
         d = np.bitwise_count(points[at] ^ np.uint64(node[0])).astype(np.int64)
-        a, b = d <= node[1] + radius, d > node[1] - radius
-        walk(node[2], at[a], own[a] & (d[a] <= node[1]))
-        walk(node[3], at[b], own[b] & (d[b] > node[1]))
+        walk(node[2], at[d <= node[1]])
+        walk(node[3], at[d > node[1] - radius])
 
-    walk(tree, np.arange(len(points)), np.ones(len(points), bool))
+    walk(tree, np.arange(len(points)))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -159,41 +163,45 @@ def link_all(points: np.ndarray, radius: int = RADIUS, own: np.ndarray | None =
     return forest
 
 
+def _sized(sizes: dict[int, int]) -> Column:
+    """The size of a large shard, 1 of another."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for e in sizes.items() for x in e]), F.col("shard")), F.lit(1)) if sizes else F.lit(1)
+
+
 def shards(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Distinct fingerprints (fp) to (shard, fp, own, n): every two within the radius meet in a shard that owns one of them; n is its size.
+    """Distinct fingerprints (fp) to (shard, fp, n): every two within the radius meet in a shard; n is its size if that is more than SHARD, else 1.
 
     Shards of more than SHARD are cut further, each by a tree of its own, fitted on about SAMPLE of its fingerprints in one task. What
     no tree can cut any more, or is still larger after ROUNDS, stays as it is.
     """
-    rows = materialize(fps.select(F.lit(0).cast("long").alias("shard"), "fp", F.lit(True).alias("own")), "simhash-shards")
+    rows = materialize(fps.select(F.lit(0).cast("long").alias("shard"), "fp"), "simhash-shards")
     done = None
     for level in range(ROUNDS + 1):
-        sizes = materialize(rows.groupBy("shard").agg(F.count("*").alias("n")), "simhash-sizes")
-        large = F.col("n") > SHARD
-        counted = rows.join(sizes, "shard")
-        if level == ROUNDS or sizes.where(large).isEmpty():
+        sizes = {r["shard"]: r["n"] for r in rows.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > SHARD).collect()}
+        counted = rows.withColumn("n", _sized(sizes).cast("long"))
+        if level == ROUNDS or not sizes:
             return counted if done is None else done.unionByName(counted)
-        left = counted.where(large)
         taken = F.pmod(F.xxhash64("fp", F.lit(level)), F.lit(1 << 40)) < F.lit(float(SAMPLE << 40)) / F.col("n")
 
         def fit(sample: pd.DataFrame) -> pd.DataFrame:
-            depth = min(DEPTH, int(np.ceil(np.log2(sample["n"].iloc[0] / SHARD))))
+            depth = min(DEPTH, int(np.ceil(np.log(sample["n"].iloc[0] / SHARD) / np.log(2 / COPIES))))
             tree = grow(np.sort(sample["fp"].to_numpy(np.int64).view(np.uint64)), depth, radius)
             return pd.DataFrame({"shard": sample["shard"].iloc[:1], "tree": json.dumps(tree)})
 
-        trees = materialize(left.where(taken).select("shard", "fp", "n").groupBy("shard").applyInPandas(fit, "shard long, tree string"), "simhash-trees")
-        cut = trees.where("tree <> '[]'")
+        fitted = counted.where((F.col("n") > SHARD) & taken).groupBy("shard").applyInPandas(fit, "shard long, tree string").collect()
+        cut = {r["shard"]: json.loads(r["tree"]) for r in fitted if r["tree"] != "[]"}
 
         def routed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                for (shard, tree), g in b.groupby(["shard", "tree"], sort=False):
+                for shard, g in b.groupby("shard", sort=False):
                     fp = g["fp"].to_numpy(np.int64)
-                    at, leaf, own = route(json.loads(tree), fp.view(np.uint64), radius)
-                    yield pd.DataFrame({"shard": (shard << DEPTH) + leaf + 1, "fp": fp[at], "own": own & g["own"].to_numpy(bool)[at]})
+                    at, leaf = route(cut[shard], fp.view(np.uint64), radius)
+                    yield pd.DataFrame({"shard": (shard << DEPTH) + leaf + 1, "fp": fp[at]})
 
-        rest = counted.join(cut, "shard", "left_anti")  # small ones, and those without a tree
+        here = F.col("shard").isin(list(cut))
+        rest = counted.where(~here)  # small ones, and those without a tree
         done = rest if done is None else done.unionByName(rest)
-        rows = materialize(left.join(cut, "shard").select("shard", "fp", "own", "tree").mapInPandas(routed, "shard long, fp long, own boolean"), "simhash-shards")
+        rows = materialize(rows.where(here).mapInPandas(routed, "shard long, fp long"), "simhash-shards")
     return done
 
 
@@ -204,11 +212,11 @@ def link_forest(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
 
     def linked(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.groupby("fp", as_index=False)["own"].max()  # sorted as signed, each fingerprint once
+        group = group.groupby("fp", as_index=False)["asks"].max()  # sorted as signed, each fingerprint once
         fp = group["fp"].to_numpy(np.int64).view(np.uint64)
         order = np.argsort(fp)
         fp = fp[order]
-        forest = link_all(fp, radius, group["own"].to_numpy(bool)[order])
+        forest = link_all(fp, radius, group["asks"].to_numpy(bool)[order])
         root = np.fromiter((forest.find(i) for i in range(len(fp))), np.int64, len(fp))
         child = np.arange(len(fp)) != root
         return pd.DataFrame({"a": fp[child].view(np.int64), "b": fp[root[child]].view(np.int64)})
@@ -216,10 +224,10 @@ def link_forest(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     blocks = F.ceil(F.col("n") / SHARD)
     block = F.pmod(F.xxhash64("fp"), blocks)
     every = F.sequence(F.lit(0).cast("long"), blocks - 1)
-    as_query = F.transform(every, lambda m: F.struct(block.alias("q"), m.alias("m"), F.col("own").alias("own")))
-    as_other = F.transform(every, lambda q: F.struct(q.alias("q"), block.alias("m"), F.lit(False).alias("own")))
-    roles = F.when(blocks <= 1, F.array(F.struct(block.alias("q"), block.alias("m"), F.col("own").alias("own")))).otherwise(F.concat(F.when(F.col("own"), as_query).otherwise(F.array().cast("array<struct<q:bigint,m:bigint,own:boolean>>")), as_other))
-    dealt = shards(fps, radius).select("shard", "fp", F.explode(roles).alias("r")).select("shard", "r.q", "r.m", "fp", "r.own")
+    as_query = F.transform(every, lambda m: F.struct(block.alias("q"), m.alias("m"), F.lit(True).alias("asks")))
+    as_other = F.transform(every, lambda q: F.struct(q.alias("q"), block.alias("m"), F.lit(False).alias("asks")))
+    roles = F.when(blocks <= 1, F.array(F.struct(block.alias("q"), block.alias("m"), F.lit(True).alias("asks")))).otherwise(F.concat(as_query, as_other))
+    dealt = shards(fps, radius).select("shard", "fp", F.explode(roles).alias("r")).select("shard", "r.q", "r.m", "fp", "r.asks")
     return dealt.groupBy("shard", "q", "m").applyInPandas(linked, "a long, b long")
 
 

@@ -500,6 +500,15 @@ def test_simhash_cuts_shards_again_and_works_off_what_no_tree_cuts(spark, monkey
     assert sorted(map(sorted, mine.values())) == sorted(map(sorted, theirs.values()))
 
 
+def test_simhash_shards_copy_few_and_join_nothing(spark, monkeypatch):
+    """Of a pair across a cut one side is copied, and no table of sizes or trees is joined with the fingerprints."""
+    monkeypatch.setattr(simhash, "SHARD", 250)
+    points = np.unique(np.random.default_rng(5).integers(0, 2**63, 4000, dtype=np.uint64)).view(np.int64)
+    laid = simhash.shards(spark.createDataFrame([(int(x),) for x in points], "fp long"))
+    assert laid.count() < 3.5 * len(points)
+    assert "Join" not in laid._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_components_of_a_long_chain(spark):
     n = 300
     links = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001)], "a long, b long")

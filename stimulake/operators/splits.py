@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import InvalidParameterError
+from .written import written
+
+#: Hexadecimal digits of a hash by which rows are counted.
+SLOT = 3
 
 
 def global_position(df: DataFrame, order: list[str], out: str = "pos", ranges: int | None = None) -> DataFrame:
@@ -55,13 +59,25 @@ def holdout(df: DataFrame, keys: list[str], order: list[str], h: int) -> DataFra
 
 def hash_split(df: DataFrame, key: str, share: float, seed: int) -> DataFrame:
     """The last rows in the order of their keys' hash are ``holdout``, exactly ceil(rows times share) of them: the same in every run, whatever
-    the partitions. Null keys count as one key; equal keys stand together, in any order."""
+    the partitions. Null keys count as one key; equal keys stand together, in any order.
+
+    Rows are counted by the first digits of the hash; only those of the digits where the cut falls are put in order.
+    """
     if not 0 < share < 1:
         raise InvalidParameterError("share must be between 0 and 1")
-    n = df.count()
-    hashed = df.withColumn("__hash", F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary")))
-    placed = global_position(hashed, ["__hash", key], "__pos")
-    return placed.withColumn("split", F.when(F.col("__pos") > n - math.ceil(n * share), "holdout").otherwise("train")).drop("__hash", "__pos")
+    hashed = written(df.withColumn("__hash", F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))), "hashed")
+    slot = F.substring("__hash", 1, SLOT)
+    sizes = sorted(tuple(r) for r in hashed.groupBy(slot).count().collect())  # 16 ** SLOT rows at most
+    n = sum(size for _, size in sizes)
+    first, before, cut = n - math.ceil(n * share), 0, None
+    for cut, size in sizes:
+        if before + size > first:
+            break
+        before += size
+    sure = hashed.where(slot != F.lit(cut)).withColumn("split", F.when(slot > F.lit(cut), "holdout").otherwise("train"))
+    placed = global_position(hashed.where(slot == F.lit(cut)), ["__hash", key], "__pos")
+    split = F.when(F.col("__pos") > first - before, "holdout").otherwise("train")
+    return sure.unionByName(placed.withColumn("split", split).drop("__pos")).drop("__hash")
 
 
 def repeat_split(stimuli: DataFrame, trials: DataFrame, key: str, shared: Column, repeats: int = 3) -> DataFrame:

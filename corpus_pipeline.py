@@ -20,7 +20,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (5-word Jaccard 0.8 or more) stays: that of the smallest id."""
+    """One document of each group of near copies (5-word Jaccard 0.8 or more) stays: that of the smallest id.
+
+    Operator 8 (fingerprints, vantage-point shards) links first, each link checked exactly; what it leaves apart is searched by min-hashes.
+    """
     return near_copies.keep_one(docs)
 
 

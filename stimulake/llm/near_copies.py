@@ -1,6 +1,10 @@
 """Near copies by exact Jaccard similarity of 5-word shingles, for the pipeline's near-dedup.
 
-Candidates come from min-hashes: BANDS keys of ROWS minima each, so two texts of similarity s share a key with a chance of
+First texts go through operator 8: SimHash fingerprints, vantage-point shards, links within simhash.RADIUS bits. Each such link holds if the
+exact similarity says so too. Copies of similarity 0.8 may differ in more bits than such trees can search, so what operator 8 leaves
+unconnected is searched further.
+
+Further candidates come from min-hashes: BANDS keys of ROWS minima each, so two texts of similarity s share a key with a chance of
 1 - (1 - s^ROWS)^BANDS: 0.999993 at 0.8. No candidate is linked before its similarity has been computed from the texts.
 
 Keys that many texts share are not paired in full. First each text is compared with one text of each of its keys. Texts of keys
@@ -88,15 +92,25 @@ def alike(a: set, b: set) -> bool:
 
 
 def _prints(d: DataFrame) -> DataFrame:
-    """(doc_id, t_hash, text binary) to (doc_id, t_hash, bands, sketch)."""
+    """(doc_id, t_hash, text binary) to (doc_id, t_hash, fp, bands, sketch); fp is operator 8's fingerprint."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            least = [minima(t or b"") for t in b.column(2).to_pylist()]
-            columns = [pa.array([keys_of(x) for x in least], pa.list_(pa.int64())), pa.array([sketch_of(x) for x in least], pa.binary())]
-            yield pa.record_batch([b.column(0), b.column(1), *columns], ["doc_id", "t_hash", "bands", "sketch"])
+            texts = [t or b"" for t in b.column(2).to_pylist()]
+            least = [minima(t) for t in texts]
+            fp = np.array([simhash.simhash(t) for t in texts], np.uint64).view(np.int64)
+            columns = [pa.array(fp), pa.array([keys_of(x) for x in least], pa.list_(pa.int64())), pa.array([sketch_of(x) for x in least], pa.binary())]
+            yield pa.record_batch([b.column(0), b.column(1), *columns], ["doc_id", "t_hash", "fp", "bands", "sketch"])
+
+    return d.mapInArrow(rows, "doc_id long, t_hash long, fp long, bands array<long>, sketch binary")
+
 
-    return d.mapInArrow(rows, "doc_id long, t_hash long, bands array<long>, sketch binary")
+def _within_bits(least: DataFrame) -> DataFrame:
+    """(t_hash, fp) to pairs (a, b) of text hashes that connect what operator 8 links: texts of one fingerprint, fingerprints within its radius."""
+    one = materialize(least.groupBy("fp").agg(F.min("t_hash").alias("one")), "near-fingerprints")
+    same = least.join(one, "fp").where("t_hash <> one").select(F.col("one").alias("a"), F.col("t_hash").alias("b"))
+    links = simhash.link_forest(one.select("fp")).join(one.toDF("a", "x"), "a").join(one.toDF("b", "y"), "b")
+    return same.unionByName(links.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
 
 
 def _verified(pairs: DataFrame, least: DataFrame, d: DataFrame) -> DataFrame:
@@ -204,16 +218,23 @@ def near_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("t_hash"), text.cast("binary").alias("text"))
     prints = materialize(_prints(d), "near-prints")
-    least = materialize(prints.groupBy("t_hash").agg(F.min("doc_id").alias("least")), "near-least")
+    least = materialize(prints.groupBy("t_hash").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp")), "near-least")
+    close = materialize(_within_bits(least.select("t_hash", "fp")), "near-bits")
+    close = materialize(_verified(close, least, d), "near-close")
+    settled = materialize(components(close), "near-settled")
     # The band of a key is part of its hash.
     members = prints.select("t_hash", F.posexplode("bands").alias("band", "key")).groupBy("t_hash", "key").agg(F.min("band").alias("band"))
     # A pivot per key, another one for each key of a group.
     pivots = members.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("t_hash", "key").alias("o"), "t_hash")).alias("p"))
     pivots = pivots.where("n > 1").select("key", F.col("p.t_hash").alias("pivot"))
     shared = materialize(members.join(pivots, "key"), "near-shared")
-    stars = shared.where("t_hash <> pivot").select(F.least("t_hash", "pivot").alias("a"), F.greatest("t_hash", "pivot").alias("b"))
-    stars = materialize(stars.distinct(), "near-stars")
-    links = materialize(_verified(stars, least, d), "near-links")
+    stars = shared.where("t_hash <> pivot").select(F.least("t_hash", "pivot").alias("a"), F.greatest("t_hash", "pivot").alias("b")).distinct()
+    # Pairs that operator 8 has connected need no other link.
+    for end in ("a", "b"):
+        stars = stars.join(settled.toDF(end, f"root_{end}"), end, "left")
+    stars = stars.where(~F.coalesce(F.col("root_a"), F.col("a")).eqNullSafe(F.coalesce(F.col("root_b"), F.col("b")))).select("a", "b")
+    stars = materialize(stars, "near-stars")
+    links = close.unionByName(materialize(_verified(stars, least, d), "near-links"))
     roots = materialize(components(links), "near-roots")
     placed = shared.join(roots, shared["t_hash"] == roots["node"], "left").select("key", "band", "t_hash", F.coalesce("root", "t_hash").alias("root"))
     open_keys = placed.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key")

@@ -5,7 +5,7 @@ import random
 import corpus_pipeline
 import numpy as np
 import pytest
-from stimulake.llm import near_copies
+from stimulake.llm import near_copies, simhash
 
 from .helpers import words
 
@@ -74,3 +74,17 @@ def test_keys_of_many_blocks(spark, monkeypatch):
     rows = planted()[:120]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r["doc_id"] for r in near_copies.keep_one(docs).collect()) == brute_kept(rows)
+
+
+def test_stage_goes_through_operator_8(spark, monkeypatch):
+    """All fingerprints meet in operator 8's shards, and the copies that it links are kept from the other search."""
+    seen, asked = [], []
+    forest, verified = simhash.link_forest, near_copies._verified
+    monkeypatch.setattr(simhash, "link_forest", lambda fps, *a: seen.append(fps) or forest(fps, *a))
+    monkeypatch.setattr(near_copies, "_verified", lambda pairs, *a: asked.append(pairs.count()) or verified(pairs, *a))
+    text = " ".join(f"w{k}" for k in range(400))
+    rows = [(1, text), (2, text.upper()), (3, text + " "), (4, "another text of few words"), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in near_copies.keep_one(docs).collect()) == [1, 4, 5]
+    assert sorted(r["fp"] for r in seen[0].collect()) == sorted({int(np.uint64(simhash.simhash((t or "").encode())).view(np.int64)) for _, t in rows})
+    assert asked == [2, 0]

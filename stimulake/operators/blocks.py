@@ -18,6 +18,8 @@ from ..errors import InvalidParameterError
 
 #: Columns of a block, elements of an operand of a block product, and bytes of sums that a task holds before it hands them on.
 COLUMNS, ELEMENTS, HELD = 4096, 1 << 22, 1 << 27
+#: Numbers of a matrix that is broadcast to the rows instead of rows being dealt to its blocks.
+LIGHT = 1 << 20
 
 
 def doubles(column: pa.Array, width: int | None = None) -> np.ndarray:
@@ -63,11 +65,11 @@ def summed(parts: DataFrame, keys: list[str], m: str = "m") -> DataFrame:
     return level(once.withColumn("__part", F.lit(0))).drop("__part")
 
 
-def outer_sums(df: DataFrame, x: str, y: str | None, columns: int = COLUMNS, prepare: Callable[[np.ndarray], np.ndarray] | None = None, sketch: tuple[int, int] | None = None) -> DataFrame:
+def outer_sums(df: DataFrame, x: str, y: str | None, columns: int = COLUMNS, prepare: Callable[[np.ndarray], np.ndarray] | None = None, sketch: tuple[int, int] | None = None, basis=None) -> DataFrame:
     """(j, m): column blocks of the sum over rows of x yᵀ, summed inside tasks and then by block.
 
     ``prepare`` is applied to batches of x. Instead of y, a ``sketch`` (width, seed) takes x times a Gaussian matrix, which is made block by
-    block wherever it is needed.
+    block wherever it is needed, and a ``basis``, a matrix that is broadcast, x times that.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,6 +90,8 @@ def outer_sums(df: DataFrame, x: str, y: str | None, columns: int = COLUMNS, pre
                 for s in starts:
                     block = a[:, s : s + columns]
                     right += block @ gaussian_block(s // columns, block.shape[1], *sketch)
+            elif basis is not None:
+                right = a @ basis.value
             else:
                 right = doubles(b.column(1))
             for s in starts:
@@ -181,10 +185,13 @@ def product(rows: DataFrame, keys: list[str], x: str, weights: DataFrame, column
     Rows and units are dealt to blocks by hash; each pair of blocks meets once, for each column block, in one dense product. A block holds so
     many rows or units that an operand has ELEMENTS numbers at most. A row travels once a block of units, weights once a block of rows. Arrays
     longer than ``columns`` are cut and their partial products summed by key: then keys must be unique. Rows with a null array don't count.
+    Weights of LIGHT numbers or fewer are broadcast; then no row is shuffled.
     """
     right = weights if "j" in weights.columns else in_column_blocks(weights, ["unit"], "w", columns)
     d, many, n_units = right.agg(F.max(F.size("w")), F.max("j"), F.count_distinct("unit")).first()
     most = min(2048, size or 2048, max(1, ELEMENTS // max(1, d or 0)))
+    if (d or 0) * ((many or 0) + 1) * n_units <= LIGHT:
+        return _light_product(rows, keys, x, right, most)
     n_rows = rows.count()
     deal = lambda n, by: F.pmod(F.xxhash64(*by), F.lit(max(1, -(-n // most))))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(1, -(-n // most)) - 1).cast("long")))
@@ -212,6 +219,30 @@ def product(rows: DataFrame, keys: list[str], x: str, weights: DataFrame, column
     return parts.join(units, "ublock").select(*keys, "ublock", "units", "values")
 
 
+def _light_product(rows: DataFrame, keys: list[str], x: str, weights: DataFrame, most: int) -> DataFrame:
+    """product() of broadcast weights, where rows are."""
+    pieces: dict = {}
+    for r in weights.select("unit", "j", "w").orderBy("unit", "j").collect():  # LIGHT numbers at most
+        pieces.setdefault(r["unit"], []).append(r["w"])
+    units, n_keys = pa.array(list(pieces)), len(keys)
+    shared = rows.sparkSession.sparkContext.broadcast(np.array([np.concatenate(p) for p in pieces.values()], float))
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for s in range(0, len(units), most):
+                own = units.slice(s, most)
+                step = max(1, LIGHT // len(own))
+                for at in range(0, whole.num_rows, step):
+                    b = whole.slice(at, step)
+                    value = doubles(b.column(n_keys), shared.value.shape[1]) @ shared.value[s : s + most].T
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * len(own)), own.take(pa.array(np.tile(np.arange(len(own)), b.num_rows))))
+                    yield pa.record_batch([*b.columns[:n_keys], pa.array(np.full(b.num_rows, s // most)), lists, batches_of(value)], [*keys, "ublock", "units", "values"])
+
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.select(*keys).schema.fields)
+    unit = weights.schema["unit"].dataType.simpleString()
+    return rows.select(*keys, x).where(F.col(x).isNotNull()).mapInArrow(multiply, f"{kinds}ublock long, units array<{unit}>, values array<double>")
+
+
 def summed_rows(parts: DataFrame, keys: list[str]) -> DataFrame:
     """Sums arrays by key."""
 

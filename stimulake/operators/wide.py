@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InvalidParameterError
-from .blocks import COLUMNS, HELD, batches_of, block_r_factor, doubles, outer_sums, product, r_factor, times, transposed
+from .blocks import COLUMNS, HELD, LIGHT, batches_of, block_r_factor, doubles, outer_sums, product, r_factor, times, transposed
 from .written import written
 
 #: Features of which a triangle may be made; outputs that are solved together.
@@ -81,7 +81,8 @@ def components(df: DataFrame, keys: list[str], x: str, k: int, standardise: bool
     sharpen it; each time the basis, a matrix in column blocks, is made orthonormal by a tree of QRs. A's own product with the basis is
     reduced by a last tree of QRs, whose small factor gives the components. Centring (and, if asked for, scaling to variance 1; constant
     features stay) happens in tasks. Keys must be unique; rows with a null array don't count. In each component the largest weight is
-    positive. With fewer rows or features than k there are as many components as the rank.
+    positive. With fewer rows or features than k there are as many components as the rank. A basis of LIGHT numbers or fewer is broadcast, so that
+    no row is shuffled; rows meet a larger one in blocks.
     """
     rows = df.select(*keys, x).where(F.col(x).isNotNull())
     n, mean, var = moments(rows, x)
@@ -99,8 +100,10 @@ def components(df: DataFrame, keys: list[str], x: str, k: int, standardise: bool
     spread = outer_sums(rows, x, None, prepare=centred, sketch=(width, seed))
     basis, width = _orthonormal(written(spread, "sketch"), width)
     for _ in range(power):
-        y = _projected(rows, keys, x, basis, width, shared)
-        spread = outer_sums(rows.join(y, keys), x, "values", prepare=centred)
+        if width * len(mean) <= LIGHT:
+            spread = outer_sums(rows, x, None, prepare=centred, basis=_broadcast(basis, width))
+        else:
+            spread = outer_sums(rows.join(_projected(rows, keys, x, basis, width, shared), keys), x, "values", prepare=centred)
         basis, width = _orthonormal(written(spread, "sketch"), width)
     r = r_factor(_projected(rows, keys, x, basis, width, shared), ["values"])
     _, s, vt = np.linalg.svd(r, full_matrices=False)
@@ -112,6 +115,12 @@ def components(df: DataFrame, keys: list[str], x: str, k: int, standardise: bool
     return Components(weights, offsets, s**2 / n, s**2 / n / total)
 
 
+def _broadcast(basis: DataFrame, width: int):
+    """A small basis as one matrix for all tasks."""
+    found = sorted((r["j"], r["m"]) for r in basis.select("j", "m").collect())
+    return basis.sparkSession.sparkContext.broadcast(np.vstack([np.frombuffer(m).reshape(-1, width) for _, m in found]))
+
+
 def _orthonormal(blocks: DataFrame, width: int) -> tuple[DataFrame, int]:
     """An orthonormal basis of what the columns span, in column blocks, and its size; a second round mends what the first lost."""
     for _ in range(2):

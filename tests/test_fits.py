@@ -136,3 +136,23 @@ def test_field_search_and_predictions(spark, monkeypatch, zscore):
     assert candidates.search(df.limit(0), "x", "y", "held", weights, layers, [1.0]).count() == 0
     with pytest.raises(InvalidParameterError):
         candidates.field_weights(spark, listed.where("model > 0"), [5], 8.0)
+
+
+def test_rows_of_wide_features_are_not_shuffled(spark):
+    """A small basis goes to the rows, and predictions of few units are made where the rows are."""
+    rng = np.random.default_rng(4)
+    a = rng.standard_normal((60, 2)) @ rng.standard_normal((2, 4200)) + 0.01 * rng.standard_normal((60, 4200))
+    w = rng.standard_normal((3, 4200))
+    rows, weights = rows_of(spark, a, "x"), rows_of(spark, w, "w").withColumnRenamed("stim", "unit")
+    p = blocks.product(rows, ["stim"], "x", weights)
+    assert "hashpartitioning" not in p._jdf.queryExecution().executedPlan().toString()
+    for r in p.collect():
+        assert r["units"] == [0, 1, 2] and np.allclose(r["values"], w @ a[r["stim"]])
+    asked = []
+    own, wide.product = wide.product, lambda *args, **kw: asked.append(args[0].columns) or blocks.product(*args, **kw)
+    try:
+        found = wide.components(rows, ["stim"], "x", 2)
+    finally:
+        wide.product = own
+    assert len(asked) == 1  # the last projection alone
+    assert np.allclose(found.variances, np.linalg.svd(a - a.mean(axis=0))[1][:2] ** 2 / 60)

@@ -10,12 +10,13 @@ same way. A tile holds at most side² cells whatever the data, tiles are spread
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from math import isqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.splits import global_position
@@ -25,11 +26,30 @@ from ._common import materialize
 PLAIN = bytes(c + 32 if 65 <= c <= 90 else 10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
 #: Bytes of text that are split at once, words that all chunks of a task hold together, and entries of a tile held before they are summed.
 PIECE, HELD_WORDS, HELD_CELLS = 1 << 20, 1 << 21, 1 << 23
+#: Cells of one row at most: longer rows are large objects in each place that they pass.
+ROW_CELLS = 1 << 18
+#: Bytes of an Arrow batch that goes to Python. Spark's 64 MB stand in the executor and, while the next batch is read, three times in its worker.
+BATCH_BYTES = 4 << 20
 MOST_SPLIT_TILES = 10_000
 CHUNKS = "chunk long, lang string, lead int, words array<binary>, counts array<long>, ids binary"
 TILES = "lang string, ti long, tj long, part int, n long, cells array<int>, counts array<long>"
 
 
+@contextmanager
+def short_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of BATCH_BYTES for what runs inside; the session's setting comes back after it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 class Numbers(dict):
     """Words by number, in order of appearance; blanks are 0, the end of a piece 1."""
 
@@ -116,33 +136,53 @@ def in_chunks(docs: DataFrame, chunk_words: int) -> DataFrame:
 
 
 def counted(hi: np.ndarray, lo: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Pairs by tile: (tile of hi, tile of lo, cell, count), tiles together. Full tiles by bincount over their cells, others sorted."""
+    """Pairs by tile: (tile of hi, tile of lo, cell, count), tiles together, ROW_CELLS at a time. Full tiles by bincount over their cells, others sorted."""
     if not len(hi):
         return
     side = 1 << bits
-    mask = side - 1
-    hi, lo = hi.astype(np.int64), lo.astype(np.int64)
-    cell = (hi & mask) << bits | lo & mask
-    width = int(lo.max() >> bits) + 1
-    tile = (hi >> bits) * width + (lo >> bits)
-    most = int(tile.max())
-    if most < 1 << 22:
-        full = np.bincount(tile) >= side * side // 8
-        for t in np.flatnonzero(full):
-            dense = np.bincount(cell[tile == t], minlength=side * side)
-            cells = np.flatnonzero(dense)
-            yield np.full(len(cells), t // width), np.full(len(cells), t % width), cells, dense[cells]
-        rest = ~full[tile]
-        tile, cell = tile[rest], cell[rest]
-    if most < 1 << 63 - 2 * bits:
-        key, counts = np.unique(tile << 2 * bits | cell, return_counts=True)
-        tile, cell = key >> 2 * bits, key & side * side - 1
-    else:
+    mask, space = side - 1, side * side
+    width = (int(lo.max()) >> bits) + 1
+    most = (int(hi.max()) >> bits) * width + width - 1
+    if most >= 1 << 63 - 2 * bits:
+        hi, lo = hi.astype(np.int64), lo.astype(np.int64)
+        tile, cell = (hi >> bits) * width + (lo >> bits), (hi & mask) << bits | lo & mask
         order = np.lexsort((cell, tile))
         tile, cell = tile[order], cell[order]
         first = np.flatnonzero(np.concatenate(([True], (tile[1:] != tile[:-1]) | (cell[1:] != cell[:-1]))))
         counts, tile, cell = np.diff(np.append(first, len(tile))), tile[first], cell[first]
-    yield tile // width, tile % width, cell, counts
+        for i in range(0, len(tile), ROW_CELLS):
+            j = i + ROW_CELLS
+            yield tile[i:j] // width, tile[i:j] % width, cell[i:j], counts[i:j]
+        return
+    # One array of 64-bit keys is all that is held of the pairs from here on.
+    key = (hi >> bits).astype(np.int64)
+    key *= width
+    key += lo >> bits
+    for x in (hi, lo):
+        key <<= bits
+        key |= x & mask
+    del hi, lo, x
+    if most < 1 << 22:
+        tile = key >> 2 * bits
+        full = np.bincount(tile) >= max(1, space // 8)
+        rest = ~full[tile] if full.any() else None
+        for t in np.flatnonzero(full):
+            dense = np.bincount(key[tile == t] & space - 1, minlength=space)
+            cells = np.flatnonzero(dense)
+            for i in range(0, len(cells), ROW_CELLS):
+                own = cells[i : i + ROW_CELLS]
+                yield np.full(len(own), t // width), np.full(len(own), t % width), own, dense[own]
+            del dense, cells
+        del tile
+        if rest is not None:
+            key = key[rest]
+    key.sort()
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))[: len(key)]
+    for i in range(0, len(first), ROW_CELLS):
+        at = first[i : i + ROW_CELLS + 1]
+        own = key[at[:ROW_CELLS]]
+        tile = own >> 2 * bits
+        yield tile // width, tile % width, own & space - 1, np.diff(np.append(at, len(key)) if len(at) <= ROW_CELLS else at)
 
 
 def tile_rows(lang: str, part: int, ti: np.ndarray, tj: np.ndarray, cell: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
@@ -169,10 +209,13 @@ class Gathered:
 
     def out(self) -> Iterator[pa.RecordBatch]:
         if self.held:
-            hi, lo = (np.concatenate(x) for x in zip(*self.held))
-            self.held, self.size = [], 0
-            for found in counted(hi, lo, self.bits):
-                yield tile_rows(self.lang, self.part, *found)
+            yield from (tile_rows(self.lang, self.part, *found) for found in counted(*self.taken(), self.bits))
+
+    def taken(self) -> list[np.ndarray]:
+        """What is held, which is held no more."""
+        sides = [list(x) for x in zip(*self.held)]
+        self.held, self.size = [], 0
+        return [np.concatenate(sides.pop(0)) for _ in range(2)]
 
 
 def lists_of(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,40 +225,64 @@ def lists_of(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def add_up(tiles: DataFrame, least: int, bits: int, always: int = 1 << 62) -> DataFrame:
-    """Sums the tiles of one (lang, ti, tj, part): cells with ``least`` or more stay; a tile without cells only if n passes ``always``."""
-    space = 1 << 2 * bits
+    """Sums the tiles of one (lang, ti, tj, part): cells with ``least`` or more stay; a tile without cells only if n passes ``always``.
 
-    def total(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        cells, counts = (np.concatenate(x) for x in zip(*held))
-        if len(held) == 1:
-            return cells, counts
-        if len(cells) >= space // 8:
-            dense = np.bincount(cells, counts, space)  # exact below 2 to the 53
-            cells = np.flatnonzero(dense)
-            return cells, dense[cells].astype(np.int64)
-        order = np.argsort(cells, kind="stable")
-        cells, counts = cells[order], counts[order]
-        first = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
-        return cells[first], np.add.reduceat(counts, first)
+    A tile of many cells comes as several rows; the first has its n, the others 0.
+    """
+    space = 1 << 2 * bits
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, size = None, [], 0
         done, ready = [], 0
+        sums, summed = None, False  # sums by cell of a tile with many rows
+
+        def total() -> tuple[np.ndarray, np.ndarray]:
+            if summed:
+                into_sums()
+                cells = np.flatnonzero(sums)
+                counts = sums[cells]
+                sums[cells] = 0
+                return cells, counts
+            if len(held) == 1:
+                return held[0]
+            cells, counts = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(cells, kind="stable")
+            cells, counts = cells[order], counts[order]
+            first = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
+            return cells[first], np.add.reduceat(counts, first)
+
+        def into_sums() -> None:
+            nonlocal sums, summed, size
+            if sums is None:
+                sums = np.zeros(space, np.int64)
+            for cells, counts in held:
+                sums[cells] += counts  # a row has a cell once
+            held.clear()
+            summed, size = True, 0
 
         def close() -> None:
-            nonlocal ready
-            if held:
-                cells, counts = total(held)
+            nonlocal ready, summed
+            if held or summed:
+                cells, counts = total()
+                summed = False
                 n, stay = int(counts.sum()), counts >= least
                 if stay.any() or n >= always:
-                    done.append((*now, n, cells[stay], counts[stay]))
-                    ready += int(stay.sum()) + 100
-
-        def out() -> pa.RecordBatch:
-            lang, ti, tj, part, n, cells, counts = zip(*done)
-            ends = pa.array(np.cumsum([0, *map(len, cells)]).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x).astype(kind))) for x, kind in ((cells, np.int32), (counts, np.int64))]
-            return pa.record_batch([pa.array(lang, pa.string()), pa.array(ti, pa.int64()), pa.array(tj, pa.int64()), pa.array(part, pa.int32()), pa.array(n, pa.int64()), *lists], ["lang", "ti", "tj", "part", "n", "cells", "counts"])
+                    cells, counts = cells[stay].astype(np.int32), counts[stay]
+                    for i in range(0, max(1, len(cells)), ROW_CELLS):
+                        done.append((*now, 0 if i else n, cells[i : i + ROW_CELLS], counts[i : i + ROW_CELLS]))
+                    ready += len(cells) + 100
+
+        def out() -> Iterator[pa.RecordBatch]:
+            begin = taken = 0
+            for i, row in enumerate(done):
+                taken += len(row[5]) + 100
+                if taken > HELD_CELLS >> 3 or i == len(done) - 1:
+                    lang, ti, tj, part, n, cells, counts = zip(*done[begin : i + 1])
+                    ends = pa.array(np.cumsum([0, *map(len, cells)]).astype(np.int32))
+                    lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x))) for x in (cells, counts)]
+                    yield pa.record_batch([pa.array(lang, pa.string()), pa.array(ti, pa.int64()), pa.array(tj, pa.int64()), pa.array(part, pa.int32()), pa.array(n, pa.int64()), *lists], ["lang", "ti", "tj", "part", "n", "cells", "counts"])
+                    begin, taken = i + 1, 0
+            done.clear()
 
         for batch in batches:
             keys = list(zip(*(batch.column(c).to_pylist() for c in range(4))))
@@ -225,16 +292,14 @@ def add_up(tiles: DataFrame, least: int, bits: int, always: int = 1 << 62) -> Da
                     close()
                     now, held, size = key, [], 0
                     if ready > HELD_CELLS >> 3:
-                        yield out()
-                        done, ready = [], 0
+                        yield from out()
+                        ready = 0
                 held.append((cells[ends[i] : ends[i + 1]], counts[ends[i] : ends[i + 1]]))
                 size += int(ends[i + 1] - ends[i])
-                if size > HELD_CELLS:
-                    held = [total(held)]
-                    size = len(held[0][0])
+                if size > max(1, min(space, HELD_CELLS) // 8):
+                    into_sums()
         close()
-        if done:
-            yield out()
+        yield from out()
 
     keys = ["lang", "ti", "tj", "part"]
     return tiles.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(rows, TILES)
@@ -374,15 +439,8 @@ def _score(a: str, left: str, right: str) -> Column:
     return F.expr(f"({w(a)} * {w(a)} * cast(1000000 as decimal(7,0))) div ({w(left)} * {w(right)})")
 
 
-def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 10, share: int = 50, top: int = 2000, bits: int = 11, chunk_words: int = 1 << 19, split: int = 1 << 24) -> DataFrame:
-    """The first ``top`` phrases of two or three words of each language: lang, rank, phrase, a, l, r, n, score.
-
-    a is a phrase's number of occurrences inside pieces (``least`` or more), l and r those of its parts at the cut that scores
-    lowest, n all words of the language, score floor(10**6 a² / (l r)). A phrase goes if a longer one holds it that has ``share`` percent of
-    its occurrences or more. A null language is ``und``; null, empty and blank texts have no words; repeated rows count as often as they
-    come; texts of any length are taken whole. Other columns are not read. An empty table, or one without frequent phrases, gives an
-    empty result. Counts below 10**15 give exact scores. Tiles are 2**bits ranks a side.
-    """
+def _counts(docs: DataFrame, text_col: str, lang_col: str, least: int, bits: int, chunk_words: int, split: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Words with f, frequent ones with ranks, frequent pairs with ranks, frequent runs of three: all written."""
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
     chunks = materialize(in_chunks(texts, chunk_words), "phrase-chunks")
     entries = chunks.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("e"))
@@ -399,6 +457,20 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     threes = cells_of(in_two_levels(triple_tiles(coded, pairs, many, bits, max(1, isqrt(shuffles))), least, bits), bits)
     first = pairs.select("lang", F.col("id").alias("hi"), F.col("hi").alias("w1"), F.col("lo").alias("w2"), F.col("f").alias("f12"))
     threes = materialize(threes.join(first, ["lang", "hi"]).select("lang", "w1", "w2", F.col("lo").alias("w3"), "f12", "f"), "phrase-threes")
+    return words, ranks, pairs, threes
+
+
+def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 10, share: int = 50, top: int = 2000, bits: int = 11, chunk_words: int = 1 << 19, split: int = 1 << 24) -> DataFrame:
+    """The first ``top`` phrases of two or three words of each language: lang, rank, phrase, a, l, r, n, score.
+
+    a is a phrase's number of occurrences inside pieces (``least`` or more), l and r those of its parts at the cut that scores
+    lowest, n all words of the language, score floor(10**6 a² / (l r)). A phrase goes if a longer one holds it that has ``share`` percent of
+    its occurrences or more. A null language is ``und``; null, empty and blank texts have no words; repeated rows count as often as they
+    come; texts of any length are taken whole. Other columns are not read. An empty table, or one without frequent phrases, gives an
+    empty result. Counts below 10**15 give exact scores. Tiles are 2**bits ranks a side.
+    """
+    with short_batches(docs.sparkSession):
+        words, ranks, pairs, threes = _counts(docs, text_col, lang_col, least, bits, chunk_words, split)
 
     def word(k: int) -> DataFrame:
         return ranks.select("lang", F.col("id").alias(f"w{k}"), F.col("word").cast("string").alias(f"t{k}"), F.col("f").alias(f"f{k}"))

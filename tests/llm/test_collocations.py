@@ -2,9 +2,11 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from stimulake.llm import collocations as C
@@ -93,3 +95,52 @@ def test_edges_and_empty(spark):
     assert C.collocations(docs.where("doc_id < 3")).collect() == []
     alone = docs.where("doc_id = 6").withColumns({"lang": F.lit(None).cast("string"), "text": F.lit("so it goes " * 20)})
     assert {r["lang"] for r in C.collocations(alone).collect()} == {"und"}
+
+
+def test_counting_holds_few_copies_and_makes_short_rows():
+    rng = np.random.default_rng(5)
+    n = 1 << 22
+    held = [(rng.integers(0, 4096, n // 8), rng.integers(0, 1 << 15, n // 8).astype(np.int32)) for _ in range(8)]
+    g = C.Gathered.__new__(C.Gathered)
+    g.bits, g.part, g.lang, g.held, g.size = 11, 0, "en", held, n
+    del held
+    tracemalloc.start()
+    try:
+        longest = cells = pairs = 0
+        for batch in g.out():
+            longest = max(longest, *batch.column("cells").value_lengths().to_pylist(), batch.num_rows)
+            cells += len(batch.column("cells").flatten())
+            pairs += sum(batch.column("n").to_pylist())
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert pairs == n and cells > 3 * C.ROW_CELLS and longest <= C.ROW_CELLS
+    assert peak < 40 * n  # bytes: a pair comes as 12 and becomes a key of 8
+
+
+def test_tiles_in_pieces_add_up_alike(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    batch = lambda hi, lo: [C.tile_rows("en", i % 3, *found) for i, found in enumerate(C.counted(hi, lo, 3))]
+    hi, lo = rng.geometric(0.05, 20000), rng.geometric(0.05, 20000)
+    monkeypatch.setattr(C, "ROW_CELLS", 5)
+    made = [b for k in range(0, 20000, 5000) for b in batch(hi[k : k + 5000], lo[k : k + 5000])]
+    assert max(max(b.column("cells").value_lengths().to_pylist()) for b in made) <= 5
+    tiles = spark.createDataFrame([tuple(r.values()) for b in made for r in b.to_pylist()], C.TILES)
+    expect = Counter(zip(hi.tolist(), lo.tolist()))
+    got = {(r["hi"], r["lo"]): r["f"] for r in C.cells_of(C.in_two_levels(tiles, 4, 3, 1), 3).collect()}
+    assert got == {k: n for k, n in expect.items() if n >= 4}
+    sizes = Counter()
+    for (a, b), n in expect.items():
+        sizes[a >> 3, b >> 3] += n
+    found = C.in_two_levels(tiles, 4, 3, 1).where("n > 0").collect()
+    assert Counter({(r["ti"], r["tj"]): r["n"] for r in found}) == sizes and len(found) == len(sizes)
+
+
+def test_batches_to_python_are_short(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    sizes = lambda batches: (pa.record_batch([pa.array([b.nbytes])], ["n"]) for b in batches)
+    wide = spark.range(2000, numPartitions=1).select(F.repeat(F.lit("x"), 10_000).alias("x"))
+    before = spark.conf.get(key, None)
+    with C.short_batches(spark):
+        assert max(r["n"] for r in wide.mapInArrow(sizes, "n long").collect()) < C.BATCH_BYTES + 50_000
+    assert spark.conf.get(key, None) == before

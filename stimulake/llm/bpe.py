@@ -11,6 +11,8 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
+import struct
 import unicodedata
 from collections.abc import Iterator
 
@@ -22,9 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORD_END = "</w>"
-#: The file's own pattern; its white space is the Unicode property.
-WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
-CACHE_WORDS = 150_000
+#: The file's own pattern, letters first (no alternative shares a first character with another); its white space is the Unicode property.
+WORDS = regex.compile(r"[\p{L}]+|[\p{N}]|'(?:s|t|re|ve|m|ll|d)|[^\p{White_Space}\p{L}\p{N}]+")
+#: The same for text of Latin-1 characters in lower case.
+LATIN = re.compile(r"[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|'(?:s|t|re|ve|m|ll|d)|[^\t-\r \x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
+CACHE_WORDS = 300_000
 CACHE_CHARS = 48
 #: Tokens after which a batch of rows is handed on.
 OUT_TOKENS = 200_000
@@ -37,15 +41,28 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
+def _latin(text: str) -> bool:
+    try:
+        return text.isascii() or bool(text.encode("latin-1"))
+    except UnicodeEncodeError:
+        return False
+
+
 class WordBpe:
     """Encoder and decoder of one vocabulary file: vocab (string to id), merges (ranked pairs), special tokens (string to id)."""
 
     def __init__(self, vocab: dict[str, int], merges: list, special: dict[str, int]) -> None:
         self.vocab, self.special = vocab, special
         self.strings = {i: s for s, i in (vocab | special).items()}
-        self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(merges)}
+        # Ranks by left and then right symbol: small dictionaries, looked up without making a key. Each rank's product.
+        ranks: list[dict[int, int]] = [{} for _ in range(max(vocab.values(), default=0) + 1)]
+        for rank, (a, b) in enumerate(merges):
+            ranks[vocab[a]][vocab[b]] = rank
+        self.rank_of = [x.get for x in ranks]
+        self.made = [vocab[a + b] for a, b in merges]
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        self.symbols = byte_symbols()
+        # Ids of a byte inside and at the end of a word; -1 if there is none.
+        self.inside, self.at_end = ([vocab.get(x + end, -1) for x in byte_symbols()] for end in ("", WORD_END))
         self.young: dict[str, tuple[int, bytes, str]] = {}
         self.old: dict[str, tuple[int, bytes, str]] = {}
 
@@ -57,33 +74,38 @@ class WordBpe:
     def merge(self, ids: list[int]) -> list[int]:
         """Merges symbols by ascending rank, ties from the left."""
         n = len(ids)
-        before, after, alive = list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n
-        merges = self.merges
-        queue = [(m[0], i, m[1], ids[i], ids[i + 1]) for i in range(n - 1) if (m := merges.get((ids[i], ids[i + 1])))]
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        rank_of, made = self.rank_of, self.made
+        shift = n.bit_length()
+        place = (1 << shift) - 1
+        # An entry is a rank and, in its low bits, the place of the left symbol.
+        queue = [r << shift | i for i, (a, b) in enumerate(zip(ids, ids[1:])) if (r := rank_of[a](b)) is not None]
         heapq.heapify(queue)
+        pop, push = heapq.heappop, heapq.heappush
         while queue:
-            _, i, new, left, right = heapq.heappop(queue)
-            j = after[i]
-            if not alive[i] or j >= n or ids[i] != left or ids[j] != right:
-                continue  # stale: one of the two symbols has gone or changed
-            ids[i], alive[j] = new, False
+            top = pop(queue)
+            i = top & place
+            left, j = ids[i], after[i]
+            if left < 0 or j >= n or rank_of[left](ids[j]) != top >> shift:
+                continue  # stale: one of the two symbols has gone (-1) or changed
+            ids[i] = new = made[top >> shift]
+            ids[j] = -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if m := merges.get((new, ids[k])):
-                    heapq.heappush(queue, (m[0], i, m[1], new, ids[k]))
-            if (h := before[i]) >= 0 and (m := merges.get((ids[h], new))):
-                heapq.heappush(queue, (m[0], h, m[1], ids[h], new))
-        return [x for x, there in zip(ids, alive) if there]
+                if (r := rank_of[new](ids[k])) is not None:
+                    push(queue, r << shift | i)
+            if (h := before[i]) >= 0 and (r := rank_of[ids[h]](new)) is not None:
+                push(queue, r << shift | h)
+        return [x for x in ids if x >= 0]
 
     def word(self, word: str) -> tuple[int, bytes, str]:
         """Number of ids, the ids as little-endian 32-bit integers, and the decoded text of one word."""
         found = self.young.get(word) or self.old.pop(word, None)
         if found is None:
-            symbols = [self.symbols[b] for b in word.encode()]
-            symbols[-1] += WORD_END
-            ids = self.merge([self.vocab[s] for s in symbols if s in self.vocab])
-            found = (len(ids), np.array(ids, "<u4").tobytes(), self.decode(ids))
+            *begin, last = word.encode()
+            ids = self.merge([i for i in (*[self.inside[b] for b in begin], self.at_end[last]) if i >= 0])
+            found = (len(ids), struct.pack(f"<{len(ids)}I", *ids), self.decode(ids))
         if len(word) <= CACHE_CHARS:
             if len(self.young) >= CACHE_WORDS:
                 self.young, self.old = {}, self.young
@@ -101,15 +123,13 @@ class WordBpe:
                     part = unicodedata.normalize("NFC", part)
                 get, word = self.young.get, self.word
                 # Lower case goes character by character, without the rule for a final sigma.
-                yield [x for w in WORDS.findall(part.replace("Σ", "σ").lower()) if (x := get(w) or word(w))[0]]
+                part = part.replace("Σ", "σ").lower()
+                yield [x for w in (LATIN if _latin(part) else WORDS).findall(part) if (x := get(w) or word(w))[0]]
 
     def encode(self, text: str) -> tuple[int, bytes, str]:
-        n, ids, decoded = 0, [], []
-        for run in self.pieces(text):
-            n += sum(x[0] for x in run)
-            ids += [x[1] for x in run]
-            decoded += [x[2] for x in run]
-        return n, b"".join(ids), " ".join(decoded)
+        found = [x for run in self.pieces(text) for x in run]
+        ids = b"".join([x[1] for x in found])
+        return len(ids) // 4, ids, " ".join([x[2] for x in found])
 
     def decode(self, ids: list[int]) -> str:
         return " ".join([self.strings[i] for i in ids if i in self.strings])

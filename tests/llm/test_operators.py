@@ -407,6 +407,16 @@ def test_bpe_cache_turns_over(monkeypatch):
     assert first == own.encode(text) and len(own.young) <= 5
 
 
+def test_bpe_merges_a_word_of_many_once(monkeypatch):
+    own = bpe.WordBpe.from_json(open(vocabulary(), encoding="utf-8").read())
+    merged = []
+    monkeypatch.setattr(own, "merge", lambda ids: merged.append(1) or ids[:1])
+    words = [f"{a}{b}{c}{d}" for a in "abcdefghijklmnopqrst" for b in "abcdefghijklmnopqrst" for c in "abcdefghijklmnopqrst" for d in "abcdefghijklmnopqrstuvwxyzäöüßéèêñç"]
+    for _ in range(2):
+        assert own.encode(" ".join(words))[0] == len(words)
+    assert len(merged) == len(words) == 280_000
+
+
 def test_bpe_edges(spark):
     docs = edge_documents(spark)
     rows = bpe.encode_documents(docs, vocabulary(), ("n_tokens", "ids", "ids_sha256", "decoded_sha256")).collect()
